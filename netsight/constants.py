@@ -8,6 +8,9 @@ that Unicode white space leaves out.
 
 WS = r"[\s\x1c-\x1f]"
 NON_WS = r"[^\s\x1c-\x1f]"
+# the same white space as single characters
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+            "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 # -- syslog line ------------------------------------------------------------
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
@@ -33,7 +36,6 @@ FIELD_PATTERN = (
     r"(?U)(?d)\b(?:" + "|".join(FIELD_KEYS) + rf"){WS}*={WS}*[^\s\x1c-\x1f=]+"
     rf"(?={WS}+\w+=|{WS}*$)"
 )
-FIELD_SPLIT_PATTERN = rf"(?U){WS}*={WS}*"
 ACTION_PATTERN = r"\[([A-Za-z][A-Za-z0-9_.-]*)\]"
 DNS_QUERY_PATTERN = rf"(?U)query\[(?:[A-Za-z0-9]+)\]{WS}+({NON_WS}+){WS}+from{WS}+({NON_WS}+)"
 DHCP_ACK_PATTERN = rf"(?U)DHCPACK\(\w+\){WS}+{NON_WS}+{WS}+{NON_WS}+{WS}+({NON_WS}+)"

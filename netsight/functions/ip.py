@@ -26,17 +26,21 @@ def is_v4(ip: Column) -> Column:
 
 def v4_number(ip: Column) -> Column:
     """The 32 bits of a valid dotted quad as BIGINT."""
-    part = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    return ((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3]
+    octets = F.transform(F.split(ip, r"\."), lambda p: p.try_cast("bigint"))
+    return F.aggregate(octets, F.lit(0).cast("bigint"), lambda n, octet: n * 256 + octet)
 
 
 def _hex_tail(text: Column) -> Column:
     """Rewrite a dotted-quad tail (``::ffff:1.2.3.4``) as two hex groups."""
-    quad = F.regexp_extract(text, rf"(?<=:){_V4}\z", 0)
-    n = v4_number(quad)
-    as_hex = F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(0xFFFF)))
-    head = F.left(text, F.length(text) - F.length(quad))
-    return F.when(quad != "", F.lower(F.concat(head, as_hex))).otherwise(text)
+
+    def join_up(parts: Column) -> Column:
+        head = F.left(text, F.length(text) - F.length(parts["quad"]))
+        high, low = F.hex(F.shiftright(parts["n"], 16)), F.hex(parts["n"].bitwiseAND(0xFFFF))
+        return F.lower(F.concat(head, high, F.lit(":"), low))
+
+    with_number = lambda quad: F.struct(quad.alias("quad"), v4_number(quad).alias("n"))
+    tail = F.regexp_extract(text, rf"(?<=:){_V4}\z", 0)
+    return F.when(text.contains("."), let(let(tail, with_number), join_up)).otherwise(text)
 
 
 def v6_groups(ip: Column) -> Column:
@@ -47,12 +51,14 @@ def v6_groups(ip: Column) -> Column:
 
     def groups(text: Column) -> Column:
         side = lambda i: F.array_remove(
-            F.split(F.split_part(text, F.lit("::"), F.lit(i)), ":"), "")
-        left, right = side(1), side(2)
-        gap = 8 - F.size(left) - F.size(right)
-        filled = F.when(text.rlike(_V6_FULL), F.split(text, ":")).when(
-            text.rlike(_V6_SHORT) & (gap >= 1),
-            F.concat(left, F.array_repeat(F.lit("0"), gap), right))
+            F.split(F.split_part(text, F.lit("::"), F.lit(i)), ":"), "").alias(f"s{i}")
+
+        def fill(sides: Column) -> Column:
+            gap = 8 - F.size(sides["s1"]) - F.size(sides["s2"])
+            return F.when(gap >= 1, F.concat(sides["s1"], F.array_repeat(F.lit("0"), gap), sides["s2"]))
+
+        filled = (F.when(text.rlike(_V6_FULL), F.split(text, ":"))
+                  .when(text.rlike(_V6_SHORT), let(F.struct(side(1), side(2)), fill)))
         return F.transform(filled, lambda g: F.lpad(g, 4, "0"))
 
     return F.when(ip.contains(":"), let(_hex_tail(F.lower(ip)), groups))
@@ -64,15 +70,12 @@ def v6_text(groups: Column) -> Column:
         F.transform(groups, lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":")
 
     def squeeze(text: Column) -> Column:
-        result = text
-        for run in range(2, 9):
-            pattern = rf"^((?:{_GROUP}:)*?)0(?::0){{{run - 1}}}((?::{_GROUP})*)\z"
-            left = F.regexp_extract(text, pattern, 1)
-            right = F.regexp_extract(text, pattern, 2)
-            short = F.concat(F.when(left == "", ":").otherwise(left),
-                             F.when(right == "", ":").otherwise(right))
-            result = F.when(text.rlike(pattern), short).otherwise(result)
-        return result
+        ends = lambda c: F.when(c == "", ":").otherwise(c)
+        pattern = lambda run: rf"^((?:{_GROUP}:)*?)0(?::0){{{run - 1}}}((?::{_GROUP})*)\z"
+        longest = F.coalesce(*[F.when(text.rlike(pattern(run)), F.lit(pattern(run)))
+                               for run in range(8, 1, -1)])
+        cut = lambda p: F.concat(ends(F.call_function("regexp_extract", text, p, F.lit(1))), ends(F.call_function("regexp_extract", text, p, F.lit(2))))
+        return F.coalesce(let(longest, cut), text)
 
     return let(plain, squeeze)
 
@@ -134,18 +137,19 @@ def parse_network(value: Column) -> Column:
 
     Host bits are ignored; a missing mask means the full length.
     """
-    address = F.split_part(value, F.lit("/"), F.lit(1))
-    mask = F.when(value.contains("/"), F.split_part(value, F.lit("/"), F.lit(2)))
     one_mask = ~F.coalesce(value.rlike("/.*/"), F.lit(False))
-    v6_len = F.when(mask.rlike(_DIGITS), mask.try_cast("int"))
-    bits = ip_bits(address)
-    length = F.when(bits["n"].isNotNull(), F.when(mask.isNull(), 32).otherwise(_v4_prefix_len(mask))) \
-        .when(bits["hex"].isNotNull(), F.when(mask.isNull(), 128).when(v6_len <= 128, v6_len))
-
-    def build(pair: Column) -> Column:
-        return F.when(pair["len"].isNotNull(), F.struct(
-            F.when(pair["bits"]["n"].isNotNull(), 4).otherwise(6).alias("ver"),
-            pair["len"].alias("prefix_len"),
-            network_key(pair["bits"], pair["len"]).alias("key")))
-
-    return F.when(one_mask, let(F.struct(bits.alias("bits"), length.cast("int").alias("len")), build))
+    parts = F.struct(
+        ip_bits(F.split_part(value, F.lit("/"), F.lit(1))).alias("bits"),
+        F.when(value.contains("/"), F.split_part(value, F.lit("/"), F.lit(2))).alias("mask"))
+
+    def with_length(p: Column) -> Column:
+        n, digits, mask = p["bits"]["n"], p["bits"]["hex"], p["mask"]
+        v6_len = F.when(mask.rlike(_DIGITS), mask.try_cast("int"))
+        length = (F.when(n.isNotNull(), F.when(mask.isNull(), 32).otherwise(_v4_prefix_len(mask)))
+                  .when(digits.isNotNull(), F.when(mask.isNull(), 128).when(v6_len <= 128, v6_len)))
+        return let(length.cast("int"), lambda bits_kept: F.when(bits_kept.isNotNull(), F.struct(
+            F.when(n.isNotNull(), 4).otherwise(6).alias("ver"),
+            bits_kept.alias("prefix_len"),
+            network_key(p["bits"], bits_kept).alias("key"))))
+
+    return F.when(one_mask, let(parts, with_length))

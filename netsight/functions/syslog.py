@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from netsight.constants import (
     ACTION_PATTERN, DAEMON_PATTERN, DHCP_ACK_PATTERN, DNS_QUERY_PATTERN, FACILITY_NAMES,
-    FIELD_PATTERN, FIELD_SPLIT_PATTERN, HEADER_PATTERN, LINE_END_PATTERN, MONTH_NAMES,
-    PID_PATTERN, SEVERITY_NAMES, TAG_PATTERN)
+    FIELD_PATTERN, HEADER_PATTERN, LINE_END_PATTERN, MONTH_NAMES, PID_PATTERN, SEVERITY_NAMES,
+    TAG_PATTERN, WS_CHARS)
 from netsight.functions.ip import ip_canonical
 from netsight.functions.text import lstrip, nullif_empty
 
@@ -104,18 +104,23 @@ def after_head(msg: Column, head: Column) -> Column:
 
 
 def key_values(msg: Column) -> Column:
-    """Array of ``[key, value]`` pairs in text order."""
+    """Array of ``(key, value)`` structs in text order."""
+
+    def cut(pair: Column) -> Column:
+        side = lambda i: F.substring_index(pair, "=", i)
+        return F.struct(F.rtrim(side(1), F.lit(WS_CHARS)).alias("k"),
+                        F.ltrim(side(-1), F.lit(WS_CHARS)).alias("v"))
+
     found = F.regexp_extract_all(msg, F.lit(FIELD_PATTERN), F.lit(0))
-    pairs = F.transform(found, lambda pair: F.split(pair, FIELD_SPLIT_PATTERN))
-    return F.when(msg.contains("="), pairs).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(msg.contains("="), F.transform(found, cut))
 
 
 def last_value(pairs: Column, key: str) -> Column:
-    return F.try_element_at(F.filter(pairs, lambda p: p[0] == key), F.lit(-1))[1]
+    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
 
 
 def firewall_action(tag: Column, msg: Column, pairs: Column) -> Column:
-    has_flow = F.exists(pairs, lambda p: p[0].isin("SRC", "DST", "IN", "OUT"))
+    has_flow = F.exists(pairs, lambda p: p["k"].isin("SRC", "DST", "IN", "OUT"))
     return F.when((F.coalesce(tag, F.lit("kernel")) == "kernel") & has_flow,
                   nullif_empty(F.regexp_extract(msg, ACTION_PATTERN, 1)))
 

@@ -30,4 +30,13 @@ def clean_value(c: Column) -> Column:
 
 
 def nullif_empty(c: Column) -> Column:
-    return F.when(c != "", c)
+    return let(c, lambda v: F.when(v != "", v))
+
+
+def computed_once(df, name: str, value: Column):
+    """``df.withColumn`` through a generator of one row.
+
+    Filters on ``name`` then run on the finished value instead of being pushed
+    down with a second copy of a costly expression.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

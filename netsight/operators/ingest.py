@@ -23,7 +23,8 @@ def parse_lines(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     now = c("received_at").cast("timestamp_ntz")
     staged = (
         lines.withColumn("raw", S.raw_text(c("line")))
-        .withColumn("_parts", S.header_parts(c("raw")))
+        # a generator keeps later filters from copying the header expression
+        .withColumn("_parts", F.explode(F.array(S.header_parts(c("raw")))))
         .withColumns({
             "pri": parts[0].try_cast("int"),
             "host": parts[6],
