@@ -7,26 +7,33 @@ quote is a quote, and line ends are data. Text after the closing quote is kept.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from netsight.functions.text import let
+
+
+def _delimiter(delimiter: Column) -> Column:
+    return F.concat(F.lit(r"\x{"), F.hex(F.ascii(delimiter)), F.lit("}"))
+
 
 def _field(delimiter: Column) -> Column:
     """Pattern of one field; possessive loops keep long fields off the stack."""
-    d = F.concat(F.lit(r"\x{"), F.hex(F.ascii(delimiter)), F.lit("}"))
+    d = _delimiter(delimiter)
     return F.concat(F.lit(r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^\r\n'), d, F.lit(r']*+|\z)|[^"\r\n'), d,
                     F.lit(r'][^\r\n'), d, F.lit(r']*+|)'))
 
 
-def _delimiter(delimiter: Column) -> Column:
-    return F.concat(F.lit(r"\x{"), F.hex(F.ascii(delimiter)), F.lit("}"))
-
-
-def csv_records(text: Column, delimiter: Column) -> Column:
-    """Array of records as raw text, without line ends; one empty text per blank line."""
+def csv_matches(text: Column, delimiter: Column) -> Column:
+    """Array of records as raw text with their line ends; a blank line is a record."""
     field, d = _field(delimiter), _delimiter(delimiter)
     record = F.concat(field, F.lit("(?:"), d, field, F.lit(")*+"), F.lit(r"(?:\r*\n|\r+|\z)"))
     found = F.regexp_extract_all(text, record, F.lit(0))
-    cut = F.transform(found, lambda r: F.regexp_replace(r, r"(?<=[\r\n])\z|\r*\n\z|\r+\z", ""))
-    # the match at the very end of the text is no record
-    return F.slice(cut, F.lit(1), F.size(cut) - 1)
+    # the last match is the empty one at the end of the text
+    return let(found, lambda m: F.slice(m, F.lit(1), F.size(m) - 1))
+
+
+def csv_records(text: Column, delimiter: Column) -> Column:
+    """Array of records as raw text without their line ends."""
+    return F.transform(csv_matches(text, delimiter),
+                       lambda r: F.regexp_replace(r, r"(?:\r*\n|\r+)\z", ""))
 
 
 def first_field(record: Column, delimiter: Column) -> Column:
@@ -34,8 +41,8 @@ def first_field(record: Column, delimiter: Column) -> Column:
 
 
 def _unquoted(field: Column) -> Column:
-    inner = F.regexp_extract(field, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)\z', 1)
-    rest = F.regexp_extract(field, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)\z', 2)
+    part = lambda i: F.regexp_extract(field, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)\z', i)
+    inner, rest = part(1), part(2)
     return F.when(field.startswith('"'), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)) \
         .otherwise(field)
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from netsight.constants import (
     CSV_FIELD_CAP_CHARS, ERROR_TEXT_CHARS, LINE_BREAK_PATTERN, NON_WS, PAYLOAD_CAP_BYTES)
-from netsight.functions.csv import csv_fields, csv_records, first_field
+from netsight.functions.csv import csv_fields, csv_matches, csv_records, first_field
 from netsight.functions.indicators import infer_ioc_type, pick_column, split_tags
 from netsight.functions.stix import first_reference_url, ioc_type_of_kind, pattern_values, truthy
 from netsight.functions.text import clean_value, computed_once, let, nullif_empty, strip
@@ -94,7 +94,11 @@ def csv_errors(payloads: DataFrame) -> DataFrame:
     records = csv_records(F.col("payload"), delimiter)
     long_field = F.exists(records, lambda r: (F.length(r) > CSV_FIELD_CAP_CHARS) & F.exists(
         csv_fields(r, delimiter), lambda f: F.length(f) > CSV_FIELD_CAP_CHARS))
+    matches = csv_matches(F.col("payload"), delimiter)
+    bare_return = let(matches, lambda m: F.exists(
+        F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), lambda r: r.endswith("\r")))
     error = (F.when(F.length(delimiter) != 1, '"delimiter" must be a 1-character string')
+             .when(bare_return, "new-line character seen in unquoted field")
              .when(long_field, f"field larger than field limit ({CSV_FIELD_CAP_CHARS})"))
     return payloads.select("feed_id", "payload_id", error.alias("error")).filter("error IS NOT NULL")
 
