@@ -25,10 +25,10 @@ INDICATOR_COLUMNS = ["feed_id", "payload_id", "pos", "type", "value", "descripti
 
 
 def _indicator_rows(df: DataFrame, **columns: Column) -> DataFrame:
-    empty = F.lit(None).cast("string")
-    given = {"description": empty, "tags": empty.cast("array<string>"), "severity": empty,
-             "reference": empty, "first_seen": empty.cast("timestamp"),
-             "last_seen": empty.cast("timestamp"), **columns}
+    none = lambda kind: F.lit(None).cast(kind)
+    given = {"description": none("string"), "tags": none("array<string>"), "severity": none("string"),
+             "reference": none("string"), "first_seen": none("timestamp"),
+             "last_seen": none("timestamp"), **columns}
     return df.select("feed_id", "payload_id", "pos", *[c.alias(n) for n, c in given.items()]) \
         .select(*INDICATOR_COLUMNS)
 

@@ -8,20 +8,25 @@ from netsight.session import work_path
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def assign_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
-    """Add ``name`` = ``start`` + 1, 2, 3, … in the order of the ``order`` columns.
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Range-partition and sort; ``order`` should be unique so that no hot value fills one partition.
+
+    Spark samples the input for the ranges, so put this before costly steps.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
 
-    The rows are range-partitioned and sorted, then written once to the shared
-    folder together with (partition, row), so that a lost executor cannot change
-    the numbering between the two passes. The second pass adds up the partition
-    sizes, one row per partition, which is what bounds the broadcast.
-    ``order`` should be unique: ties would keep a hot value in one partition.
+def number_rows(df: DataFrame, start: int = 0, name: str = "id") -> DataFrame:
+    """Add ``name`` = ``start`` + 1, 2, 3, … in partition and row order.
+
+    The rows are written once to the shared folder together with (partition,
+    row), so that a lost executor cannot change the numbering between the two
+    passes. The second pass adds up the partition sizes: one row per partition
+    is what bounds the window and the broadcast.
     """
     spark = df.sparkSession
     path = work_path(spark, "ids")
-    (df.repartitionByRange(*order).sortWithinPartitions(*order)
-       .withColumn("_row", F.monotonically_increasing_id())
-       .write.parquet(path))
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     staged = spark.read.parquet(path).withColumn("_part", F.shiftright("_row", _ROW_BITS))
     sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,6 +37,13 @@ def assign_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "id"
             .drop("_row", "_part", "_offset"))
 
 
+def assign_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
+    """Number rows in the order of the ``order`` columns; ``df`` is evaluated once."""
+    path = work_path(df.sparkSession, "unordered")
+    df.write.parquet(path)
+    return number_rows(in_order(df.sparkSession.read.parquet(path), order), start, name)
+
+
 def max_id(df: DataFrame, column: str = "id") -> DataFrame:
     """Largest id, 0 for an empty table, as a one-row frame."""
     return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("bigint").alias("m"))

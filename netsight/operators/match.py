@@ -66,9 +66,14 @@ class Snapshot:
         return self.size <= BROADCAST_KEY_ROWS
 
 
-def prepare_snapshot(indicators: DataFrame) -> Snapshot:
-    """Derive join keys and count them (one small job) to pick the join."""
+def prepare_snapshot(indicators: DataFrame, persist: bool = False) -> Snapshot:
+    """Derive join keys and count them (one small job) to pick the join.
+
+    ``persist`` keeps the keys for many matches against the same snapshot.
+    """
     keys = indicator_keys(indicators)
+    if persist:
+        keys = keys.persist()
     lens = (keys.filter("prefix_len IS NOT NULL")
             .groupBy("ver").agg(F.collect_set("prefix_len").alias("lens")))
     return Snapshot(keys.drop("ver", "prefix_len"), lens, keys.count())

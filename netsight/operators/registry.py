@@ -7,6 +7,7 @@ from netsight.constants import DEFAULT_PULL_MINUTES, FEED_TYPES, PENDING_PULLS_L
 from netsight.functions.text import strip
 from netsight.operators.ids import assign_ids
 from netsight.schemas import FEEDS, IOCS, PARSER_CONFIG
+from netsight.session import path_exists
 
 IOC_KEY = ["feed_id", "type", "value"]
 _IOC_ATTRIBUTES = ["description", "tags", "severity", "reference"]
@@ -157,11 +158,11 @@ def enabled_feeds(feeds: DataFrame) -> DataFrame:
 
 # -- pulls ------------------------------------------------------------------
 
-def pull_log_rows(results: DataFrame) -> DataFrame:
-    """Log rows of ``results(feed_id, pulled_at, n, error)``."""
+def pull_log_rows(results: DataFrame, *keep: str) -> DataFrame:
+    """Log rows of ``results(feed_id, pulled_at, n, error)``; ``keep`` names columns to carry along."""
     failed = F.col("error").isNotNull()
     return results.select(
-        "feed_id", F.col("pulled_at").alias("ts"),
+        *keep, "feed_id", F.col("pulled_at").alias("ts"),
         F.when(failed, "error").otherwise("info").alias("level"),
         F.when(failed, F.concat(F.lit("pull failed: "), F.col("error"))).otherwise(
             F.concat(F.lit("pull ok: ok ("), F.col("n").cast("string"), F.lit(")"))).alias("message"))
@@ -207,8 +208,7 @@ def publish_version(iocs: DataFrame, feeds: DataFrame, root: str) -> int:
 
 def current_version(spark: SparkSession, root: str) -> int:
     """Latest published version, 0 when there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not path_exists(spark, f"{root}/versions"):
         return 0
     return spark.read.schema("version bigint").parquet(f"{root}/versions").agg(F.max("version")).first()[0] or 0
 

@@ -8,7 +8,7 @@ so that they reach the Parquet scan.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsight.constants import (
@@ -81,8 +81,8 @@ def bucket_totals(events: DataFrame, now: Column) -> DataFrame:
 
 def bucket_share(totals: DataFrame) -> DataFrame:
     """Whole-percent share of every bucket; ``totals`` holds twelve rows."""
-    total = F.broadcast(totals.filter("bucket = '_total'").select(F.col("n").alias("_n"), F.lit(1).alias("_k")))
-    return (totals.filter("bucket <> '_total'").withColumn("_k", F.lit(1)).join(total, "_k")
+    total = F.max(F.when(F.col("bucket") == "_total", F.col("n"))).over(Window.partitionBy())
+    return (totals.withColumn("_n", total).filter("bucket <> '_total'")
             .select("bucket", "n", percent_share(F.col("n"), F.col("_n")).alias("pct")))
 
 
@@ -92,11 +92,11 @@ def bucket_totals_daily(events: DataFrame) -> DataFrame:
 
 
 def events_per_minute(events: DataFrame) -> DataFrame:
-    """Arrivals in the 60 seconds before each full 10 seconds, as ``(at, n)``."""
+    """Arrivals in the 60 seconds before each full 10 seconds, as ``(window_end, n)``."""
     slices = events.groupBy(F.window("received_at", "10 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     ends = F.explode(F.sequence(F.col("w.end"), F.col("w.end") + F.expr("INTERVAL 50 SECONDS"),
                                 F.expr("INTERVAL 10 SECONDS")))
-    return slices.select(ends.alias("at"), "n").groupBy("at").agg(F.sum("n").alias("n"))
+    return slices.select(ends.alias("window_end"), "n").groupBy("window_end").agg(F.sum("n").alias("n"))
 
 
 # -- events ------------------------------------------------------------------
@@ -141,7 +141,7 @@ def event_detail(events: DataFrame, detections: DataFrame, event_id: int) -> Dat
         F.array_sort(F.collect_list(F.struct(
             "id", "ioc_id", "feed_id", "feed_name", "match_type", "matched_value", "created_at"))).alias("detections"))
     return (events.filter(F.col("id") == event_id).select("id", *EVENT_FIELDS).join(hits, "id", "left")
-            .withColumn("detections", F.coalesce("detections", F.expr("filter(detections, d -> false)"), F.array())))
+            .withColumn("detections", F.coalesce("detections", F.array().cast(hits.schema["detections"].dataType))))
 
 
 def events_since(events: DataFrame, detections: DataFrame, after_id: int,
@@ -268,17 +268,18 @@ def max_ids(events: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def _tail(df: DataFrame, keep: int) -> DataFrame:
-    """Rows with an id above the largest one less ``keep``."""
-    newest = F.broadcast(max_id(df).select(F.greatest(F.col("m") - keep, F.lit(0)).alias("_low"), F.lit(1).alias("_k")))
-    return df.withColumn("_k", F.lit(1)).join(newest, "_k").filter("id > _low").drop("_k", "_low")
+    """Rows with an id above the largest one less ``keep``: a top-k, then a test on its rows."""
+    newest = df.orderBy(F.desc("id")).limit(keep)
+    low = F.greatest(F.max("id").over(Window.partitionBy()) - keep, F.lit(0))
+    return newest.withColumn("_low", low).filter("id > _low").drop("_low")
 
 
 def live_snapshot(events: DataFrame, detections: DataFrame, now: Column) -> DataFrame:
     """What a new live viewer gets: ``(kind, id, text, n)`` rows of events, detections, totals."""
     none = F.lit(None)
-    ev = with_bucket(_tail(events, SNAPSHOT_EVENTS)).select(
+    ev = with_bucket(_tail(events.select("id", "tag", "action"), SNAPSHOT_EVENTS)).select(
         F.lit("event").alias("kind"), "id", F.col("bucket").alias("text"), none.cast("bigint").alias("n"))
-    det = _tail(detections, SNAPSHOT_DETECTIONS).select(
+    det = _tail(detections.select("id", "matched_value"), SNAPSHOT_DETECTIONS).select(
         F.lit("detection").alias("kind"), "id", F.col("matched_value").alias("text"), none.cast("bigint").alias("n"))
     tot = bucket_totals(events, now).select(
         F.lit("bucket").alias("kind"), none.cast("bigint").alias("id"), F.col("bucket").alias("text"), "n")

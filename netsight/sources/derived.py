@@ -162,7 +162,8 @@ UNION ALL
 SELECT 8 * k + 4, CAST(1 + {_div('k', 5)} AS INT), 'url',
   CASE WHEN k % 4 = 0 THEN 'http://X' || {_text('k')} || '.gamma.example.org./x' ELSE url END, {_IOC_COLUMNS},
   NULL, NULL, NULL, NULL,
-  CASE WHEN k % 4 = 0 THEN 'x' || {_text('k')} || '.gamma.example.org' ELSE 'no event has it' END
+  CASE WHEN k % 4 = 0 THEN 'x' || {_text('k')} || '.gamma.example.org' 
+       ELSE lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) END
 FROM (SELECT page_id AS k, url FROM {{pages}}) p
 UNION ALL
 SELECT 8 * k + 5, CAST(1 + {_div('k', 20)} AS INT), 'cidr',

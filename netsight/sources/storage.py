@@ -1,11 +1,12 @@
 """Sources and sinks: landed text and payload files, stored tables, JSON rows."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netsight.operators.feeds import admit_payloads
-from netsight.operators.ids import assign_ids
-from netsight.operators.ingest import EVENT_COLUMNS
+from netsight.operators.ids import assign_ids, in_order, number_rows
+from netsight.operators.ingest import EVENT_COLUMNS, accepted, parse_lines
 from netsight.operators.match import new_detections
 from netsight.schemas import DETECTIONS, EVENTS
 
@@ -28,13 +29,18 @@ def read_payload_files(spark: SparkSession, path: str, cap: int | None = None) -
     return admit_payloads(files) if cap is None else admit_payloads(files, cap=cap)
 
 
-def append_events(accepted: DataFrame, path: str, start: int = 0) -> None:
-    """Number accepted lines by arrival and append them, one folder per UTC day.
+def numbered_events(lines: DataFrame, tz: str = "UTC", start: int = 0) -> DataFrame:
+    """Events of ``lines`` with ids in arrival order; the lines are put in order before parsing."""
+    parsed = parse_lines(in_order(lines, ["received_at", "line_id"]), tz)
+    return number_rows(accepted(parsed).select(*EVENT_COLUMNS), start)
 
-    Rows arrive range-partitioned by arrival time, so a task writes few days.
+
+def append_events(lines: DataFrame, path: str, tz: str = "UTC", start: int = 0) -> None:
+    """Parse lines and append the events, one folder per UTC day.
+
+    Rows are in arrival order, so a task writes few days.
     """
-    rows = assign_ids(accepted.select("line_id", *EVENT_COLUMNS), ["received_at", "line_id"], start)
-    (rows.select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date"))
+    (numbered_events(lines, tz, start).select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date"))
      .write.mode("append").partitionBy("event_date").parquet(path))
 
 
@@ -46,9 +52,23 @@ def append_detections(hits: DataFrame, path: str, stored: DataFrame | None = Non
      .write.mode("append").partitionBy("created_date").parquet(path))
 
 
+def _json_value(value: Column, kind: T.DataType) -> Column:
+    """Times as ISO 8601 text (fraction only when there is one), decimals as doubles."""
+    if isinstance(kind, T.TimestampType):
+        fraction = F.when(F.unix_micros(value) % 1_000_000 != 0, F.date_format(value, ".SSSSSS"))
+        return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), F.coalesce(fraction, F.lit("")),
+                        F.date_format(value, "xxx"))
+    if isinstance(kind, T.DecimalType):
+        return value.cast("double")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _json_value(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_json_value(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    return value
+
+
 def json_rows(df: DataFrame) -> DataFrame:
-    """Rows as JSON text: ISO 8601 times, decimals as doubles, nested values kept."""
-    plain = df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal"
-                        else F.col(f.name) for f in df.schema.fields])
-    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
-    return plain.select(F.to_json(F.struct("*"), options).alias("json"))
+    """Rows as JSON text, nested values included, missing values as ``null``."""
+    safe = [_json_value(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
+    return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("json"))
