@@ -30,10 +30,8 @@ def csv_matches(text: Column, delimiter: Column) -> Column:
     return let(found, lambda m: F.slice(m, F.lit(1), F.size(m) - 1))
 
 
-def csv_records(text: Column, delimiter: Column) -> Column:
-    """Array of records as raw text without their line ends."""
-    return F.transform(csv_matches(text, delimiter),
-                       lambda r: F.regexp_replace(r, r"(?:\r*\n|\r+)\z", ""))
+def without_line_end(record: Column) -> Column:
+    return F.regexp_replace(record, r"(?:\r*\n|\r+)\z", "")
 
 
 def first_field(record: Column, delimiter: Column) -> Column:

@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 from netsight.constants import (
     CSV_FIELD_CAP_CHARS, ERROR_TEXT_CHARS, LINE_BREAK_PATTERN, NON_WS, PAYLOAD_CAP_BYTES)
-from netsight.functions.csv import csv_fields, csv_matches, csv_records, first_field
+from netsight.functions.csv import csv_fields, csv_matches, first_field, without_line_end
 from netsight.functions.indicators import infer_ioc_type, pick_column, split_tags
 from netsight.functions.stix import first_reference_url, ioc_type_of_kind, pattern_values, truthy
 from netsight.functions.text import clean_value, computed_once, let, nullif_empty, strip
+from netsight.operators.registry import enabled_feeds
 from netsight.schemas import STIX_OBJECT
 
 INDICATOR_COLUMNS = ["feed_id", "payload_id", "pos", "type", "value", "description", "tags",
@@ -55,23 +56,38 @@ def parse_plain(payloads: DataFrame) -> DataFrame:
     return _indicator_rows(typed, type=F.col("type"), value=clean_value(F.col("first")))
 
 
+def _csv_split(payloads: DataFrame) -> DataFrame:
+    """Payloads cut into raw records ``_m``, and the ``error`` of those the dialect refuses."""
+    delimiter = F.coalesce(F.col("parser_config.delimiter"), F.lit(","))
+    split = computed_once(
+        payloads.select("feed_id", "payload_id", "payload", F.col("parser_config").alias("cfg"), delimiter.alias("_d")),
+        "_m", csv_matches(F.col("payload"), F.col("_d"))).drop("payload")
+    m = F.col("_m")
+    bare_return = F.exists(F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), lambda r: r.endswith("\r"))
+    long_field = F.exists(m, lambda r: (F.length(r) > CSV_FIELD_CAP_CHARS) & F.exists(
+        csv_fields(r, F.col("_d")), lambda f: F.length(f) > CSV_FIELD_CAP_CHARS))
+    error = (F.when(F.length("_d") != 1, '"delimiter" must be a 1-character string')
+             .when(bare_return, "new-line character seen in unquoted field")
+             .when(long_field, f"field larger than field limit ({CSV_FIELD_CAP_CHARS})"))
+    return computed_once(split, "error", error)
+
+
 def csv_rows(payloads: DataFrame) -> DataFrame:
     """Data records as ``(feed_id, payload_id, pos, cols, cfg)``: comments, then the header, dropped.
 
-    A blank line is a record until after the header is gone.
+    A blank line is a record until after the header is gone. A refused payload gives none.
     """
-    cfg = F.col("parser_config")
-    delimiter = F.coalesce(cfg["delimiter"], F.lit(","))
+    cfg, delimiter = F.col("cfg"), F.col("_d")
     comment = lambda r: F.regexp_extract(first_field(r, delimiter), r'(?U)^"?[\s\x1c-\x1f]*[#;]', 0) != ""
 
     def data(records: Column) -> Column:
-        kept = F.filter(records, lambda r: ~comment(r))
         skip = F.when(cfg["has_header"], 1).otherwise(0)
-        return F.slice(kept, skip + 1, F.greatest(F.size(kept) - skip, F.lit(0)))
+        return let(F.filter(records, lambda r: ~comment(r)), lambda kept: F.slice(
+            kept, skip + 1, F.greatest(F.size(kept) - skip, F.lit(0))))
 
-    records = payloads.select(
-        "feed_id", "payload_id", cfg.alias("cfg"), delimiter.alias("_d"),
-        F.posexplode(let(csv_records(F.col("payload"), delimiter), data)).alias("pos", "record"))
+    records = _csv_split(payloads).filter("error IS NULL").select(
+        "feed_id", "payload_id", "cfg", "_d",
+        F.posexplode(data(F.transform(F.col("_m"), without_line_end))).alias("pos", "record"))
     return computed_once(records.filter(strip(F.col("record")) != ""), "cols",
                          csv_fields(F.col("record"), F.col("_d"))).drop("_d", "record")
 
@@ -90,17 +106,7 @@ def parse_csv(payloads: DataFrame) -> DataFrame:
 
 def csv_errors(payloads: DataFrame) -> DataFrame:
     """Payloads the CSV dialect refuses: over-long field, or a bare carriage return in a row."""
-    delimiter = F.coalesce(F.col("parser_config.delimiter"), F.lit(","))
-    records = csv_records(F.col("payload"), delimiter)
-    long_field = F.exists(records, lambda r: (F.length(r) > CSV_FIELD_CAP_CHARS) & F.exists(
-        csv_fields(r, delimiter), lambda f: F.length(f) > CSV_FIELD_CAP_CHARS))
-    matches = csv_matches(F.col("payload"), delimiter)
-    bare_return = let(matches, lambda m: F.exists(
-        F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), lambda r: r.endswith("\r")))
-    error = (F.when(F.length(delimiter) != 1, '"delimiter" must be a 1-character string')
-             .when(bare_return, "new-line character seen in unquoted field")
-             .when(long_field, f"field larger than field limit ({CSV_FIELD_CAP_CHARS})"))
-    return payloads.select("feed_id", "payload_id", error.alias("error")).filter("error IS NOT NULL")
+    return _csv_split(payloads).select("feed_id", "payload_id", "error").filter("error IS NOT NULL")
 
 
 def stix_objects(payloads: DataFrame) -> DataFrame:
@@ -195,20 +201,20 @@ def parse_taxii(payloads: DataFrame, severity_property: str = "x_severity") -> D
 
 def with_feed(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
     """Payloads of enabled live feeds with the feed's type and parser settings."""
-    from netsight.operators.registry import enabled_feeds
     wanted = enabled_feeds(feeds).select(
         F.col("id").alias("feed_id"), F.col("type").alias("feed_type"), "parser_config")
     return payloads.join(wanted, "feed_id")
 
 
 def parse_all(payloads: DataFrame, severity_property: str = "x_severity") -> DataFrame:
-    """Indicator rows of all feed types; ``payloads`` comes from :func:`with_feed`."""
+    """Indicator rows of all feed types; ``payloads`` comes from :func:`with_feed`.
+
+    A payload that cannot be read gives no rows; :func:`pull_errors` tells why.
+    """
     of = lambda kind: payloads.filter(F.col("feed_type") == kind)
-    bad = pull_errors(payloads).select("feed_id").distinct()
-    rows = (parse_plain(of("plain")).unionByName(parse_csv(of("csv")))
+    return (parse_plain(of("plain")).unionByName(parse_csv(of("csv")))
             .unionByName(parse_stix(of("stix"), severity_property))
             .unionByName(parse_taxii(of("taxii"), severity_property)))
-    return rows.join(bad, "feed_id", "left_anti")
 
 
 def pull_errors(payloads: DataFrame) -> DataFrame:
@@ -223,18 +229,23 @@ def pull_errors(payloads: DataFrame) -> DataFrame:
 def sweep_results(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row per swept feed: ``n`` indicators written, or the ``error`` that stopped it.
 
-    ``n`` counts rows as they come, before duplicates merge.
+    ``n`` counts rows as they come, before duplicates merge. One aggregate over
+    the payloads, their errors and their indicators.
     """
     with_type = with_feed(payloads, feeds)
-    errors = pull_errors(with_type).groupBy("feed_id").agg(
-        F.min_by("error", F.coalesce("payload_id", F.lit(-1))).alias("error"))
-    counts = parse_all(with_type).groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"))
-    pulled = with_type.groupBy("feed_id").agg(F.max("pulled_at").alias("pulled_at"))
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = (
+        with_type.select("feed_id", "pulled_at", none("string").alias("error"), F.lit(0).alias("n"))
+        .unionByName(pull_errors(with_type).select(
+            "feed_id", none("timestamp").alias("pulled_at"), "error", F.lit(0).alias("n")))
+        .unionByName(parse_all(with_type).select(
+            "feed_id", none("timestamp").alias("pulled_at"), none("string").alias("error"), F.lit(1).alias("n"))))
+    results = parts.groupBy("feed_id").agg(
+        F.max("pulled_at").alias("pulled_at"), F.min("error").alias("error"), F.sum("n").alias("n"))
     names = feeds.select(F.col("id").alias("feed_id"), F.col("name").alias("feed_name"))
-    return (pulled.join(names, "feed_id").join(errors, "feed_id", "left").join(counts, "feed_id", "left")
-            .select("feed_id", "feed_name", "pulled_at",
-                    F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).alias("n"),
-                    F.left("error", F.lit(ERROR_TEXT_CHARS)).alias("error")))
+    return results.join(names, "feed_id").select(
+        "feed_id", "feed_name", "pulled_at", F.when(F.col("error").isNull(), F.col("n")).alias("n"),
+        F.left("error", F.lit(ERROR_TEXT_CHARS)).alias("error"))
 
 
 def sweep_summary(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
