@@ -21,17 +21,24 @@ def _field(delimiter: Column) -> Column:
                     F.lit(r'][^\r\n'), d, F.lit(r']*+|)'))
 
 
-def csv_matches(text: Column, delimiter: Column) -> Column:
-    """Array of records as raw text with their line ends; a blank line is a record."""
+def _records(text: Column, delimiter: Column, group: int) -> Column:
     field, d = _field(delimiter), _delimiter(delimiter)
-    record = F.concat(field, F.lit("(?:"), d, field, F.lit(")*+"), F.lit(r"(?:\r*\n|\r+|\z)"))
-    found = F.regexp_extract_all(text, record, F.lit(0))
+    record = F.concat(F.lit("("), field, F.lit("(?:"), d, field, F.lit(r")*+)(\r*\n|\r+|\z)"))
+    found = F.regexp_extract_all(text, record, F.lit(group))
     # the last match is the empty one at the end of the text
     return let(found, lambda m: F.slice(m, F.lit(1), F.size(m) - 1))
 
 
-def without_line_end(record: Column) -> Column:
-    return F.regexp_replace(record, r"(?:\r*\n|\r+)\z", "")
+def csv_records(text: Column, delimiter: Column) -> Column:
+    """Array of records as raw text without their line ends; a blank line is a record."""
+    return _records(text, delimiter, 1)
+
+
+def has_bare_return(text: Column, delimiter: Column) -> Column:
+    """True when a carriage return ends a record inside a line, which the dialect refuses."""
+    ends = F.when(text.rlike(r"\r[^\r\n]"), _records(text, delimiter, 2))
+    return F.coalesce(let(ends, lambda e: F.exists(
+        F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), lambda r: r.endswith("\r"))), F.lit(False))
 
 
 def first_field(record: Column, delimiter: Column) -> Column:

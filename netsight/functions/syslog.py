@@ -10,7 +10,7 @@ from netsight.constants import (
     FIELD_PATTERN, HEADER_PATTERN, LINE_END_PATTERN, MONTH_NAMES, PID_PATTERN, SEVERITY_NAMES,
     TAG_PATTERN, WS_CHARS)
 from netsight.functions.ip import ip_canonical
-from netsight.functions.text import lstrip, nullif_empty
+from netsight.functions.text import let, lstrip, nullif_empty
 
 
 def raw_text(line: Column) -> Column:
@@ -25,7 +25,7 @@ def _split_by_groups(text: Column, pattern: str, groups: int) -> Column:
     first ``groups - 1`` line feeds is exact, and a match always changes the text.
     """
     joined = F.regexp_replace(text, pattern, "\n".join(f"${i}" for i in range(1, groups + 1)))
-    return F.when(joined != text, F.split(joined, "\n", groups))
+    return let(joined, lambda j: F.when(j != text, F.split(j, "\n", groups)))
 
 
 def header_parts(raw: Column) -> Column:
@@ -46,19 +46,36 @@ def severity_name(pri: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, SEVERITY_NAMES)), pri % 8 + 1)
 
 
-def clock_time(year: Column, parts: Column) -> Column:
-    """Zone-less timestamp from header parts; NULL for an impossible date or time."""
-    number = lambda i: parts[i].try_cast("int")
-    made = F.try_make_timestamp_ntz(
-        year, month_number(parts[1]), number(2), number(3), number(4), number(5).cast("decimal(16,6)"))
-    return F.when((number(5) <= 59) & (number(3) <= 23) & (number(4) <= 59), made)
+def header_clock(parts: Column, now: Column) -> Column:
+    """Date and time of a header as a struct.
 
+    ``known_month``; ``possible``: a real date and time in a leap year, so that 29
+    February passes; ``local``: zone-less time with its year taken from ``now``,
+    NULL when that year has no such day. A time more than a day ahead belongs to
+    the year before, one more than 365 days back to the year after.
+    """
 
-def year_shift(local: Column, now: Column) -> Column:
-    """-1, 0 or 1: how far the year taken from ``now`` is off for a year-less time."""
-    return (F.when(local > now + F.expr("INTERVAL 1 DAY"), -1)
-            .when(local < now - F.expr("INTERVAL 365 DAYS"), 1)
-            .otherwise(0))
+    def make(year: Column, n: Column) -> Column:
+        in_range = (n["h"] <= 23) & (n["mi"] <= 59) & (n["s"] <= 59)
+        return F.when(in_range, F.try_make_timestamp_ntz(
+            year, n["mon"], n["d"], n["h"], n["mi"], n["s"].cast("decimal(16,6)")))
+
+    def shift(local: Column) -> Column:
+        return (F.when(local > now + F.expr("INTERVAL 1 DAY"), -1)
+                .when(local < now - F.expr("INTERVAL 365 DAYS"), 1).otherwise(0))
+
+    def build(n: Column) -> Column:
+        year = F.year(now)
+        return F.struct(
+            n["mon"].isNotNull().alias("known_month"),
+            make(F.lit(2000), n).isNotNull().alias("possible"),
+            let(make(year, n), lambda t: F.when(shift(t) == 0, t).otherwise(
+                make(year + shift(t), n))).alias("local"))
+
+    number = lambda i, name: parts[i].try_cast("int").alias(name)
+    numbers = F.struct(month_number(parts[1]).alias("mon"), number(2, "d"), number(3, "h"),
+                       number(4, "mi"), number(5, "s"))
+    return F.when(parts.isNotNull(), let(numbers, build))
 
 
 def zone_or_utc(tz: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from netsight.constants import (
     CSV_FIELD_CAP_CHARS, ERROR_TEXT_CHARS, LINE_BREAK_PATTERN, NON_WS, PAYLOAD_CAP_BYTES)
-from netsight.functions.csv import csv_fields, csv_matches, first_field, without_line_end
+from netsight.functions.csv import csv_fields, csv_records, first_field, has_bare_return
 from netsight.functions.indicators import infer_ioc_type, pick_column, split_tags
 from netsight.functions.stix import first_reference_url, ioc_type_of_kind, pattern_values, truthy
 from netsight.functions.text import clean_value, computed_once, let, nullif_empty, strip
@@ -57,19 +57,17 @@ def parse_plain(payloads: DataFrame) -> DataFrame:
 
 
 def _csv_split(payloads: DataFrame) -> DataFrame:
-    """Payloads cut into raw records ``_m``, and the ``error`` of those the dialect refuses."""
+    """Payloads cut into raw records, and the ``error`` of those the dialect refuses."""
     delimiter = F.coalesce(F.col("parser_config.delimiter"), F.lit(","))
     split = computed_once(
         payloads.select("feed_id", "payload_id", "payload", F.col("parser_config").alias("cfg"), delimiter.alias("_d")),
-        "_m", csv_matches(F.col("payload"), F.col("_d"))).drop("payload")
-    m = F.col("_m")
-    bare_return = F.exists(F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), lambda r: r.endswith("\r"))
-    long_field = F.exists(m, lambda r: (F.length(r) > CSV_FIELD_CAP_CHARS) & F.exists(
+        "records", csv_records(F.col("payload"), F.col("_d")))
+    long_field = F.exists("records", lambda r: (F.length(r) > CSV_FIELD_CAP_CHARS) & F.exists(
         csv_fields(r, F.col("_d")), lambda f: F.length(f) > CSV_FIELD_CAP_CHARS))
     error = (F.when(F.length("_d") != 1, '"delimiter" must be a 1-character string')
-             .when(bare_return, "new-line character seen in unquoted field")
+             .when(has_bare_return(F.col("payload"), F.col("_d")), "new-line character seen in unquoted field")
              .when(long_field, f"field larger than field limit ({CSV_FIELD_CAP_CHARS})"))
-    return computed_once(split, "error", error)
+    return computed_once(split, "error", error).drop("payload")
 
 
 def csv_rows(payloads: DataFrame) -> DataFrame:
@@ -87,7 +85,7 @@ def csv_rows(payloads: DataFrame) -> DataFrame:
 
     records = _csv_split(payloads).filter("error IS NULL").select(
         "feed_id", "payload_id", "cfg", "_d",
-        F.posexplode(data(F.transform(F.col("_m"), without_line_end))).alias("pos", "record"))
+        F.posexplode(data(F.col("records"))).alias("pos", "record"))
     return computed_once(records.filter(strip(F.col("record")) != ""), "cols",
                          csv_fields(F.col("record"), F.col("_d"))).drop("_d", "record")
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsight.functions import syslog as S
+from netsight.functions.text import computed_once
 from netsight.schemas import EVENTS
 
 EVENT_COLUMNS = [name for name in EVENTS.fieldNames() if name != "id"]
@@ -19,24 +20,18 @@ def parse_lines(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     zone of the senders; an unknown zone counts as UTC.
     """
     c = F.col
-    parts = c("_parts")
+    parts, clock = c("_parts"), c("_clock")
     now = c("received_at").cast("timestamp_ntz")
+    lines = lines.withColumn("raw", S.raw_text(c("line")))
+    split = computed_once(lines, "_parts", S.header_parts(c("raw")))
+    timed = computed_once(split, "_clock", S.header_clock(parts, now))
     staged = (
-        lines.withColumn("raw", S.raw_text(c("line")))
-        # a generator keeps later filters from copying the header expression
-        .withColumn("_parts", F.explode(F.array(S.header_parts(c("raw")))))
-        .withColumns({
+        timed.withColumns({
             "pri": parts[0].try_cast("int"),
             "host": parts[6],
-            # 2000 is a leap year, so 29 February passes this check
-            "_valid": S.clock_time(F.lit(2000), parts).isNotNull(),
-            "_this_year": S.clock_time(F.year(now), parts),
             "_rest": S.without_repeated_host(F.coalesce(parts[7], c("raw")), parts[6]),
         })
-        .withColumns({
-            "_local": S.clock_time(F.year(now) + S.year_shift(c("_this_year"), now), parts),
-            "_tag": S.tag_parts(c("_rest")),
-        })
+        .withColumn("_tag", S.tag_parts(c("_rest")))
         .withColumns({
             "tag": S.without_pid(c("_tag")[0]),
             "msg": F.coalesce(c("_tag")[1], c("_rest")),
@@ -64,15 +59,14 @@ def parse_lines(lines: DataFrame, tz: str = "UTC") -> DataFrame:
         # a SRC field that is no address still blocks the querier
         .withColumn("_ips", S.canonical_all(F.coalesce(c("_src"), c("_querier")), c("_dst")))
     )
-    known_month = S.month_number(parts[1]).isNotNull()
     reason = (F.when(c("raw") == "", "empty")
               .when(parts.isNull(), None)
-              .when(~known_month, "error")
-              .when(~c("_valid"), "bad_timestamp")
-              .when(c("_local").isNull(), "error"))
+              .when(~clock["known_month"], "error")
+              .when(~clock["possible"], "bad_timestamp")
+              .when(clock["local"].isNull(), "error"))
     return staged.select(
         "line_id", "line", reason.alias("reject_reason"),
-        F.when(parts.isNull(), c("received_at")).otherwise(S.local_to_utc(c("_local"), tz)).alias("ts"),
+        F.when(parts.isNull(), c("received_at")).otherwise(S.local_to_utc(clock["local"], tz)).alias("ts"),
         "received_at", "host", "pri",
         S.facility_name(c("pri")).alias("facility"),
         S.severity_name(c("pri")).alias("severity"),
