@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from netsight.functions.indicators import host_key, url_hostname
 from netsight.functions.ip import ip_bits, ip_version, network_key, parse_network
+from netsight.functions.text import computed_once
 
 DETECTION_KEY = ["event_id", "ioc_id", "match_type"]
 BROADCAST_KEY_ROWS = 500_000  # about 100 MB of keys in each executor
@@ -41,16 +42,16 @@ def active_indicators(iocs: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def indicator_keys(indicators: DataFrame) -> DataFrame:
     """Indicators with their join key; unusable ones (bad network, URL without host) drop out."""
-    value = F.col("value")
-    net = parse_network(value)
-    key = (F.when(F.col("type") == "ip", F.concat(F.lit("ip/"), value))
-           .when(F.col("type") == "cidr", F.col("_net.key"))
-           .when(F.col("type") == "domain", F.concat(F.lit("host/"), F.lower(value)))
-           .when(F.col("type") == "url", F.concat(F.lit("host/"), host_key(url_hostname(value)))))
-    return (indicators.withColumn("_net", F.when(F.col("type") == "cidr", net))
-            .select("ioc_id", "feed_id", "feed_name", "type", key.alias("key"),
-                    F.col("_net.ver").alias("ver"), F.col("_net.prefix_len").alias("prefix_len"))
-            .filter("key IS NOT NULL"))
+    value, kind = F.col("value"), F.col("type")
+    host = (F.when(kind == "domain", F.lower(value))
+            .when(kind == "url", host_key(url_hostname(value))))
+    parsed = computed_once(indicators, "_net", F.when(kind == "cidr", parse_network(value)))
+    keyed = computed_once(parsed, "key", F.when(kind == "ip", F.concat(F.lit("ip/"), value))
+                          .when(kind == "cidr", F.col("_net.key"))
+                          .otherwise(F.concat(F.lit("host/"), host)))
+    return keyed.filter("key IS NOT NULL").select(
+        "ioc_id", "feed_id", "feed_name", "type", "key",
+        F.col("_net.ver").alias("ver"), F.col("_net.prefix_len").alias("prefix_len"))
 
 
 @dataclass(frozen=True)

@@ -39,7 +39,7 @@ class StoredTables:
 
     @cached_property
     def snapshot(self) -> Snapshot:
-        return prepare_snapshot(self.indicators)
+        return prepare_snapshot(self.indicators, persist=True)
 
     @cached_property
     def events(self) -> DataFrame:
