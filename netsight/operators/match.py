@@ -12,11 +12,17 @@ domain     ``host/<name>``             every label suffix of the host name
 url        ``host/<host of the URL>``  as for domain
 =========  ==========================  ============================================
 
-Two exact ways to run the join, chosen by the counted size of the snapshot: a
-broadcast of the keys in one pass over the events, or a match of the distinct
-values only, joined back by shuffle. In the second way the distinct step
-pre-aggregates hot values, and the join back leaves the choice of broadcast,
-sort-merge and skew splitting to adaptive execution.
+Two exact ways to run the join:
+
+* by value (default): the distinct values are matched, then joined back to the
+  events. Hot addresses collapse in the map-side half of the distinct step, the
+  costly key work is done once per value, and adaptive execution broadcasts the
+  matched values when they turn out small or else splits skewed partitions of the
+  shuffled join. It reads the three value columns twice.
+* one pass: every event makes its own probes. No shuffle while the keys are
+  broadcast, about twice the work; the way for streams, which it works on too.
+
+In both, the indicator keys are broadcast only when their counted number allows it.
 """
 
 from dataclasses import dataclass
@@ -124,29 +130,34 @@ def probe_keys(values: DataFrame, prefix_lens: DataFrame) -> DataFrame:
         .drop("_ver", "_bits", "lens"))
 
 
+def _keys(snapshot: Snapshot) -> DataFrame:
+    return F.broadcast(snapshot.keys) if snapshot.fits_broadcast else snapshot.keys
+
+
 def _match_one_pass(values: DataFrame, snapshot: Snapshot) -> DataFrame:
-    return probe_keys(values, snapshot.prefix_lens).join(F.broadcast(snapshot.keys), "key")
+    return probe_keys(values, snapshot.prefix_lens).join(_keys(snapshot), "key")
 
 
-def _match_distinct_values(values: DataFrame, snapshot: Snapshot) -> DataFrame:
+def _match_by_value(values: DataFrame, snapshot: Snapshot) -> DataFrame:
     kind = (F.col("match_type") == "host").alias("is_host")
     distinct = values.select(kind, "value").distinct()
     hits = (probe_keys(distinct.withColumn("match_type", F.when(F.col("is_host"), "host").otherwise("ip")),
                        snapshot.prefix_lens)
-            .drop("match_type").join(snapshot.keys, "key"))
+            .drop("match_type").join(_keys(snapshot), "key"))
     return values.withColumn("is_host", kind).join(hits, ["is_host", "value"])
 
 
 def match_events(events: DataFrame, snapshot: Snapshot, created_at: Column | None = None,
-                 broadcast: bool | None = None) -> DataFrame:
+                 one_pass: bool | None = None) -> DataFrame:
     """All (event, indicator, match type) hits with feed attribution.
 
-    ``created_at`` is an expression over ``events`` (default: now). ``broadcast``
-    overrides the choice made from the snapshot size; both ways give the same rows.
+    ``created_at`` is an expression over ``events`` (default: now). ``one_pass``
+    overrides the choice, which is by value unless ``events`` is a stream; both
+    ways give the same rows. ``events`` should be a stored table.
     """
     values = event_values(events, created_at)
-    use_broadcast = snapshot.fits_broadcast if broadcast is None else broadcast
-    hits = (_match_one_pass if use_broadcast else _match_distinct_values)(values, snapshot)
+    one_pass = events.isStreaming if one_pass is None else one_pass
+    hits = (_match_one_pass if one_pass else _match_by_value)(values, snapshot)
     return hits.select("event_id", "ioc_id", "feed_id", "feed_name", "match_type", "matched_value",
                        "created_at")
 

@@ -231,7 +231,14 @@ def detections_all(spark, sf):
 def detections_all_by_value(spark, sf):
     """The same rows through the join on distinct values."""
     t = stored(spark, sf)
-    return match.match_events(t.events, t.snapshot, F.col("received_at"), broadcast=False)
+    return match.match_events(t.events, t.snapshot, F.col("received_at"), one_pass=False)
+
+
+@query
+def detections_all_one_pass(spark, sf):
+    """The same rows without a distinct step."""
+    t = stored(spark, sf)
+    return match.match_events(t.events, t.snapshot, F.col("received_at"), one_pass=True)
 
 
 @query

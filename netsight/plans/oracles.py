@@ -275,6 +275,7 @@ def all_oracles() -> dict[str, str]:
         "url_hostname_pages": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages",
         "detections_all": _with("hits", f"SELECT event_id, ioc_id, {feed_row}, feed_name, match_type, matched_value, {_ts('created_at')} AS created_at FROM hits"),
         "detections_all_by_value": _with("hits", f"SELECT event_id, ioc_id, {feed_row}, feed_name, match_type, matched_value, {_ts('created_at')} AS created_at FROM hits"),
+        "detections_all_one_pass": _with("hits", f"SELECT event_id, ioc_id, {feed_row}, feed_name, match_type, matched_value, {_ts('created_at')} AS created_at FROM hits"),
         "ioc_ref_count": _with("ai", "SELECT type, count(*) AS n_refs FROM ai WHERE value <> '100.64.0.0/99' GROUP BY type"),
         "retro_scan": _with("hits", f"""SELECT {hit} FROM hits WHERE match_type <> 'dst' AND event_id IN (
             SELECT id FROM ev WHERE ts >= {NOW} - INTERVAL 240 HOUR AND id > 0)"""),

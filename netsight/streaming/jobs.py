@@ -172,7 +172,7 @@ def inline_detections(lines: DataFrame, snapshot: Snapshot, event_id: Column, tz
     ``event_id`` must identify a line across re-sends.
     """
     events = accepted(parse_lines(lines, tz)).withColumn("id", event_id)
-    hits = match_events(events, snapshot, F.col("received_at"), broadcast=True)
+    hits = match_events(events, snapshot, F.col("received_at"))
     return (hits.withWatermark("created_at", lateness)
             .dropDuplicatesWithinWatermark(["event_id", "ioc_id", "match_type"]))
 

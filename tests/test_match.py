@@ -44,11 +44,11 @@ def _hits(df):
     return set(rows)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_golden_rows(spark, broadcast):
+@pytest.mark.parametrize("one_pass", [True, False])
+def test_golden_rows(spark, one_pass):
     snapshot = M.prepare_snapshot(spark.createDataFrame(ROWS, IND))
     events = spark.createDataFrame(EVENTS, EV)
-    assert _hits(M.match_events(events, snapshot, broadcast=broadcast)) == EXPECTED
+    assert _hits(M.match_events(events, snapshot, one_pass=one_pass)) == EXPECTED
 
 
 def test_reference_counts(spark):
@@ -84,8 +84,8 @@ def test_random_against_brute_force(spark):
                 expected.add((eid, iid, "host", name))
     snapshot = M.prepare_snapshot(spark.createDataFrame(inds, IND))
     df = spark.createDataFrame(events, EV)
-    assert _hits(M.match_events(df, snapshot, broadcast=True)) == expected
-    assert _hits(M.match_events(df, snapshot, broadcast=False)) == expected
+    assert _hits(M.match_events(df, snapshot, one_pass=True)) == expected
+    assert _hits(M.match_events(df, snapshot, one_pass=False)) == expected
 
 
 def _plan(df):
@@ -97,13 +97,28 @@ def test_plans_have_no_nested_loop_and_no_python(spark, tmp_path):
     spark.createDataFrame(EVENTS, EV).write.parquet(str(tmp_path / "events"))
     snapshot = M.prepare_snapshot(spark.read.parquet(str(tmp_path / "inds")))
     events = spark.read.parquet(str(tmp_path / "events"))
-    for broadcast in (True, False):
-        plan = _plan(M.match_events(events, snapshot, broadcast=broadcast))
+    for one_pass in (True, False):
+        plan = _plan(M.match_events(events, snapshot, one_pass=one_pass))
         for bad in ("NestedLoop", "CartesianProduct", "Python"):
             assert bad not in plan
         assert "ReadSchema: struct<id:bigint,src_ip:string,dst_ip:string,hostname:string>" in plan
-    one_pass = _plan(M.match_events(events, snapshot, broadcast=True))
-    assert "SortMergeJoin" not in one_pass
+    plan = _plan(M.match_events(events, snapshot, one_pass=True))
+    assert "SortMergeJoin" not in plan
+
+
+def test_by_value_join_holds_without_any_broadcast(spark, monkeypatch):
+    """All three joins shuffled, as with large tables, and a hot source."""
+    monkeypatch.setattr(M, "BROADCAST_KEY_ROWS", 0)
+    hot = [(i, "203.0.113.66", None, None) for i in range(100, 400)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        snapshot = M.prepare_snapshot(spark.createDataFrame(ROWS, IND))
+        df = M.match_events(spark.createDataFrame(EVENTS + hot, EV), snapshot)
+        assert "SortMergeJoin" in _plan(df)
+        assert _hits(df) == EXPECTED | {(e, i, "src", "203.0.113.66") for e, *_ in hot for i in (1, 11)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_large_snapshot_is_not_broadcast_by_hint(spark, monkeypatch):
