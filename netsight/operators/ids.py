@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsight.session import work_path
+from netsight.session import work_path, written_once
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -39,9 +39,7 @@ def number_rows(df: DataFrame, start: int = 0, name: str = "id") -> DataFrame:
 
 def assign_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
     """Number rows in the order of the ``order`` columns; ``df`` is evaluated once."""
-    path = work_path(df.sparkSession, "unordered")
-    df.write.parquet(path)
-    return number_rows(in_order(df.sparkSession.read.parquet(path), order), start, name)
+    return number_rows(in_order(written_once(df, "unordered"), order), start, name)
 
 
 def max_id(df: DataFrame, column: str = "id") -> DataFrame:

@@ -7,7 +7,7 @@ from netsight.constants import DEFAULT_PULL_MINUTES, FEED_TYPES, PENDING_PULLS_L
 from netsight.functions.text import strip
 from netsight.operators.ids import assign_ids
 from netsight.schemas import FEEDS, IOCS, PARSER_CONFIG
-from netsight.session import path_exists
+from netsight.session import path_exists, written_once
 
 IOC_KEY = ["feed_id", "type", "value"]
 _IOC_ATTRIBUTES = ["description", "tags", "severity", "reference"]
@@ -21,32 +21,37 @@ def upsert_iocs(existing: DataFrame, batch: DataFrame, now: Column) -> DataFrame
     ``batch`` is what the feed parsers return. Per (feed, type, value) the last
     row of the batch gives the attributes, the seen window only widens, and the
     row becomes active; indicators missing from the batch stay as they are. New
-    ids go up in batch order. All aggregates are partial, so a value repeated many
-    times is merged before the shuffle. Pass only the feeds of the batch when the
-    stored table is partitioned by feed.
+    ids go up in batch order.
+
+    The batch is merged first, by partial aggregates, so that a value repeated
+    many times does not fill one task, and written once. The stored table is not
+    aggregated: it meets the merged batch in joins, which need no shuffle of the
+    table as long as the written batch is small enough to broadcast.
     """
-    no_id = F.lit(None).cast("bigint")
-    old = existing.select(
-        *IOC_KEY, *_IOC_ATTRIBUTES, "first_seen", "last_seen", "id", "active", "created_at",
-        F.struct(F.lit(0).alias("gen"), no_id.alias("payload_id"), no_id.alias("pos")).alias("_order"))
-    new = batch.select(
-        *IOC_KEY, "description", F.when(F.size("tags") > 0, F.col("tags")).alias("tags"), "severity",
-        "reference", F.coalesce("first_seen", now).alias("first_seen"),
-        F.coalesce("last_seen", now).alias("last_seen"), no_id.alias("id"),
-        F.lit(True).alias("active"), F.lit(None).cast("timestamp").alias("created_at"),
-        F.struct(F.lit(1).alias("gen"), F.col("payload_id").cast("bigint").alias("payload_id"),
-                 F.col("pos").cast("bigint").alias("pos")).alias("_order"))
-    merged = old.unionByName(new).groupBy(*IOC_KEY).agg(
-        F.max_by(F.struct(*_IOC_ATTRIBUTES, "active"), "_order").alias("_last"),
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.min("id").alias("id"), F.min("created_at").alias("created_at"), F.min("_order").alias("_first"))
-    rows = merged.select("id", *IOC_KEY, "_last.*", "first_seen", "last_seen",
-                         F.coalesce("created_at", now).alias("created_at"),
-                         "_first.payload_id", "_first.pos")
-    start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = assign_ids(rows.filter("id IS NULL").drop("id"), ["payload_id", "pos", *IOC_KEY], start)
+    order = F.struct(F.col("payload_id").cast("bigint").alias("payload_id"), F.col("pos").cast("bigint").alias("pos"))
+    rows = batch.select(
+        *IOC_KEY, "description", F.when(F.size("tags") > 0, F.col("tags")).alias("tags"), "severity", "reference",
+        F.coalesce("first_seen", now).alias("first_seen"), F.coalesce("last_seen", now).alias("last_seen"),
+        order.alias("_order"))
+    merged = written_once(rows.groupBy(*IOC_KEY).agg(
+        F.max_by(F.struct(*_IOC_ATTRIBUTES), "_order").alias("_new"),
+        F.min("first_seen").alias("_first_seen"), F.max("last_seen").alias("_last_seen"),
+        F.min("_order").alias("_order")), "merged")
+
+    hit = F.col("_order").isNotNull()
+    pick = {**{c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in _IOC_ATTRIBUTES},
+            "first_seen": F.least("first_seen", "_first_seen"), "last_seen": F.greatest("last_seen", "_last_seen"),
+            "active": F.col("active") | hit}
     names = IOCS.fieldNames()
-    return rows.filter("id IS NOT NULL").select(*names).unionByName(fresh.select(*names))
+    kept = existing.join(merged, IOC_KEY, "left").select(*[pick.get(c, F.col(c)).alias(c) for c in names])
+
+    known = existing.select(*IOC_KEY).join(merged.select(*IOC_KEY), IOC_KEY, "left_semi")
+    added = merged.join(known, IOC_KEY, "left_anti").select(
+        *IOC_KEY, "_new.*", F.col("_first_seen").alias("first_seen"), F.col("_last_seen").alias("last_seen"),
+        F.lit(True).alias("active"), now.alias("created_at"), "_order.payload_id", "_order.pos")
+    start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = assign_ids(added, ["payload_id", "pos", *IOC_KEY], start)
+    return kept.unionByName(fresh.select(*names))
 
 
 def deactivate_feed_iocs(iocs: DataFrame, feed_ids: DataFrame) -> DataFrame:
