@@ -195,6 +195,36 @@ def pending_pulls(requests: DataFrame, feeds: DataFrame, limit: int = PENDING_PU
         "id", "feed_id", F.when(F.col("_ok"), "pull").otherwise("skipped (feed unavailable)").alias("status"))
 
 
+def request_pulls(requests: DataFrame, wanted: DataFrame, feeds: DataFrame, now: Column) -> DataFrame:
+    """Queue after adding ``wanted(request_no, feed_id)``; deleted and unknown feeds are refused.
+
+    A disabled feed may be asked for; the triage skips it.
+    """
+    live = feeds.filter("deleted_at IS NULL").select(F.col("id").alias("feed_id"))
+    start = requests.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = assign_ids(wanted.join(live, "feed_id", "left_semi"), ["request_no"], start).select(
+        "id", "feed_id", now.alias("requested_at"))
+    return requests.unionByName(added, allowMissingColumns=True)
+
+
+def finish_pulls(requests: DataFrame, pending: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Queue after a round: skipped requests and those whose feed has a result are done.
+
+    ``pending`` is the triage, ``results(feed_id, n, error)`` the outcome per feed. The
+    pending rows are bounded by the round's limit.
+    """
+    outcome = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), F.left("error", F.lit(200)))).when(
+        F.col("n").isNotNull(), F.concat(F.lit("ok ("), F.col("n").cast("string"), F.lit(")")))
+    done = (pending.join(results.select("feed_id", "n", "error"), "feed_id", "left")
+            .select("id", F.when(F.col("status") == "pull", outcome).otherwise(F.col("status")).alias("_status"))
+            .filter("_status IS NOT NULL"))
+    hit = F.col("_status").isNotNull()
+    put = {"processed_at": F.when(hit, now).otherwise(F.col("processed_at")),
+           "status": F.coalesce("_status", "status")}
+    return requests.join(done, "id", "left").select(
+        *[put.get(c, F.col(c)).alias(c) for c in requests.columns])
+
+
 # -- snapshot versions ------------------------------------------------------
 
 def publish_version(iocs: DataFrame, feeds: DataFrame, root: str) -> int:

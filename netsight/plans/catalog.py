@@ -13,6 +13,7 @@ from netsight.operators import feeds as feed_ops
 from netsight.operators import ingest, match, registry
 from netsight.plans import views
 from netsight.plans.stored import stored
+from netsight.plans.sweep import sweep
 from netsight.session import prepare, work_path
 from netsight.sources import derived, derived_feeds, storage
 from netsight.streaming import jobs
@@ -373,6 +374,35 @@ def pull_request_triage(spark, sf):
     return registry.pending_pulls(derived_feeds.pull_requests(spark, sf), stored(spark, sf).feeds)
 
 
+@query
+def pull_requests_add(spark, sf):
+    wanted = derived.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("request_no"), (1 + F.col("c_custkey") % 150).cast("int").alias("feed_id"))
+    queue = registry.request_pulls(derived_feeds.pull_requests(spark, sf), wanted, stored(spark, sf).feeds, now())
+    return queue.select("id", "feed_id", "processed_at", "requested_at")
+
+
+@query
+def pull_requests_finish(spark, sf):
+    feeds = stored(spark, sf).feeds
+    requests = derived_feeds.pull_requests(spark, sf).withColumn("status", F.lit(None).cast("string"))
+    results = feed_ops.sweep_results(derived_feeds.sweep_payloads(spark, sf), feeds)
+    return registry.finish_pulls(requests, registry.pending_pulls(requests, feeds), results, now())
+
+
+@query
+def sweep_round(spark, sf):
+    """A whole pull round; the indicators of the version it publishes."""
+    t = stored(spark, sf)
+    root = work_path(spark, "snapshots")
+    registry.publish_version(t.iocs, t.feeds, root)
+    version = sweep(derived_feeds.sweep_payloads(spark, sf), root, now())
+    iocs, feeds = registry.read_version(spark, root, version)
+    status = feeds.select(F.col("id").alias("feed_id"), "last_status")
+    counts = iocs.groupBy("feed_id", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("active")).alias("n_active"))
+    return counts.join(status, "feed_id")
+
+
 @query
 def feed_sweep_summary(spark, sf):
     return feed_ops.sweep_summary(derived_feeds.sweep_payloads(spark, sf), stored(spark, sf).feeds)

@@ -169,6 +169,16 @@ _SWEEP = f"""
          WHEN f.k % 16 = 7 THEN 'collection nope not found on server' END AS error
   FROM tf f WHERE f.enabled AND f.deleted_at IS NULL"""
 
+_PULLED_ROWS = "\nUNION ALL ".join(
+    f"SELECT feed_id, '{kind}' AS type, {value} AS value FROM (SELECT feed_id, k, 'http://p' || k || '.example.com/' AS url "
+    f"FROM sweep WHERE error IS NULL) s WHERE {where}"
+    for kind, value, where in [
+        ("ip", P.PLAIN_IP, "k % 4 = 0"), ("cidr", P.PLAIN_NET, "k % 4 = 0"), ("domain", P.PLAIN_DOMAIN, "k % 4 = 0"),
+        ("url", P.PLAIN_URL, "k % 4 = 0"), ("url", P.CSV_URL, "k % 4 = 1"), ("ip", P.CSV_IP, "k % 4 = 1"),
+        ("domain", P.PLAIN_DOMAIN, "k % 4 = 1"), ("url", "url", "k % 4 = 2"),
+        ("domain", f"'d' || {P.K} || '.example.com'", f"k % 4 = 2 AND {P.SWEEP_SHAPE} <> 2"),
+        ("ip", P.STIX_V6, f"k % 4 = 2 AND {P.SWEEP_SHAPE} <> 2"), ("ip", P.CSV_IP, "k % 4 = 3")])
+
 _UPSERT = f"""
   SELECT feed_id, type, value, arg_max(struct_pack(description, tags, severity, reference, active), ord) AS last,
     min(first_seen) AS first_seen, max(last_seen) AS last_seen, min(id) AS id, min(created_at) AS created_at,
@@ -336,6 +346,24 @@ def all_oracles() -> dict[str, str]:
             CASE WHEN f.id IS NULL THEN 'skipped (feed unavailable)' ELSE 'pull' END AS status
             FROM (SELECT * FROM ({_fill(P.PULL_REQUESTS)}) q WHERE processed_at IS NULL ORDER BY id LIMIT 20) r
             LEFT JOIN (SELECT id FROM tf WHERE enabled AND deleted_at IS NULL) f ON f.id = r.feed_id"""),
+        "pull_requests_add": _with("tf", f"""SELECT id, CAST(feed_id AS BIGINT) AS feed_id, {_ts('processed_at')} AS processed_at,
+              CAST(NULL AS VARCHAR) AS requested_at FROM ({_fill(P.PULL_REQUESTS)}) q
+            UNION ALL SELECT (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY c_custkey), 1 + c_custkey % 150, NULL,
+              {_ts(NOW)} FROM customer WHERE 1 + c_custkey % 150 IN (SELECT id FROM tf WHERE deleted_at IS NULL)"""),
+        "pull_requests_finish": _with("tf", f"""SELECT q.id, CAST(q.feed_id AS BIGINT) AS feed_id,
+              {_ts(f"CASE WHEN d.id IS NOT NULL THEN {NOW} ELSE q.processed_at END")} AS processed_at, d.status
+            FROM ({_fill(P.PULL_REQUESTS)}) q LEFT JOIN (
+              SELECT r.id, CASE WHEN s.feed_id IS NULL THEN 'skipped (feed unavailable)'
+                     WHEN s.error IS NOT NULL THEN 'error: ' || s.error ELSE 'ok (' || s.n || ')' END AS status
+              FROM (SELECT * FROM ({_fill(P.PULL_REQUESTS)}) x WHERE processed_at IS NULL ORDER BY id LIMIT 20) r
+              LEFT JOIN sweep s ON s.feed_id = r.feed_id) d ON d.id = q.id""", sweep=_SWEEP),
+        "sweep_round": _with("ti tf", """SELECT CAST(u.feed_id AS BIGINT) AS feed_id, u.type, count(*) AS n,
+              count(*) FILTER (u.active) AS n_active,
+              any_value(CASE WHEN s.error IS NOT NULL THEN 'error' WHEN s.feed_id IS NOT NULL THEN 'ok (' || s.n || ')' END) AS last_status
+            FROM (SELECT feed_id, type, value, bool_or(active) AS active FROM (
+                SELECT feed_id, type, value, active FROM ti UNION ALL SELECT feed_id, type, value, TRUE FROM pulled) x
+              GROUP BY 1, 2, 3) u JOIN tf f ON f.id = u.feed_id LEFT JOIN sweep s ON s.feed_id = u.feed_id
+            GROUP BY u.feed_id, u.type""", sweep=_SWEEP, pulled=_PULLED_ROWS),
         "feed_sweep_summary": _with("tf", """SELECT name AS feed_name,
             coalesce('ERROR: ' || error, CAST(n AS VARCHAR)) AS result FROM sweep""", sweep=_SWEEP),
         "ioc_version": _with("ti", "SELECT CAST(2 AS BIGINT) AS version, count(*) AS n_iocs FROM ti WHERE active"),
