@@ -121,23 +121,23 @@ def after_head(msg: Column, head: Column) -> Column:
 
 
 def key_values(msg: Column) -> Column:
-    """Array of ``(key, value)`` structs in text order."""
-
-    def cut(pair: Column) -> Column:
-        side = lambda i: F.substring_index(pair, "=", i)
-        return F.struct(F.rtrim(side(1), F.lit(WS_CHARS)).alias("k"),
-                        F.ltrim(side(-1), F.lit(WS_CHARS)).alias("v"))
-
-    found = F.regexp_extract_all(msg, F.lit(FIELD_PATTERN), F.lit(0))
-    return F.when(msg.contains("="), F.transform(found, cut))
+    """Struct of the arrays ``k`` and ``v`` of all key=value fields, the last field first."""
+    found = F.reverse(F.regexp_extract_all(msg, F.lit(FIELD_PATTERN), F.lit(0)))
+    side = lambda pair, i: F.trim(F.substring_index(pair, "=", i), F.lit(WS_CHARS))
+    pairs = let(found, lambda all_: F.struct(
+        F.transform(all_, lambda pair: side(pair, 1)).alias("k"),
+        F.transform(all_, lambda pair: side(pair, -1)).alias("v")))
+    return F.when(msg.contains("="), pairs)
 
 
 def last_value(pairs: Column, key: str) -> Column:
-    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
+    position = F.nullif(F.array_position(pairs["k"], key), F.lit(0))
+    return F.try_element_at(pairs["v"], position.cast("int"))
 
 
 def firewall_action(tag: Column, msg: Column, pairs: Column) -> Column:
-    has_flow = F.exists(pairs, lambda p: p["k"].isin("SRC", "DST", "IN", "OUT"))
+    flow_keys = F.array(*map(F.lit, ["SRC", "DST", "IN", "OUT"]))
+    has_flow = F.arrays_overlap(pairs["k"], flow_keys)
     return F.when((F.coalesce(tag, F.lit("kernel")) == "kernel") & has_flow,
                   nullif_empty(F.regexp_extract(msg, ACTION_PATTERN, 1)))
 
