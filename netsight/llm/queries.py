@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netsight.llm import chunk_bpe, order, packing
+from netsight.llm import chunk_bpe, order, packing, simhash
 from netsight.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those at 4 bits or less."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents packed into sequences of 4096."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -29,7 +36,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op8_chunk_bpe, op10_training_order)}
+    return {f.__name__: f for f in (op5_simhash_gray, op6_best_fit_packing, op8_chunk_bpe, op10_training_order)}
 
 
 def llm_oracles() -> dict[str, str]:
