@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsight.llm import chunk_bpe, order, packing, simhash
+from netsight.llm import chunk_bpe, order, packing, rlbwt, simhash
 from netsight.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -30,13 +30,18 @@ def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 200-byte strings that occur twice or more."""
+    return rlbwt.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of all documents in training order; returns where each document's ids are."""
     return order.training_order(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash_gray, op6_best_fit_packing, op8_chunk_bpe, op10_training_order)}
+    return {f.__name__: f for f in (op5_simhash_gray, op6_best_fit_packing, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
 
 
 def llm_oracles() -> dict[str, str]:
