@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,3 +136,42 @@ def window_lows(values: np.ndarray, span: int) -> np.ndarray:
         low = np.where(later, low[step:], low[:-step])
         done += step
     return at[:n]
+
+
+_LONG = 512
+_FACTORS = odd_numbers(_LONG + 1, 7)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the words of a slice's texts, and which bytes belong to one.
+
+    A word is a run of bytes other than ASCII white space; none reaches past its text.
+    """
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets[:-1]] = True
+    first, inside = first[:-1], ~SPACE[data]
+    begins, ends = inside & first, inside.copy()
+    begins[1:] |= inside[1:] & ~inside[:-1]
+    ends[:-1] &= ~inside[1:] | first[1:]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1 - starts, inside
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span; bytes that are not ``inside`` count for nothing."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    np.minimum(place, _LONG, out=place)
+    terms = _FACTORS[place] * (data[starts[0]:].astype(np.uint64) + np.uint64(1))
+    terms[~inside[starts[0]:]] = 0
+    h = mixed(np.add.reduceat(terms, starts - starts[0]) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > _LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i]:starts[i] + lengths[i]].tobytes())
+    return h
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of each word, where each text's words begin)."""
+    starts, lengths, inside = word_spans(data, offsets)
+    return span_hashes(data, starts, lengths, inside), np.searchsorted(starts, offsets)

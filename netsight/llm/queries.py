@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsight.llm import chunk_bpe, order, packing, rlbwt, simhash
+from netsight.llm import chunk_bpe, doubling, order, packing, rlbwt, simhash
 from netsight.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without 50-word windows that a smaller document has."""
+    return doubling.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
     return chunk_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -41,7 +46,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash_gray, op6_best_fit_packing, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
+    return {f.__name__: f for f in (op5_simhash_gray, op6_best_fit_packing, op7_level_doubling, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
 
 
 def llm_oracles() -> dict[str, str]:

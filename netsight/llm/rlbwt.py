@@ -19,20 +19,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsight.llm.common import map_texts, mixed, shared, text_bytes, texts
-from netsight.llm.zones import run_hashes, zones
+from netsight.llm.common import mixed, shared, text_bytes
+from netsight.llm.zones import corpus_zones, keyed, run_hashes, runs
 
 WINDOW = 200
 GRAM = 32
 KINDS = 1000
 CELL = 16
-PART = 1 << 20
 BLOCK_BYTES = 256 << 10
-SEEN = 1 << 18
-_ZONE = "group long, content long, ka long, kb long, low int, high int, anchor int, n long"
 
 
 class RunIndex:
@@ -113,74 +110,6 @@ def repeated_starts(pieces: list[bytes], copies: list[int], window: int) -> list
     return out
 
 
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return edges[::2], edges[1::2]
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """Texts with 128 bits that stand for them."""
-    return texts(docs).select("doc_id", "text", F.xxhash64("text").alias("ka"),
-                              F.xxhash64(F.lit(1), F.col("text"), F.octet_length("text")).alias("kb"))
-
-
-def corpus_zones(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The zones that may repeat, one row for each text and place, with the number of copies.
-
-    A task knows some groups to be repeated from what it has read itself; their rows need no
-    count, so they are spread evenly, and one row in all tells the other tasks of the group.
-    """
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            ka, kb = (batch.column(c).to_numpy() for c in ("ka", "kb"))
-            _, first, times = np.unique(np.rec.fromarrays([ka, kb]), return_index=True, return_counts=True)
-            where, spans = [], []
-            for doc, n in zip(first.tolist(), times.tolist(), strict=True):
-                a, b = int(offsets[doc]), int(offsets[doc + 1])
-                for low in range(a, max(a + 1, b - window + 1), PART):
-                    if min(b, low + PART + window - 1) - low >= window:
-                        where.append((doc, n, low - a))
-                        spans.append((low, min(b, low + PART + window - 1)))
-            at = 0
-            while at < len(spans):
-                size, upto = 0, at
-                while upto < len(spans) and (upto == at or size + spans[upto][1] - spans[upto][0] <= PART // 2):
-                    size += spans[upto][1] - spans[upto][0]
-                    upto += 1
-                values = np.concatenate([data[a:b] for a, b in spans[at:upto]]).astype(np.uint64) + np.uint64(1)
-                places = np.concatenate([[0], np.cumsum([b - a for a, b in spans[at:upto]])])
-                z = zones(values, places, window, gram)
-                own = np.array(where[at:upto], np.int64).reshape(-1, 3)[z["row"]]
-                base = own[:, 2] - places[z["row"]]
-                group, n = z["group"], own[:, 1]
-                kinds, kind, count = np.unique(group, return_inverse=True, return_counts=True)
-                many = np.bincount(kind, weights=n, minlength=len(kinds)) > 1
-                known = np.fromiter((g in seen for g in kinds.tolist()), bool, len(kinds))
-                sure = (many | known)[kind]
-                teller = np.zeros(len(group), bool)
-                teller[np.unique(kind, return_index=True)[1][many & ~known]] = True
-                if len(seen) < SEEN:
-                    seen.update(kinds[many & ~known].tolist())
-                yield pa.RecordBatch.from_pydict({
-                    "group": pa.array(group), "content": pa.array(z["content"]), "ka": pa.array(ka[own[:, 0]]), "kb": pa.array(kb[own[:, 0]]),
-                    "low": pa.array((z["low"] + base).astype(np.int32)), "high": pa.array((z["high"] + base).astype(np.int32)),
-                    "anchor": pa.array((z["anchor"] + base).astype(np.int32)), "n": pa.array(n),
-                    "sure": pa.array(sure), "teller": pa.array(teller | ~sure)})
-                at = upto
-
-    rows = keyed(docs).select("text", "ka", "kb").mapInArrow(run, _ZONE + ", sure boolean, teller boolean")
-    dealt = rows.withColumn("deal", F.when(F.col("teller"), F.col("group")).otherwise(F.xxhash64("ka", "low", "group")))
-    total = F.sum("n").over(Window.partitionBy("deal", "teller"))
-    rest = F.max("sure").over(Window.partitionBy("deal", "teller"))
-    return (dealt.withColumn("total", total).withColumn("rest", rest)
-            .where(F.col("sure") | (F.col("total") > 1) | F.col("rest"))
-            .groupBy("group", "content", "ka", "kb", "low", "high", "anchor").agg(F.sum("n").alias("n")))
-
-
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(distinct, starts): the distinct texts, and runs of their repeated window starts.
 

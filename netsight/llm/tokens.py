@@ -15,14 +15,11 @@ import re
 import numpy as np
 import regex
 import tiktoken
-import xxhash
 from tokenizers import Tokenizer
 
-from netsight.llm.common import SPACE, mixed, odd_numbers, row_of
+from netsight.llm.common import SPACE, row_of, span_hashes, word_spans
 
 CACHE_UNITS = 1 << 21
-_LONG = 512
-_FACTORS = odd_numbers(_LONG + 1, 7)
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _PLAIN = {"words": r"[!-~À-ÖØ-öø-ÿ]+", "bytes": r"[^\x01]+"}
 #: The patterns by which the two vocabularies split a text.
@@ -144,32 +141,15 @@ class Encoder:
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and lengths of the units, and which bytes belong to one."""
-        space = SPACE[data]
-        first = np.zeros(len(data) + 1, bool)
-        first[offsets[:-1]] = True
-        first = first[:-1]
         if self.kind == "bytes":
+            space = SPACE[data]
+            first = np.zeros(len(data) + 1, bool)
+            first[offsets[:-1]] = True
+            first = first[:-1]
             first[1:] |= space[1:] & ~space[:-1]
             starts = np.flatnonzero(first)
             return starts, np.diff(np.append(starts, len(data))), np.ones(len(data), bool)
-        inside = ~space
-        begins = inside & first
-        begins[1:] |= inside[1:] & space[:-1]
-        ends = inside.copy()
-        ends[:-1] &= space[1:] | first[1:]
-        starts = np.flatnonzero(begins)
-        return starts, np.flatnonzero(ends) + 1 - starts, inside
-
-    def hashes(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        ends = np.append(starts[1:], len(data))
-        place = np.arange(starts[0], len(data)) - np.repeat(starts, ends - starts)
-        np.minimum(place, _LONG, out=place)
-        terms = _FACTORS[place] * (data[starts[0]:].astype(np.uint64) + np.uint64(1))
-        terms[~inside[starts[0]:]] = 0
-        h = mixed(np.add.reduceat(terms, starts - starts[0]) + lengths.astype(np.uint64))
-        for i in np.flatnonzero(lengths > _LONG):
-            h[i] = xxhash.xxh3_64_intdigest(data[starts[i]:starts[i] + lengths[i]].tobytes())
-        return h
+        return word_spans(data, offsets)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice's texts (uint16), and where each text's ids begin."""
@@ -178,7 +158,7 @@ class Encoder:
             return np.zeros(0, np.uint16), np.zeros(rows + 1, np.int64)
         starts, lengths, inside = self.cut(data, offsets)
         if len(starts):
-            h = self.hashes(data, starts, lengths, inside)
+            h = span_hashes(data, starts, lengths, inside)
             entry = self.units.find(h)
             missing = np.flatnonzero(entry < 0)
             if len(missing):
