@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsight.llm import chunk_bpe, doubling, order, packing, rlbwt, secrets, simhash
+from netsight.llm import chunk_bpe, doubling, order, packing, rlbwt, secrets, simhash, toxicity
 from netsight.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts, and spans in code points."""
     return secrets.digests(table(spark, sf_dir, "documents"))
@@ -51,7 +57,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_automaton, op5_simhash_gray, op6_best_fit_packing, op7_level_doubling, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
+    return {f.__name__: f for f in (op1_toxicity_cnn, op2_secret_automaton, op5_simhash_gray, op6_best_fit_packing, op7_level_doubling, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
 
 
 def llm_oracles() -> dict[str, str]:
