@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsight.llm import chunk_bpe, doubling, order, packing, rlbwt, secrets, simhash, toxicity
+from netsight.llm import chunk_bpe, cover_tree, doubling, learned_parts, order, packing, rlbwt, secrets, simhash, toxicity
 from netsight.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -25,6 +25,16 @@ def op2_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_learned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every 20th vector."""
+    return learned_parts.nearest(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+def op4_dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer scores of every 50th vector."""
+    return cover_tree.top_scores(table(spark, sf_dir, "embeddings"), 50, 5)
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those at 4 bits or less."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
@@ -57,7 +67,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_cnn, op2_secret_automaton, op5_simhash_gray, op6_best_fit_packing, op7_level_doubling, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
+    return {f.__name__: f for f in (op1_toxicity_cnn, op2_secret_automaton, op3_learned_parts, op4_dual_cover_tree, op5_simhash_gray, op6_best_fit_packing, op7_level_doubling, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
 
 
 def llm_oracles() -> dict[str, str]:
