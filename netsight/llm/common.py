@@ -77,6 +77,32 @@ def map_texts(df: DataFrame, column: str, schema: str,
     return df.mapInArrow(run, schema)
 
 
+def map_documents(docs: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray | None, list | None]]) -> DataFrame:
+    """Run ``work(rows, bytes, offsets)`` over slices; it says which rows stay and their new texts.
+
+    All columns are kept as they are, but for ``text`` and the length in ``n_chars`` where there
+    is one; a null text that is not replaced stays null.
+    """
+    schema = docs.schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text").fill_null(""))
+            for low, high in slices(offsets):
+                rows = batch.slice(low, high - low)
+                keep, new = work(rows, data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+                if new is not None:
+                    old = rows.column("text").to_pylist()
+                    new = [o if n is None else n for o, n in zip(old, new, strict=True)]
+                    for name, values in (("text", new), ("n_chars", [None if n is None else len(n) for n in new])):
+                        if name in rows.schema.names:
+                            at = rows.schema.get_field_index(name)
+                            rows = rows.set_column(at, rows.schema.field(at).name, pa.array(values, rows.schema.field(at).type))
+                yield rows if keep is None else rows.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def row_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The row that holds each byte position."""
     return np.searchsorted(offsets, positions, "right") - 1

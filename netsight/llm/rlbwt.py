@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsight.llm.common import mixed, shared, text_bytes
+from netsight.llm.common import map_documents, mixed, shared, text_bytes
 from netsight.llm.zones import corpus_zones, keyed, run_hashes, runs
 
 WINDOW = 200
@@ -240,3 +240,36 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     made = spans(docs, window, gram).mapInArrow(run, "ka long, kb long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return keyed(docs).select("doc_id", "ka", "kb").join(made, ["ka", "kb"]).drop("ka", "kb")
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` without the repeated bytes; characters stay whole, and texts that lose all go."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cut = (spans(docs, window, gram).where(F.size("lows") > 0)
+           .select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), F.col("lows").alias("_lows"), F.col("highs").alias("_highs")))
+    rows = (docs.withColumn("_ka", F.xxhash64(text)).withColumn("_kb", F.xxhash64(F.lit(1), text, F.octet_length(text)))
+            .join(cut, ["_ka", "_kb"], "left").drop("_ka", "_kb"))
+
+    def work(batch, data, offsets):
+        raw, bounds, out, keep = data.tobytes(), offsets.tolist(), [], []
+        for a, b, lows, highs in zip(bounds, bounds[1:], batch.column("_lows").to_pylist(), batch.column("_highs").to_pylist(), strict=False):
+            if lows is None:
+                out.append(None)
+                keep.append(True)
+                continue
+            own = raw[a:b]
+            # A span gives up the ends that are parts of characters.
+            inner = [(_whole(own, lo, 1), _whole(own, hi, -1)) for lo, hi in zip(lows, highs, strict=True)]
+            left = kept_bytes(own, [lo for lo, hi in inner if lo < hi], [hi for lo, hi in inner if lo < hi]).decode("utf-8")
+            out.append(left)
+            keep.append(left != "")
+        return np.array(keep, bool), out
+
+    return map_documents(rows, work).drop("_lows", "_highs")
+
+
+def _whole(raw: bytes, at: int, step: int) -> int:
+    """The nearest place between characters, going this way."""
+    while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += step
+    return at

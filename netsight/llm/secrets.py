@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsight.llm.common import map_texts, texts
+from netsight.llm.common import map_documents, map_texts, texts
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -346,6 +346,24 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return map_texts(texts(docs), "text", "doc_id long, text string, spans array<struct<kind: string, start: long, end: long>>", work)
 
 
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with ``mark`` in place of every secret; secrets that overlap are one."""
+    made = docs.sparkSession.sparkContext.broadcast(scanner(rules))
+
+    def work(rows, data, offsets):
+        raw, bounds, out = data.tobytes(), offsets.tolist(), []
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            text, parts, at = raw[low:high], [], 0
+            for start, _, end in made.value.scan(text):
+                if start >= at:
+                    parts += [text[at:start].decode("utf-8"), mark]
+                at = max(at, end)
+            out.append("".join([*parts, text[at:].decode("utf-8")]) if parts else None)
+        return None, out
+
+    return map_documents(docs, work)
+
+
 def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document the counts of the base kinds, the digest of their spans, and all spans."""
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

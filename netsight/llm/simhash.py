@@ -212,3 +212,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     linked = shared(named.join(ids, "root").select("fp", "component_id"), "classes")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs``, as they are, that have the smallest doc_id of their component.
+
+    Rows that share this doc_id all stay; so do rows without one if their component has none.
+    """
+    found = near_duplicates(docs, shingle, distance)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
