@@ -20,9 +20,6 @@ FACILITY_NAMES = ["kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "ne
                   "solaris-cron", "local0", "local1", "local2", "local3", "local4",
                   "local5", "local6", "local7"]
 SEVERITY_NAMES = ["emerg", "alert", "crit", "err", "warning", "notice", "info", "debug"]
-FIELD_KEYS = ["SRC", "DST", "SPT", "DPT", "PROTO", "IN", "OUT"]
-DAEMON_NAMES = ["kernel", "dnsmasq-dhcp", "dnsmasq", "hostapd", "pppd",
-                "ubios", "unifi", "network", "syslog"]
 
 LINE_END_PATTERN = r"[\r\n]+\z"
 HEADER_PATTERN = (
@@ -31,10 +28,9 @@ HEADER_PATTERN = (
 )
 TAG_PATTERN = rf"(?U)(?d)^([^:\s\x1c-\x1f]+):{WS}?(.*)$"
 PID_PATTERN = r"\[[0-9]+\]$"
-DAEMON_PATTERN = r"^(" + "|".join(DAEMON_NAMES) + r")(?:\[[0-9]+\])?:"
+DAEMON_PATTERN = r"^(kernel|dnsmasq-dhcp|dnsmasq|hostapd|pppd|ubios|unifi|network|syslog)(?:\[[0-9]+\])?:"
 FIELD_PATTERN = (
-    r"(?U)(?d)\b(?:" + "|".join(FIELD_KEYS) + rf"){WS}*={WS}*[^\s\x1c-\x1f=]+"
-    rf"(?={WS}+\w+=|{WS}*$)"
+    rf"(?U)(?d)\b(?:SRC|DST|SPT|DPT|PROTO|IN|OUT){WS}*={WS}*[^\s\x1c-\x1f=]+(?={WS}+\w+=|{WS}*$)"
 )
 ACTION_PATTERN = r"\[([A-Za-z][A-Za-z0-9_.-]*)\]"
 DNS_QUERY_PATTERN = rf"(?U)query\[(?:[A-Za-z0-9]+)\]{WS}+({NON_WS}+){WS}+from{WS}+({NON_WS}+)"
@@ -48,7 +44,6 @@ SYSTEM_TAGS = ["ubios", "unifi", "network", "syslog"]
 # -- feeds and indicators ---------------------------------------------------
 FEED_TYPES = ["plain", "csv", "stix", "taxii"]
 PAYLOAD_CAP_BYTES = 20 * 1024 * 1024
-CSV_FIELD_CAP_CHARS = 131072
 DEFAULT_PULL_MINUTES = 1440
 ERROR_TEXT_CHARS = 500
 URL_HOST_PATTERN = r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]+)"
@@ -84,6 +79,5 @@ PAGE_MAX = 500
 EVENTS_SINCE_LIMIT = 200
 DETECTIONS_SINCE_LIMIT = 100
 PENDING_PULLS_LIMIT = 20
-RETRO_SCAN_HOURS = 24
 SNAPSHOT_EVENTS = 10
 SNAPSHOT_DETECTIONS = 5
