@@ -4,8 +4,9 @@ Every parser takes ``payloads(feed_id, payload_id, payload)``, plus the feed's
 ``parser_config`` where it needs it, and returns one row per indicator:
 ``feed_id, payload_id, pos, type, value, description, tags, severity, reference,
 first_seen, last_seen``; ``(payload_id, pos)`` keeps the order of the text.
-A payload is split inside its own row, which the size cap bounds; everything
-after the split is row-parallel and needs no shuffle.
+A payload is split inside its own row; everything after the split is row-parallel
+and needs no shuffle. A payload above the size cap fails its feed's pull, with
+an error text; it is never cut or dropped in silence.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsight.constants import (
-    CSV_FIELD_CAP_CHARS, ERROR_TEXT_CHARS, LINE_BREAK_PATTERN, NON_WS, PAYLOAD_CAP_BYTES)
+    ERROR_TEXT_CHARS, LINE_BREAK_PATTERN, NON_WS, PAYLOAD_CAP_BYTES)
 from netsight.functions.csv import csv_fields, csv_records, first_field, has_bare_return
 from netsight.functions.indicators import infer_ioc_type, pick_column, split_tags
 from netsight.functions.stix import first_reference_url, ioc_type_of_kind, pattern_values, truthy
@@ -34,13 +35,16 @@ def _indicator_rows(df: DataFrame, **columns: Column) -> DataFrame:
         .select(*INDICATOR_COLUMNS)
 
 
+def too_large(payload_id: Column, cap: int) -> Column:
+    return F.concat(F.lit(f"feed payload exceeds {cap} bytes: "), payload_id.cast("string"))
+
+
 def admit_payloads(payloads: DataFrame, content: str = "payload",
                    cap: int = PAYLOAD_CAP_BYTES) -> DataFrame:
     """Binary or text payloads to text: bad UTF-8 replaced, ``error`` set beyond ``cap`` bytes."""
     size = F.octet_length(F.col(content))
     return (payloads.withColumn("n_bytes", size)
-            .withColumn("error", F.when(size > cap, F.concat(
-                F.lit(f"feed payload exceeds {cap} bytes: "), F.col("payload_id").cast("string"))))
+            .withColumn("error", F.when(size > cap, too_large(F.col("payload_id"), cap)))
             .withColumn(content, F.when(size <= cap, F.make_valid_utf8(F.col(content).cast("string")))))
 
 
@@ -62,11 +66,8 @@ def _csv_split(payloads: DataFrame) -> DataFrame:
     split = computed_once(
         payloads.select("feed_id", "payload_id", "payload", F.col("parser_config").alias("cfg"), delimiter.alias("_d")),
         "records", csv_records(F.col("payload"), F.col("_d")))
-    long_field = F.exists("records", lambda r: (F.length(r) > CSV_FIELD_CAP_CHARS) & F.exists(
-        csv_fields(r, F.col("_d")), lambda f: F.length(f) > CSV_FIELD_CAP_CHARS))
     error = (F.when(F.length("_d") != 1, '"delimiter" must be a 1-character string')
-             .when(has_bare_return(F.col("payload"), F.col("_d")), "new-line character seen in unquoted field")
-             .when(long_field, f"field larger than field limit ({CSV_FIELD_CAP_CHARS})"))
+             .when(has_bare_return(F.col("payload"), F.col("_d")), "new-line character seen in unquoted field"))
     return computed_once(split, "error", error).drop("payload")
 
 
@@ -103,7 +104,7 @@ def parse_csv(payloads: DataFrame) -> DataFrame:
 
 
 def csv_errors(payloads: DataFrame) -> DataFrame:
-    """Payloads the CSV dialect refuses: over-long field, or a bare carriage return in a row."""
+    """Payloads the CSV dialect refuses: a bare carriage return in a row, or no single delimiter."""
     return _csv_split(payloads).select("feed_id", "payload_id", "error").filter("error IS NOT NULL")
 
 
@@ -124,7 +125,7 @@ def stix_objects(payloads: DataFrame) -> DataFrame:
 
 def stix_errors(payloads: DataFrame) -> DataFrame:
     """Payloads that are no JSON at all."""
-    return payloads.filter(F.try_parse_json("payload").isNull()).select(
+    return payloads.filter(F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()).select(
         "feed_id", "payload_id", F.lit("invalid JSON").alias("error"))
 
 
@@ -183,11 +184,15 @@ def chosen_collections(payloads: DataFrame) -> DataFrame:
             F.lit("collection "), F.col("wanted"), F.lit(" not found on server"))).alias("error"))
 
 
+def chosen_envelopes(payloads: DataFrame) -> DataFrame:
+    """TAXII payloads of each feed's chosen collection; the others are never read."""
+    chosen = chosen_collections(payloads).filter("chosen IS NOT NULL").select("feed_id", "chosen")
+    return payloads.join(chosen, "feed_id").filter(F.col("collection_id") == F.col("chosen")).drop("chosen")
+
+
 def taxii_objects(payloads: DataFrame) -> DataFrame:
     """Objects of the envelopes of each feed's chosen collection; lists and scalars hold none."""
-    chosen = chosen_collections(payloads).filter("chosen IS NOT NULL").select("feed_id", "chosen")
-    envelopes = (payloads.join(chosen, "feed_id").filter(F.col("collection_id") == F.col("chosen"))
-                 .filter(strip(F.col("payload")).startswith("{")))
+    envelopes = chosen_envelopes(payloads).filter(strip(F.col("payload")).startswith("{"))
     objects = F.from_json("payload", "objects array<string>")["objects"]
     return (envelopes.select("feed_id", "payload_id", F.posexplode(objects).alias("pos", "object"))
             .filter(F.ltrim("object").startswith("{")))
@@ -216,17 +221,31 @@ def parse_all(payloads: DataFrame, severity_property: str = "x_severity") -> Dat
 
 
 def pull_errors(payloads: DataFrame) -> DataFrame:
-    """``(feed_id, payload_id, error)`` of payloads that cannot be read."""
+    """``(feed_id, payload_id, error)`` of payloads that cannot be read, or were not admitted."""
     of = lambda kind: payloads.filter(F.col("feed_type") == kind)
+    refused = payloads.limit(0) if "error" not in payloads.columns else (
+        of("taxii").transform(chosen_envelopes).unionByName(payloads.filter("feed_type <> 'taxii'")))
+    refused = refused.select("feed_id", "payload_id", F.col("error") if "error" in payloads.columns else F.lit("").alias("error"))
     missing = chosen_collections(of("taxii")).filter("error IS NOT NULL").select(
         "feed_id", F.lit(None).cast("bigint").alias("payload_id"), "error")
     return (csv_errors(of("csv")).unionByName(stix_errors(of("stix")))
-            .unionByName(stix_errors(of("taxii"))).unionByName(missing))
+            .unionByName(stix_errors(chosen_envelopes(of("taxii")))).unionByName(missing)
+            .unionByName(refused.filter("error IS NOT NULL")))
 
 
-def sweep_results(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
+def of_good_pulls(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """Rows of feeds whose pull succeeded; a feed with any error keeps nothing of its pull.
+
+    ``results`` has one row per feed of the round.
+    """
+    return rows.join(results.filter("error IS NOT NULL").select("feed_id"), "feed_id", "left_anti")
+
+
+def sweep_results(payloads: DataFrame, feeds: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row per swept feed: ``n`` indicators written, or the ``error`` that stopped it.
 
+    ``rows`` are the payloads' indicators, where they have been parsed before.
+
     ``n`` counts rows as they come, before duplicates merge. One aggregate over
     the payloads, their errors and their indicators.
     """
@@ -236,18 +255,17 @@ def sweep_results(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
         with_type.select("feed_id", "pulled_at", none("string").alias("error"), F.lit(0).alias("n"))
         .unionByName(pull_errors(with_type).select(
             "feed_id", none("timestamp").alias("pulled_at"), "error", F.lit(0).alias("n")))
-        .unionByName(parse_all(with_type).select(
+        .unionByName((parse_all(with_type) if rows is None else rows).select(
             "feed_id", none("timestamp").alias("pulled_at"), none("string").alias("error"), F.lit(1).alias("n"))))
     results = parts.groupBy("feed_id").agg(
         F.max("pulled_at").alias("pulled_at"), F.min("error").alias("error"), F.sum("n").alias("n"))
     names = feeds.select(F.col("id").alias("feed_id"), F.col("name").alias("feed_name"))
     return results.join(names, "feed_id").select(
-        "feed_id", "feed_name", "pulled_at", F.when(F.col("error").isNull(), F.col("n")).alias("n"),
-        F.left("error", F.lit(ERROR_TEXT_CHARS)).alias("error"))
+        "feed_id", "feed_name", "pulled_at", F.when(F.col("error").isNull(), F.col("n")).alias("n"), "error")
 
 
 def sweep_summary(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
     """Feed name with its count, or ``ERROR: …``."""
     return sweep_results(payloads, feeds).select(
-        "feed_name", F.coalesce(F.concat(F.lit("ERROR: "), F.col("error")),
+        "feed_name", F.coalesce(F.concat(F.lit("ERROR: "), F.left("error", F.lit(ERROR_TEXT_CHARS))),
                                 F.col("n").cast("string")).alias("result"))

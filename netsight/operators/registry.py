@@ -1,9 +1,11 @@
 """Feed and indicator tables: merges, feed changes, pull log, snapshot versions."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsight.constants import DEFAULT_PULL_MINUTES, FEED_TYPES, PENDING_PULLS_LIMIT, SEED_FEEDS
+from netsight.constants import DEFAULT_PULL_MINUTES, ERROR_TEXT_CHARS, FEED_TYPES, PENDING_PULLS_LIMIT, SEED_FEEDS
 from netsight.functions.text import strip
 from netsight.operators.ids import assign_ids
 from netsight.schemas import FEEDS, IOCS, PARSER_CONFIG
@@ -179,7 +181,7 @@ def record_pulls(feeds: DataFrame, results: DataFrame) -> DataFrame:
         F.concat(F.lit("ok ("), F.col("n").cast("string"), F.lit(")")))
     latest = results.groupBy(F.col("feed_id").alias("id")).agg(
         F.max_by(F.struct(F.col("pulled_at").alias("_pull"), status.alias("_status"),
-                          F.col("error").alias("_error")), "pulled_at").alias("_r")).select("id", "_r.*")
+                          F.left("error", F.lit(ERROR_TEXT_CHARS)).alias("_error")), "pulled_at").alias("_r")).select("id", "_r.*")
     pulled = F.col("_pull").isNotNull()
     put = {"last_pull": "_pull", "last_status": "_status", "last_error": "_error"}
     return feeds.join(latest, "id", "left").select(*[
@@ -227,28 +229,43 @@ def finish_pulls(requests: DataFrame, pending: DataFrame, results: DataFrame, no
 
 # -- snapshot versions ------------------------------------------------------
 
-def publish_version(iocs: DataFrame, feeds: DataFrame, root: str) -> int:
-    """Write both tables as the next version and then its pointer row; returns the version.
+def publish_version(iocs: DataFrame, feeds: DataFrame, root: str, raise_version: bool = True) -> int:
+    """Write both tables into a folder of their own and then its pointer row; returns the version.
 
-    A version without pointer row is not visible, so a failed write leaves no trace.
+    Folders are never written twice, so writers cannot clobber one another, and a table without
+    a pointer row is not visible. ``raise_version=False`` replaces the tables of the current
+    version, for a round that changed no indicator.
     """
     spark = iocs.sparkSession
-    version = current_version(spark, root) + 1
-    iocs.write.mode("overwrite").parquet(f"{root}/v{version}/iocs")
-    feeds.write.mode("overwrite").parquet(f"{root}/v{version}/feeds")
-    spark.range(1).select(F.lit(version).cast("bigint").alias("version")).coalesce(1) \
-        .write.mode("append").parquet(f"{root}/versions")
+    version, order, _ = _newest(spark, root)
+    version += raise_version or not version
+    folder = f"v{version}-{uuid.uuid4().hex}"
+    iocs.write.parquet(f"{root}/{folder}/iocs")
+    feeds.write.parquet(f"{root}/{folder}/feeds")
+    spark.createDataFrame([(version, order + 1, folder)], _POINTER).coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return version
 
 
+_POINTER = "version bigint, published bigint, folder string"
+
+
+def _newest(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, int, str | None]:
+    """(version, order of publication, folder) of the newest pointer, or of the version's newest."""
+    if not path_exists(spark, f"{root}/versions"):
+        return 0, 0, None
+    rows = spark.read.schema(_POINTER).parquet(f"{root}/versions")
+    found = (rows if version is None else rows.where(F.col("version") == version)).orderBy(
+        F.desc("version"), F.desc("published"), F.desc("folder")).first()
+    return tuple(found) if found else (0, 0, None)
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     """Latest published version, 0 when there is none."""
-    if not path_exists(spark, f"{root}/versions"):
-        return 0
-    return spark.read.schema("version bigint").parquet(f"{root}/versions").agg(F.max("version")).first()[0] or 0
+    return _newest(spark, root)[0]
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> tuple[DataFrame, DataFrame]:
     """``(iocs, feeds)`` of a version."""
-    return (spark.read.schema(IOCS).parquet(f"{root}/v{version}/iocs"),
-            spark.read.schema(FEEDS).parquet(f"{root}/v{version}/feeds"))
+    folder = _newest(spark, root, version)[2]
+    return (spark.read.schema(IOCS).parquet(f"{root}/{folder}/iocs"),
+            spark.read.schema(FEEDS).parquet(f"{root}/{folder}/feeds"))

@@ -19,7 +19,6 @@ from netsight.sources import derived, derived_feeds, storage
 from netsight.streaming import jobs
 
 NOW_TEXT = "2024-01-30 12:00:00"
-PAYLOAD_CAP = 4096
 RETRO_HOURS = 240
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +82,7 @@ def src_syslog_lines(spark, sf):
 def src_feed_payloads(spark, sf):
     landed = derived.table(spark, sf, "documents").select(
         F.col("doc_id").alias("payload_id"), F.encode("text", "UTF-8").alias("payload"))
-    return feed_ops.admit_payloads(landed, cap=PAYLOAD_CAP).select(
+    return feed_ops.admit_payloads(landed).select(
         "payload_id", "n_bytes", "error", F.length("payload").alias("n_chars"))
 
 

@@ -245,8 +245,8 @@ def all_oracles() -> dict[str, str]:
     return {
         "src_syslog_lines": _with("te", "SELECT line, count(*) AS n FROM te GROUP BY line"),
         "src_feed_payloads": """SELECT doc_id AS payload_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
-            CASE WHEN octet_length(encode(text)) > 4096 THEN 'feed payload exceeds 4096 bytes: ' || doc_id END AS error,
-            CASE WHEN octet_length(encode(text)) <= 4096 THEN CAST(length(text) AS BIGINT) END AS n_chars
+            CASE WHEN octet_length(encode(text)) > 20971520 THEN 'feed payload exceeds 20971520 bytes: ' || doc_id END AS error,
+            CASE WHEN octet_length(encode(text)) <= 20971520 THEN CAST(length(text) AS BIGINT) END AS n_chars
             FROM documents""",
         "sink_events": _with("ev", "SELECT id, raw, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM ev"),
         "detections_insert_new": _with("hits", """SELECT event_id, ioc_id, match_type, matched_value FROM hits

@@ -13,16 +13,18 @@ from netsight.session import path_exists, written_once
 def sweep(payloads: DataFrame, root: str, now: Column, severity_property: str = "x_severity") -> int:
     """Work through ``payloads`` of all enabled live feeds and publish the outcome.
 
-    Reads the current version under ``root``, merges the indicators, records status
-    and log of every feed pulled, and returns the new version. Payloads are parsed
-    once for the rows and once for the counts; both are written before they are used.
+    Reads the current version under ``root``, merges the indicators of the feeds whose pull
+    succeeded, records status and log of every feed pulled, and returns the version. It goes up
+    only if a pull succeeded. Payloads are parsed once, into a table that counts and merge read.
     """
     spark = payloads.sparkSession
     iocs, feeds = registry.read_version(spark, root, registry.current_version(spark, root))
     typed = feed_ops.with_feed(payloads, feeds)
-    results = written_once(feed_ops.sweep_results(payloads, feeds), "results")
-    merged = registry.upsert_iocs(iocs, feed_ops.parse_all(typed, severity_property), now)
-    version = registry.publish_version(merged, registry.record_pulls(feeds, results), root)
+    rows = written_once(feed_ops.parse_all(typed, severity_property), "rows")
+    results = written_once(feed_ops.sweep_results(payloads, feeds, rows), "results")
+    good = results.filter("error IS NULL").limit(1).count() > 0
+    merged = registry.upsert_iocs(iocs, feed_ops.of_good_pulls(rows, results), now) if good else iocs
+    version = registry.publish_version(merged, registry.record_pulls(feeds, results), root, raise_version=good)
     append_log(registry.pull_log_rows(results), f"{root}/logs")
     return version
 

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netsight.operators.feeds import admit_payloads
+from netsight.constants import PAYLOAD_CAP_BYTES
+from netsight.operators.feeds import admit_payloads, too_large
 from netsight.operators.ids import assign_ids, in_order, number_rows
 from netsight.operators.ingest import EVENT_COLUMNS, accepted, parse_lines
 from netsight.operators.match import new_detections
@@ -21,12 +22,18 @@ def read_syslog_files(spark: SparkSession, path: str) -> DataFrame:
     return valid_text(spark.read.text(path, lineSep="\n").withColumnRenamed("value", "line"), "line")
 
 
-def read_payload_files(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    """Payload files under ``feed_id=…/payload_id=…/`` as text rows; too large ones get an ``error``."""
-    files = (spark.read.format("binaryFile").option("basePath", path).load(f"{path}/feed_id=*/payload_id=*/*")
-             .select(F.col("feed_id").cast("int"), F.col("payload_id").cast("bigint"),
-                     F.col("modificationTime").alias("pulled_at"), F.col("content").alias("payload")))
-    return admit_payloads(files) if cap is None else admit_payloads(files, cap=cap)
+def read_payload_files(spark: SparkSession, path: str, cap: int = PAYLOAD_CAP_BYTES) -> DataFrame:
+    """Payload files under ``feed_id=…/payload_id=…/`` as text rows.
+
+    Files above ``cap`` are told by their length and never opened; they get an ``error``.
+    """
+    files = spark.read.format("binaryFile").option("basePath", path).load(f"{path}/feed_id=*/payload_id=*/*")
+    keys = [F.col("feed_id").cast("int"), F.col("payload_id").cast("bigint"), F.col("modificationTime").alias("pulled_at")]
+    admitted = admit_payloads(files.where(F.col("length") <= cap).select(*keys, F.col("content").alias("payload")), cap=cap)
+    refused = files.where(F.col("length") > cap).select(
+        *keys, F.lit(None).cast("string").alias("payload"), F.col("length").cast("int").alias("n_bytes"),
+        too_large(F.col("payload_id"), cap).alias("error"))
+    return admitted.unionByName(refused)
 
 
 def numbered_events(lines: DataFrame, tz: str = "UTC", start: int = 0) -> DataFrame:
