@@ -30,6 +30,8 @@ from netsight.session import work_path
 LENGTH = 2048
 SHARD_BYTES = 32 << 20
 ROUNDS = 6
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 15, 1 << 16
+LEVEL = 6
 KEY = 20_240_229
 
 
@@ -51,11 +53,32 @@ def permuted(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> n
     return out.astype(np.int64)
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def presser(shapes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(shapes.value))
+
+
+def unpresser(shapes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shapes.value))
+
+
+def dictionary(docs: DataFrame, vocabulary: str) -> zstandard.ZstdCompressionDict:
+    """What short runs of ids have in common, from ``SAMPLE_TEXTS`` texts of at most
+    ``SAMPLE_BYTES`` bytes each; it bears on the size of intermediate data alone."""
+    rows = texts(docs).where(F.octet_length("text").between(200, SAMPLE_BYTES)).limit(SAMPLE_TEXTS).select("text").collect()
+    raws = [r["text"].encode() for r in rows]
+    ids, offs = encoder(vocabulary).encode(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]))
+    runs = [ids[a:b].astype("<u2").tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, runs)
+    except zstandard.ZstdError:  # too few texts to learn from
+        return zstandard.ZstdCompressionDict(b"")
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, shapes) -> DataFrame:
     """(doc_id, part, start, n, ids): ids behind one another within each part of the input."""
 
     def run(batches):
-        part, start, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(1)
+        part, start, press = TaskContext.get().partitionId(), 0, presser(shapes)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for low, high in slices(offsets):
@@ -81,7 +104,8 @@ def write_in_order(docs: DataFrame, vocabulary: str, path: str, length: int = LE
     texts hold the end id alone; equal rows are written each; an empty table writes no shard.
     """
     spark = docs.sparkSession
-    table = shared(encoded(docs, vocabulary, end_id), "encoded")
+    shapes = spark.sparkContext.broadcast(dictionary(docs, vocabulary).as_bytes())
+    table = shared(encoded(docs, vocabulary, end_id, shapes), "encoded")
     # One row per part of the input; their running sum is the only work in a single task.
     parts = table.groupBy("part").agg(F.sum("n").alias("n"))
     bases = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
@@ -91,8 +115,7 @@ def write_in_order(docs: DataFrame, vocabulary: str, path: str, length: int = LE
     per_shard = max(1, shard_bytes // stride)
 
     def cut(batches):
-        unpress = zstandard.ZstdDecompressor()
-        press = zstandard.ZstdCompressor(1)
+        unpress, press = unpresser(shapes), presser(shapes)
         for batch in batches:
             rows = [batch.column(c).to_pylist() for c in ("doc_id", "at", "n", "ids")]
             docs_, starts, sequences, offsets, sizes, runs, sums = [], [], [], [], [], [], []
@@ -117,7 +140,7 @@ def write_in_order(docs: DataFrame, vocabulary: str, path: str, length: int = LE
     fill = np.array([end_id], "<u2").tobytes()
 
     def assemble(batches):
-        unpress = zstandard.ZstdDecompressor()
+        unpress = unpresser(shapes)
         now, record = None, bytearray()
         for batch in batches:
             records = []

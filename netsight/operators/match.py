@@ -19,10 +19,11 @@ Two exact ways to run the join:
   costly key work is done once per value, and adaptive execution broadcasts the
   matched values when they turn out small or else splits skewed partitions of the
   shuffled join. It reads the three value columns twice.
-* one pass: every event makes its own probes. No shuffle while the keys are
-  broadcast, about twice the work; the way for streams, which it works on too.
+* one pass: every event makes its own probes, about twice the work; the way for
+  streams, which it works on too.
 
-In both, the indicator keys are broadcast only when their counted number allows it.
+Neither hints a join: Spark broadcasts the indicator keys if their measured bytes
+are below its own limit, and shuffles both sides otherwise.
 """
 
 from dataclasses import dataclass
@@ -35,7 +36,6 @@ from netsight.functions.ip import ip_bits, ip_version, network_key, parse_networ
 from netsight.functions.text import computed_once
 
 DETECTION_KEY = ["event_id", "ioc_id", "match_type"]
-BROADCAST_KEY_ROWS = 500_000  # about 100 MB of keys in each executor
 
 
 def active_indicators(iocs: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -62,28 +62,20 @@ def indicator_keys(indicators: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """Prepared indicators: join keys, prefix lengths per version, number of keys."""
+    """Prepared indicators: join keys, and prefix lengths per version."""
 
     keys: DataFrame
     prefix_lens: DataFrame
-    size: int
-
-    @property
-    def fits_broadcast(self) -> bool:
-        return self.size <= BROADCAST_KEY_ROWS
 
 
 def prepare_snapshot(indicators: DataFrame, persist: bool = False) -> Snapshot:
-    """Derive join keys and count them (one small job) to pick the join.
-
-    ``persist`` keeps the keys for many matches against the same snapshot.
-    """
+    """Derive join keys and prefix lengths; ``persist`` keeps the keys for many matches."""
     keys = indicator_keys(indicators)
     if persist:
         keys = keys.persist()
     lens = (keys.filter("prefix_len IS NOT NULL")
             .groupBy("ver").agg(F.collect_set("prefix_len").alias("lens")))
-    return Snapshot(keys.drop("ver", "prefix_len"), lens, keys.count())
+    return Snapshot(keys.drop("ver", "prefix_len"), lens)
 
 
 def event_values(events: DataFrame, created_at: Column | None = None) -> DataFrame:
@@ -130,12 +122,8 @@ def probe_keys(values: DataFrame, prefix_lens: DataFrame) -> DataFrame:
         .drop("_ver", "_bits", "lens"))
 
 
-def _keys(snapshot: Snapshot) -> DataFrame:
-    return F.broadcast(snapshot.keys) if snapshot.fits_broadcast else snapshot.keys
-
-
 def _match_one_pass(values: DataFrame, snapshot: Snapshot) -> DataFrame:
-    return probe_keys(values, snapshot.prefix_lens).join(_keys(snapshot), "key")
+    return probe_keys(values, snapshot.prefix_lens).join(snapshot.keys, "key")
 
 
 def _match_by_value(values: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -143,7 +131,7 @@ def _match_by_value(values: DataFrame, snapshot: Snapshot) -> DataFrame:
     distinct = values.select(kind, "value").distinct()
     hits = (probe_keys(distinct.withColumn("match_type", F.when(F.col("is_host"), "host").otherwise("ip")),
                        snapshot.prefix_lens)
-            .drop("match_type").join(_keys(snapshot), "key"))
+            .drop("match_type").join(snapshot.keys, "key"))
     return values.withColumn("is_host", kind).join(hits, ["is_host", "value"])
 
 
@@ -179,7 +167,10 @@ def new_detections(hits: DataFrame, stored: DataFrame) -> DataFrame:
 
 def retro_candidates(events: DataFrame, now: Column, hours: int, watermark: int | None) -> DataFrame:
     """Stored events a retro-scan looks at: recent ones, above the watermark unless it is None."""
-    recent = events.filter(F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours)))
+    since = now - F.make_dt_interval(hours=F.lit(hours))
+    recent = events.filter(F.col("ts") >= since)
+    if "event_date" in events.columns:  # older day folders are not opened
+        recent = recent.filter(F.col("event_date") >= F.to_date(since))
     return recent if watermark is None else recent.filter(F.col("id") > watermark)
 
 

@@ -1,9 +1,10 @@
 """Served queries as DataFrames over the stored tables.
 
-``limit`` and ``offset`` page a list as the service does. A page is taken first
-(top-k, no full sort); joins then only meet the rows of the page, which
-``PAGE_MAX`` bounds, so that side may be broadcast. Filters stay on base columns
-so that they reach the Parquet scan.
+``limit`` and ``offset`` page a list as the service does. The ids of a page are
+taken first, by a top-k over narrow columns; ``PAGE_MAX`` bounds them, so they come
+to the driver and go into the filters of the second step, which then reads the
+page's days and id range alone. Windowed counters read the day folders of their
+window. Filters stay on base columns so that they reach the Parquet scan.
 """
 
 from functools import reduce
@@ -30,6 +31,30 @@ def _page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Da
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def _from(df: DataFrame, time: str, day: str, since: Column) -> DataFrame:
+    """Rows from a time on; with a day column, older folders are not opened."""
+    recent = df.filter(F.col(time) >= since)
+    return recent.filter(F.col(day) >= F.to_date(since)) if day in df.columns else recent
+
+
+def _with_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
+    """Rows whose ``column`` is one of a page's ids; the range prunes files and row groups."""
+    if not ids:
+        return df.limit(0)
+    return df.filter(F.col(column).between(min(ids), max(ids)) & F.col(column).isin(ids))
+
+
+def _event_page(found: DataFrame, events: DataFrame, order: list[Column], limit: int, offset: int = 0) -> tuple[DataFrame, list[int]]:
+    """The full rows of a page of ``found``, from the page's days only, and their ids."""
+    day = [c for c in ("event_date",) if c in events.columns]
+    rows = _page(found.select("id", *day), order, limit, offset).collect()
+    ids = [r["id"] for r in rows]
+    page = _with_ids(events, "id", ids)
+    if day and rows:
+        page = page.filter(F.col("event_date").isin(sorted({r["event_date"] for r in rows})))
+    return page.select("id", *EVENT_FIELDS), ids
+
+
 def _contains(text: str, *columns: Column) -> Column:
     """Case-insensitive substring test; ``%`` and ``_`` in the text stay wildcards."""
     return reduce(lambda a, b: a | b, [c.ilike(f"%{text}%") for c in columns])
@@ -43,20 +68,19 @@ def _day_of(now: Column) -> Column:
 
 def stats(events: DataFrame, detections: DataFrame, feeds: DataFrame, iocs: DataFrame,
           now: Column) -> DataFrame:
-    """Eight counters as ``(name, n)`` rows; one conditional aggregate per table."""
-    always = F.lit(True)
+    """Eight counters as ``(name, n)`` rows; windows read their days, totals no column at all."""
     live = F.col("deleted_at").isNull()
+    total = F.count(F.lit(1))
     counts = [
-        (events, {"events_today": F.col("ts") >= _day_of(now), "events_total": always}),
-        (detections, {"detections_24h": F.col("created_at") >= now - F.expr("INTERVAL 24 HOURS"),
-                      "detections_total": always}),
-        (feeds, {"active_feeds": F.col("enabled") & live, "feeds_total": live}),
-        (iocs, {"iocs_active": F.col("active"), "iocs_total": always}),
+        (_from(events, "ts", "event_date", _day_of(now)), {"events_today": total}), (events, {"events_total": total}),
+        (_from(detections, "created_at", "created_date", now - F.expr("INTERVAL 24 HOURS")), {"detections_24h": total}),
+        (detections, {"detections_total": total}),
+        (feeds, {"active_feeds": F.count_if(F.col("enabled") & live), "feeds_total": F.count_if(live)}),
+        (iocs, {"iocs_active": F.count_if(F.col("active")), "iocs_total": total}),
     ]
-    rows = [df.agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
-              .select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n"))
-                                         for n in tests])))
-            for df, tests in counts]
+    rows = [df.agg(*[n.alias(name) for name, n in made.items()])
+              .select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in made])))
+            for df, made in counts]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -72,7 +96,7 @@ def _bucket_counts(events: DataFrame, *keys: str) -> DataFrame:
 
 def bucket_totals(events: DataFrame, now: Column) -> DataFrame:
     """``(bucket, n)`` for the UTC day of ``now``: all buckets, and ``_total``."""
-    counts = _bucket_counts(events.filter(F.col("ts") >= _day_of(now)))
+    counts = _bucket_counts(_from(events, "ts", "event_date", _day_of(now)))
     zeros = events.sparkSession.createDataFrame([(b, 0) for b in BUCKETS], "bucket string, n bigint")
     names = F.array(F.col("bucket"), F.lit("_total"))
     return (counts.unionByName(zeros).withColumn("bucket", F.explode(names))
@@ -110,17 +134,12 @@ def filter_events(events: DataFrame, q: str | None = None, since: Column | None
     if q:
         df = df.filter(_contains(q, F.col("raw"), ip_search_text(F.col("src_ip")),
                                  ip_search_text(F.col("dst_ip")), F.col("hostname")))
-    if since is not None:
-        df = df.filter(F.col("ts") >= since)
-        if "event_date" in df.columns:
-            df = df.filter(F.col("event_date") >= F.to_date(since))
-    return df
+    return df if since is None else _from(df, "ts", "event_date", since)
 
 
-def _with_det_count(page: DataFrame, detections: DataFrame) -> DataFrame:
+def _with_det_count(page: DataFrame, detections: DataFrame, ids: list[int]) -> DataFrame:
     """Add ``det_count`` (NULL when none) to a page: only its own detections are counted."""
-    ids = F.broadcast(page.select(F.col("id").alias("event_id")))
-    counts = (detections.select("event_id").join(ids, "event_id", "left_semi")
+    counts = (_with_ids(detections.select("event_id"), "event_id", ids)
               .groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("det_count")))
     return page.join(counts, "id", "left")
 
@@ -129,9 +148,8 @@ def browse_events(events: DataFrame, detections: DataFrame, q: str | None = None
                   since: Column | None = None, flows_only: bool = False,
                   limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """Newest events first, with their detection count and the ``flagged`` mark."""
-    found = filter_events(events, q, since, flows_only).select("id", *EVENT_FIELDS)
-    page = _page(found, [F.desc("id")], limit, offset)
-    return (_with_det_count(page, detections)
+    page, ids = _event_page(filter_events(events, q, since, flows_only), events, [F.desc("id")], limit, offset)
+    return (_with_det_count(page, detections, ids)
             .withColumn("flagged", F.coalesce(F.col("det_count"), F.lit(0)) > 0).orderBy(F.desc("id")))
 
 
@@ -147,8 +165,8 @@ def event_detail(events: DataFrame, detections: DataFrame, event_id: int) -> Dat
 def events_since(events: DataFrame, detections: DataFrame, after_id: int,
                  limit: int = EVENTS_SINCE_LIMIT) -> DataFrame:
     """The next events above an id, oldest first."""
-    page = _page(events.filter(F.col("id") > after_id).select("id", *EVENT_FIELDS), [F.asc("id")], limit)
-    return _with_det_count(page, detections).orderBy("id")
+    page, ids = _event_page(events.filter(F.col("id") > after_id), events, [F.asc("id")], limit)
+    return _with_det_count(page, detections, ids).orderBy("id")
 
 
 def event_labels(events: DataFrame, now: Column) -> DataFrame:
@@ -186,12 +204,12 @@ def browse_detections(detections: DataFrame, events: DataFrame, iocs: DataFrame,
     if q:
         df = df.filter(_contains(q, F.col("matched_value"), F.col("feed_name")))
     if since is not None:
-        df = df.filter(F.col("created_at") >= since)
-    page = _page(df.select("id", "created_at", "match_type", "matched_value", "feed_name", "feed_id",
-                           "event_id", "ioc_id"), [F.desc("id")], limit, offset)
-    with_event = _event_side(events).join(F.broadcast(page), "event_id")
-    wanted = F.broadcast(page.select("ioc_id"))
-    indicators = _ioc_side(iocs).join(wanted, "ioc_id", "left_semi")
+        df = _from(df, "created_at", "created_date", since)
+    rows = _page(df.select("id", "event_id", "ioc_id"), [F.desc("id")], limit, offset).collect()
+    page = _with_ids(detections, "id", [r["id"] for r in rows]).select(
+        "id", "created_at", "match_type", "matched_value", "feed_name", "feed_id", "event_id", "ioc_id")
+    with_event = _event_side(_with_ids(events, "id", [r["event_id"] for r in rows])).join(F.broadcast(page), "event_id")
+    indicators = _ioc_side(_with_ids(iocs, "id", sorted({r["ioc_id"] for r in rows if r["ioc_id"] is not None})))
     return with_event.join(indicators, "ioc_id", "left").drop("ioc_id").orderBy(F.desc("id"))
 
 
@@ -199,19 +217,21 @@ def detection_detail(detections: DataFrame, events: DataFrame, iocs: DataFrame,
     """One detection with its event and indicator, either of which may be gone."""
     one = detections.filter(F.col("id") == detection_id).select(
         "id", "event_id", "ioc_id", "feed_id", "feed_name", "match_type", "matched_value", "created_at")
-    key = lambda c: F.broadcast(one.select(c))
-    event = _event_side(events, F.col("raw").alias("event_raw"), F.col("host").alias("event_host")).join(
-        key("event_id"), "event_id", "left_semi")
-    indicator = _ioc_side(iocs, F.col("type").alias("ioc_type")).join(key("ioc_id"), "ioc_id", "left_semi")
+    keys = one.select("event_id", "ioc_id").collect()
+    wanted = lambda c: [r[c] for r in keys if r[c] is not None]
+    event = _event_side(_with_ids(events, "id", wanted("event_id")), F.col("raw").alias("event_raw"), F.col("host").alias("event_host"))
+    indicator = _ioc_side(_with_ids(iocs, "id", wanted("ioc_id")), F.col("type").alias("ioc_type"))
     return one.join(event, "event_id", "left").join(indicator, "ioc_id", "left")
 
 
 def detections_since(detections: DataFrame, events: DataFrame, after_id: int,
                      limit: int = DETECTIONS_SINCE_LIMIT) -> DataFrame:
     """The next detections above an id, oldest first."""
-    page = _page(detections.filter(F.col("id") > after_id).select(
-        "id", "created_at", "match_type", "matched_value", "feed_name", "event_id"), [F.asc("id")], limit)
-    side = events.select(F.col("id").alias("event_id"), "src_ip", "dst_ip", "hostname",
+    fresh = detections.filter(F.col("id") > after_id)
+    rows = _page(fresh.select("id", "event_id"), [F.asc("id")], limit).collect()
+    page = _with_ids(fresh, "id", [r["id"] for r in rows]).select(
+        "id", "created_at", "match_type", "matched_value", "feed_name", "event_id")
+    side = _with_ids(events, "id", [r["event_id"] for r in rows]).select(F.col("id").alias("event_id"), "src_ip", "dst_ip", "hostname",
                          F.col("action").alias("event_action"))
     return side.join(F.broadcast(page), "event_id").drop("event_id").orderBy("id")
 

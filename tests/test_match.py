@@ -8,34 +8,38 @@ from pyspark.sql import functions as F
 
 from netsight.operators import match as M
 
-ROWS = [
-    (1, 10, "TestFeed", "ip", "203.0.113.66"), (2, 10, "TestFeed", "cidr", "198.51.100.9/24"),
-    (3, 11, "DomFeed", "domain", "Evil.example.com"), (4, 11, "DomFeed", "url", "http://bad.example.net/x"),
-    (5, 12, "LocalFeed", "ip", "10.0.0.174"), (6, 13, "CidrFeed", "cidr", "10.0.0.0/255.255.255.0"),
-    (7, 13, "CidrFeed", "cidr", "not-a-cidr"), (8, 13, "CidrFeed", "cidr", "2001:db8::/33"),
-    (9, 13, "V6", "ip", "2001:db8::1"), (10, 13, "V6", "ip", "2001:DB8::1"), (11, 14, "Dup", "ip", "203.0.113.66"),
-    (12, 14, "Odd", "domain", "*.wild.com"), (13, 14, "Odd", "domain", "dot.com."),
-    (14, 14, "Odd", "url", "http://port.example.org:8080/"), (15, 14, "Odd", "url", "no-host"),
-    (16, 14, "All", "cidr", "::/0"), (17, 14, "Host", "cidr", "2001:db8::1/128"),
+# Each rule: an indicator, and the event values it must and must not meet, with the text of the match.
+CASES = [
+    ("ip", "198.18.7.7", "address", {"198.18.7.7": "198.18.7.7", "198.18.7.70": None, "": None}),
+    ("ip", "198.18.7.7", "address", {}),  # a second feed lists it too
+    ("ip", "2001:db8:40::9", "address", {"2001:db8:40::9": "2001:db8:40::9", "2001:db8:40::99": None}),
+    ("ip", "2001:DB8:40::9", "address", {}),  # texts must be equal, so this one never matches
+    ("cidr", "198.19.4.130/25", "address", {"198.19.4.128": "198.19.4.128", "198.19.4.255": "198.19.4.255", "198.19.4.127": None}),
+    ("cidr", "172.30.5.64/255.255.255.192", "address", {"172.30.5.100": "172.30.5.100", "172.30.5.1": None}),
+    ("cidr", "2001:db8:80::/42", "address", {"2001:db8:bf::1": "2001:db8:bf::1", "2001:db8:c0::1": None}),
+    ("cidr", "2001:db8:99::5/128", "address", {"2001:db8:99::5": "2001:db8:99::5"}),
+    ("cidr", "198.19.0.0 to 198.19.9.9", "address", {}),
+    ("domain", "Trap.invalid", "host", {"trap.invalid": "trap.invalid", "Deep.TRAP.invalid..": "deep.trap.invalid",
+                                        "mousetrap.invalid": None, "trap.invalid.:53": None, "invalid": None}),
+    ("domain", "*.wild.invalid", "host", {"a.wild.invalid": None}),
+    ("domain", "dot.invalid.", "host", {"dot.invalid": None}),
+    ("url", "ftp://files.invalid/k?q", "host", {"files.invalid:2121": "files.invalid", "www.files.invalid": "www.files.invalid"}),
+    ("url", "http://port.invalid:8080/", "host", {"port.invalid:8080": None}),  # the port stays in the key, and is cut from the event
+    ("url", "files.invalid/only/path", "host", {}),
 ]
+MEETS_TOO = {"2001:db8:99::5": ["2001:db8:80::/42"], "2001:db8:40::9": [], "198.18.7.7": ["198.18.7.7"]}
+ROWS = [(i, 50 + i % 4, f"feed {i % 4}", kind, value) for i, (kind, value, _, _) in enumerate(CASES)]
 IND = "ioc_id long, feed_id int, feed_name string, type string, value string"
 EV = "id long, src_ip string, dst_ip string, hostname string"
-EVENTS = [
-    (1, "203.0.113.66", "1.1.1.1", None), (2, "1.1.1.1", "203.0.113.66", None),
-    (3, "198.51.100.42", "198.51.101.42", None), (4, "10.0.0.174", None, None),
-    (5, None, None, "evil.example.com"), (6, None, None, "Sub.EVIL.example.com.."),
-    (7, None, None, "notevil.example.com"), (8, None, None, "bad.example.net:8080"),
-    (9, "9.9.9.9", "8.8.8.8", "ok.com"), (10, None, None, None), (11, "", "", ""),
-    (12, "2001:db8::1", "2001:db8:8000::1", None), (13, None, None, "a.wild.com"),
-    (14, None, None, "dot.com"), (15, None, None, "port.example.org:8080"), (16, None, None, "evil.example.com.:53"),
-]
-EXPECTED = {
-    (1, 1, "src", "203.0.113.66"), (1, 11, "src", "203.0.113.66"), (2, 1, "dst", "203.0.113.66"),
-    (2, 11, "dst", "203.0.113.66"), (3, 2, "src", "198.51.100.42"), (4, 5, "src", "10.0.0.174"),
-    (4, 6, "src", "10.0.0.174"), (5, 3, "host", "evil.example.com"), (6, 3, "host", "sub.evil.example.com"),
-    (8, 4, "host", "bad.example.net"), (12, 9, "src", "2001:db8::1"), (12, 8, "src", "2001:db8::1"),
-    (12, 16, "src", "2001:db8::1"), (12, 17, "src", "2001:db8::1"), (12, 16, "dst", "2001:db8:8000::1"),
-}
+EVENTS, EXPECTED = [(0, None, None, None)], set()
+for _i, (_, _value, _side, _values) in enumerate(CASES):
+    for _text, _match in _values.items():
+        for _column in ("src", "dst") if _side == "address" else ("host",):
+            _id = len(EVENTS)
+            EVENTS.append((_id, *(_text if _column == c else None for c in ("src", "dst", "host"))))
+            if _match is not None:
+                _others = [j for j, c in enumerate(CASES) if j != _i and c[1] in MEETS_TOO.get(_text, [])]
+                EXPECTED |= {(_id, j, _column, _match) for j in (_i, *_others)}
 
 
 def _hits(df):
@@ -53,7 +57,7 @@ def test_golden_rows(spark, one_pass):
 
 def test_reference_counts(spark):
     got = {r.type: r.n_refs for r in M.reference_counts(spark.createDataFrame(ROWS, IND)).collect()}
-    assert got == {"ip": 5, "cidr": 5, "domain": 3, "url": 2}
+    assert got == {"ip": 4, "cidr": 4, "domain": 3, "url": 2}
 
 
 def test_random_against_brute_force(spark):
@@ -106,26 +110,30 @@ def test_plans_have_no_nested_loop_and_no_python(spark, tmp_path):
     assert "SortMergeJoin" not in plan
 
 
-def test_by_value_join_holds_without_any_broadcast(spark, monkeypatch):
-    """All three joins shuffled, as with large tables, and a hot source."""
-    monkeypatch.setattr(M, "BROADCAST_KEY_ROWS", 0)
-    hot = [(i, "203.0.113.66", None, None) for i in range(100, 400)]
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+def test_a_hot_address_does_not_need_adaptive_execution(spark):
+    """Half of the events share one address; all joins are shuffled and no plan is changed at run time."""
+    hot = [(i, "198.18.7.7", None, None) for i in range(100, 400)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         snapshot = M.prepare_snapshot(spark.createDataFrame(ROWS, IND))
-        df = M.match_events(spark.createDataFrame(EVENTS + hot, EV), snapshot)
-        assert "SortMergeJoin" in _plan(df)
-        assert _hits(df) == EXPECTED | {(e, i, "src", "203.0.113.66") for e, *_ in hot for i in (1, 11)}
+        for one_pass in (True, False):
+            df = M.match_events(spark.createDataFrame(EVENTS + hot, EV), snapshot, one_pass=one_pass)
+            assert "SortMergeJoin" in _plan(df) or "ShuffledHashJoin" in _plan(df)
+            assert _hits(df) == EXPECTED | {(e, i, "src", "198.18.7.7") for e, *_ in hot for i in (0, 1)}
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
 
 
-def test_large_snapshot_is_not_broadcast_by_hint(spark, monkeypatch):
-    monkeypatch.setattr(M, "BROADCAST_KEY_ROWS", 3)
-    snapshot = M.prepare_snapshot(spark.createDataFrame(ROWS, IND))
-    assert not snapshot.fits_broadcast
-    assert _hits(M.match_events(spark.createDataFrame(EVENTS, EV), snapshot)) == EXPECTED
+def test_a_retro_scan_opens_the_days_of_its_window_only(spark, tmp_path):
+    spark.createDataFrame(EVENTS, EV).withColumn("ts", F.expr("timestamp'2031-01-05 00:00:00' - make_dt_interval(cast(id as int))")) \
+        .withColumn("event_date", F.to_date("ts")).write.partitionBy("event_date").parquet(str(tmp_path / "ev"))
+    events = spark.read.parquet(str(tmp_path / "ev"))
+    recent = M.retro_candidates(events, F.lit("2031-01-05 00:00:00").cast("timestamp"), 72, None)
+    assert "PartitionFilters: [isnotnull(event_date" in _plan(recent)
+    assert {r.id for r in recent.collect()} == {0, 1, 2, 3}
 
 
 def test_insert_and_retro_scan(spark):

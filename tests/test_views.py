@@ -55,16 +55,29 @@ def test_paging_limits(spark):
             views.browse_events(t.events, t.detections, **bad)
 
 
-def test_browse_is_top_k_with_pushed_filters(spark):
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_reads_its_own_days_and_ids(spark):
+    t = stored(spark, SF)
+    since = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    for df in (views.browse_events(t.events, t.detections), views.browse_events(t.events, t.detections, flows_only=True, since=since),
+               views.events_since(t.events, t.detections, 40)):
+        plan = _plan(df)
+        assert "PartitionFilters: [event_date" in plan and "GreaterThanOrEqual(id," in plan and "GreaterThanOrEqual(event_id," in plan
+    for df in (views.browse_detections(t.detections, t.events, t.iocs), views.detections_since(t.detections, t.events, 5),
+               views.detection_detail(t.detections, t.events, t.iocs, 3)):
+        assert "(id," in _plan(df).split("events")[0] or "PushedFilters: [IsNotNull(id), " in _plan(df)
+    narrow = views.filter_events(t.events, flows_only=True, since=since).select("id", "event_date").orderBy(F.desc("id")).limit(50)
+    assert "TakeOrderedAndProject" in _plan(narrow) and "msg" not in _plan(narrow)
+
+
+def test_windowed_counters_open_the_days_of_their_window(spark):
     t = stored(spark, SF)
-    df = views.browse_events(t.events, t.detections, flows_only=True,
-                             since=F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
-    scan = df._jdf.queryExecution().sparkPlan().toString()
-    assert "isnotnull(src_ip#" in scan.split("DataFilters: [")[1] and "isnotnull(event_date" in scan
-    for bad in ("NestedLoop", "Cartesian", "Python"):
-        assert bad not in plan
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    assert "PartitionFilters: [isnotnull(event_date" in _plan(views.bucket_totals(t.events, now))
+    assert _plan(views.stats(t.events, t.detections, t.feeds, t.iocs, now)).count("PartitionFilters: [isnotnull(") == 2
 
 
 def test_json_rows(spark):
