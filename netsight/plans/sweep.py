@@ -7,7 +7,7 @@ from netsight.operators import feeds as feed_ops
 from netsight.operators import registry
 from netsight.operators.ids import assign_ids, max_id
 from netsight.schemas import FEED_LOGS
-from netsight.session import path_exists, written_once
+from netsight.session import path_exists, stage_scope, written_once
 
 
 def sweep(payloads: DataFrame, root: str, now: Column, severity_property: str = "x_severity") -> int:
@@ -17,6 +17,12 @@ def sweep(payloads: DataFrame, root: str, now: Column, severity_property: str =
     succeeded, records status and log of every feed pulled, and returns the version. It goes up
     only if a pull succeeded. Payloads are parsed once, into a table that counts and merge read.
     """
+    spark = payloads.sparkSession
+    with stage_scope(spark):
+        return _sweep(payloads, root, now, severity_property)
+
+
+def _sweep(payloads: DataFrame, root: str, now: Column, severity_property: str) -> int:
     spark = payloads.sparkSession
     iocs, feeds = registry.read_version(spark, root, registry.current_version(spark, root))
     typed = feed_ops.with_feed(payloads, feeds)

@@ -1,11 +1,15 @@
 """Session settings and the shared work folder."""
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -31,8 +35,23 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_root(spark)}/netsight-{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder; within a ``stage_scope`` it goes when that ends."""
+    path = f"{shared_root(spark)}/netsight-{name}-{uuid.uuid4().hex}"
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
+    return path
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables made within it; the final write must be within it too."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -10,6 +10,7 @@ from netsight.operators.ids import assign_ids, in_order, number_rows
 from netsight.operators.ingest import EVENT_COLUMNS, accepted, parse_lines
 from netsight.operators.match import new_detections
 from netsight.schemas import DETECTIONS, EVENTS
+from netsight.session import stage_scope
 
 
 def valid_text(df: DataFrame, column: str) -> DataFrame:
@@ -47,16 +48,18 @@ def append_events(lines: DataFrame, path: str, tz: str = "UTC", start: int = 0)
 
     Rows are in arrival order, so a task writes few days.
     """
-    (numbered_events(lines, tz, start).select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date"))
-     .write.mode("append").partitionBy("event_date").parquet(path))
+    with stage_scope(lines.sparkSession):
+        (numbered_events(lines, tz, start).select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date"))
+         .write.mode("append").partitionBy("event_date").parquet(path))
 
 
 def append_detections(hits: DataFrame, path: str, stored: DataFrame | None = None, start: int = 0) -> None:
     """Append hits that are not stored yet, numbered by event, indicator and match type."""
     fresh = hits if stored is None else new_detections(hits, stored)
-    rows = assign_ids(fresh, ["event_id", "ioc_id", "match_type"], start)
-    (rows.select(*DETECTIONS.fieldNames(), F.to_date("created_at").alias("created_date"))
-     .write.mode("append").partitionBy("created_date").parquet(path))
+    with stage_scope(hits.sparkSession):
+        rows = assign_ids(fresh, ["event_id", "ioc_id", "match_type"], start)
+        (rows.select(*DETECTIONS.fieldNames(), F.to_date("created_at").alias("created_date"))
+         .write.mode("append").partitionBy("created_date").parquet(path))
 
 
 def _json_value(value: Column, kind: T.DataType) -> Column:

@@ -1,18 +1,23 @@
 """The live side as Structured Streaming queries.
 
-``ingest`` parses, stores and matches each micro-batch. Every batch writes only
-folders named after its own ``batch_id`` in overwrite mode, takes its start ids
-from the state row of the batch before it, and writes its own state row last. A
-replayed batch therefore replaces itself and changes nothing else, and one whose
-state row exists is skipped: the effect is exactly-once without keyed state.
+``ingest`` parses, stores and matches each micro-batch. A run is the life of one
+checkpoint, which keeps the run's name. Every batch writes only folders named after
+its run and ``batch_id`` in overwrite mode, takes its start ids from the newest state
+row of any run, and writes its own state row last. A replayed batch therefore
+replaces itself and changes nothing else, and one whose state row exists is skipped:
+the effect is exactly-once without keyed state. A new checkpoint is a new run, whose
+batches count from 0 again but go on with the ids. Readers see batches with a state
+row alone. A batch whose predecessor has no state row is an error.
 """
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from netsight.functions.buckets import bucket_of
 from netsight.operators.ids import assign_ids, in_order, number_rows
@@ -22,7 +27,7 @@ from netsight.operators.match import (
 from netsight.operators.registry import current_version, read_version
 from netsight.plans.views import with_bucket
 from netsight.schemas import DETECTIONS, EVENTS, SYSLOG_LINES
-from netsight.session import path_exists
+from netsight.session import path_exists, stage_scope
 from netsight.sources.storage import json_rows, valid_text
 
 
@@ -42,6 +47,13 @@ def landed_line_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.options(**options).schema(SYSLOG_LINES).parquet(path)
 
 
+STATE = ["number", "last_event_id", "last_detection_id", "version", "watermark", "received", "parsed", "errors", "detections"]
+
+
+def _fields(schema: StructType) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+
+
 @dataclass(frozen=True)
 class LiveStore:
     """Folders of the live tables, and where indicator versions are published."""
@@ -53,24 +65,36 @@ class LiveStore:
     retro_hours: int = 24
     snapshots: dict = field(default_factory=dict, compare=False)
 
-    def path(self, name: str, batch_id: int) -> str:
-        return f"{self.root}/{name}/batch_id={batch_id}"
+    def path(self, name: str, run: str, batch_id: int) -> str:
+        return f"{self.root}/{name}/run={run}/batch_id={batch_id}"
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return (self.spark.read.schema(f"{schema}, run string, batch_id int").option("basePath", f"{self.root}/{name}")
+                .parquet(f"{self.root}/{name}"))
+
+    def _committed(self, name: str, schema: str) -> DataFrame:
+        rows = self._read(name, schema)
+        return rows.join(self.state().select("run", "batch_id"), ["run", "batch_id"], "left_semi")
 
     def events(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/events").parquet(f"{self.root}/events")
+        return self._committed("events", f"{_fields(EVENTS)}, event_date date")
 
     def detections(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/detections")
+        return self._committed("detections", _fields(DETECTIONS))
 
     def state(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/state")
+        return self._read("state", ", ".join(f"{c} bigint" for c in STATE))
 
-    def before(self, batch_id: int) -> dict:
-        """State left by the previous batch."""
-        path = self.path("state", batch_id - 1)
-        if batch_id > 0 and path_exists(self.spark, path):
-            return self.spark.read.parquet(path).first().asDict()
-        return {"last_event_id": 0, "last_detection_id": 0, "version": 0, "watermark": 0}
+    def before(self) -> dict:
+        """The newest state row of any run."""
+        if path_exists(self.spark, f"{self.root}/state"):
+            row = self.state().orderBy(F.desc("last_event_id"), F.desc("number")).first()
+            if row is not None:
+                return row.asDict()
+        return {"number": 0, "last_event_id": 0, "last_detection_id": 0, "version": 0, "watermark": 0}
+
+    def done(self, run: str, batch_id: int) -> bool:
+        return path_exists(self.spark, f"{self.path('state', run, batch_id)}/_SUCCESS")
 
     def snapshot(self, version: int) -> Snapshot:
         """Prepared indicators of a version; kept in memory until another version is asked for."""
@@ -83,23 +107,30 @@ class LiveStore:
         return self.snapshots[version]
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+def _write(df: DataFrame, path: str, *days: str) -> DataFrame:
+    df.write.mode("overwrite").partitionBy(*days).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ingest_batch(lines: DataFrame, batch_id: int, store: LiveStore) -> None:
+def ingest_batch(lines: DataFrame, batch_id: int, store: LiveStore, run: str = "0") -> None:
     """Store one micro-batch: events, rejects, detections, live rows, then the state row."""
-    spark = lines.sparkSession
-    if path_exists(spark, f"{store.path('state', batch_id)}/_SUCCESS"):
+    if store.done(run, batch_id):
         return
-    before = store.before(batch_id)
+    if batch_id > 0 and not store.done(run, batch_id - 1):
+        raise ValueError(f"batch {batch_id} of run {run} follows a batch that was not stored")
+    with stage_scope(lines.sparkSession):
+        _ingest_batch(lines, batch_id, store, run)
+
+
+def _ingest_batch(lines: DataFrame, batch_id: int, store: LiveStore, run: str) -> None:
+    spark, before = lines.sparkSession, store.before()
     if "line_id" not in lines.columns:
         lines = lines.withColumn("line_id", F.monotonically_increasing_id())
-    parsed = _write(parse_lines(lines, store.tz), store.path("parsed", batch_id))
-    _write(rejected(parsed), store.path("rejects", batch_id))
+    parsed = _write(parse_lines(lines, store.tz), store.path("parsed", run, batch_id))
+    _write(rejected(parsed), store.path("rejects", run, batch_id))
     numbered = number_rows(in_order(accepted(parsed), ["received_at", "line_id"]), before["last_event_id"])
-    events = _write(numbered.select(*EVENTS.fieldNames()), store.path("events", batch_id))
+    events = _write(numbered.select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date")),
+                    store.path("events", run, batch_id), "event_date")
 
     # the version is read once per batch, so all its rows see one snapshot
     version = current_version(spark, store.versions)
@@ -111,27 +142,28 @@ def ingest_batch(lines: DataFrame, batch_id: int, store: LiveStore) -> None:
         if version != before["version"] and before["last_event_id"] > 0 and now is not None:
             clock = F.lit(now)
             stored = store.events().filter(F.col("id") <= before["last_event_id"])
-            known = store.detections().filter(F.col("batch_id") < batch_id)
+            known = store.detections()
             new_hits = new_hits.unionByName(
                 retro_scan(stored, known, snapshot, clock, store.retro_hours, watermark, clock))
             watermark = next_watermark(stored, clock, store.retro_hours, watermark).first()[0]
     empty = spark.createDataFrame([], DETECTIONS)
     rows = empty if new_hits is None else assign_ids(
         new_hits, ["event_id", "ioc_id", "match_type"], before["last_detection_id"])
-    hits = _write(rows.select(*DETECTIONS.fieldNames()), store.path("detections", batch_id))
+    hits = _write(rows.select(*DETECTIONS.fieldNames()), store.path("detections", run, batch_id))
 
-    _write(live_rows(events, hits), store.path("live", batch_id))
+    _write(live_rows(events, hits), store.path("live", run, batch_id))
     counts = parsed.agg(
         F.count(F.lit(1)).alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("parsed"),
         F.count_if(F.col("reject_reason") == "error").alias("errors")).first()
     n_hits = hits.count()
     state = spark.range(1).select(
+        F.lit(before["number"] + 1).cast("bigint").alias("number"),
         F.lit(before["last_event_id"] + counts["parsed"]).cast("bigint").alias("last_event_id"),
         F.lit(before["last_detection_id"] + n_hits).cast("bigint").alias("last_detection_id"),
         F.lit(version).cast("bigint").alias("version"), F.lit(watermark).cast("bigint").alias("watermark"),
         *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("received", "parsed", "errors")],
         F.lit(n_hits).cast("bigint").alias("detections"))
-    _write(state, store.path("state", batch_id))
+    _write(state, store.path("state", run, batch_id))
 
 
 def live_rows(events: DataFrame, detections: DataFrame) -> DataFrame:
@@ -145,8 +177,17 @@ def live_rows(events: DataFrame, detections: DataFrame) -> DataFrame:
 
 def ingest(lines: DataFrame, store: LiveStore, checkpoint: str) -> DataStreamWriter:
     """Continuous ingest with inline detection; start it with the trigger of your choice."""
+    run = run_name(lines.sparkSession, checkpoint)
     return (lines.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, batch_id: ingest_batch(df, batch_id, store)))
+            .foreachBatch(lambda df, batch_id: ingest_batch(df, batch_id, store, run)))
+
+
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name that a checkpoint keeps for its run; made with the checkpoint."""
+    path = f"{checkpoint}/run"
+    if not path_exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").coalesce(1).write.parquet(path)
+    return spark.read.schema("run string").parquet(path).first()[0]
 
 
 def daily_buckets(lines: DataFrame, tz: str = "UTC", lateness: str = "2 days") -> DataFrame:

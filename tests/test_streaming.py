@@ -1,6 +1,7 @@
 """Live side: equal to the batch result, safe to replay, refreshed by new versions."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from netsight.operators import registry
 from netsight.operators.ingest import accepted, parse_lines
 from netsight.operators.match import active_indicators, match_events, prepare_snapshot
 from netsight.schemas import FEEDS, IOCS, SYSLOG_LINES
+from netsight.sources.storage import append_events
 from netsight.streaming import jobs
 
 T0 = datetime(2026, 8, 26, 6)
@@ -60,12 +62,50 @@ def test_batches_replay_and_new_version(spark, store):
     assert sorted(r.id for r in store.events().select("id").collect()) == list(range(1, 31))
     ids = sorted(r.id for r in store.detections().select("id").collect())
     assert ids == list(range(1, len(ids) + 1))
-    state = store.before(2)
+    state = store.before()
     assert (state["last_event_id"], state["version"], state["watermark"], state["errors"]) == (30, 2, 20, 5)
     live = spark.read.parquet(f"{store.root}/live")
     assert {r.kind: r["count"] for r in live.groupBy("kind").count().collect()} == {"event": 30, "detection": len(ids)}
 
 
+def test_a_fresh_checkpoint_on_a_filled_store_loses_nothing(spark, store, tmp_path):
+    landed = tmp_path / "in"
+    landed.mkdir()
+    (landed / "a.log").write_text("first\nsecond\n")
+    stream = jobs.syslog_text_stream(spark, str(landed))
+    jobs.run_available(jobs.ingest(stream, store, str(tmp_path / "one")))
+    (landed / "b.log").write_text("third\n")
+    jobs.run_available(jobs.ingest(stream, store, str(tmp_path / "one")))
+    other = tmp_path / "new"
+    other.mkdir()
+    (other / "c.log").write_text("fourth\nfifth\nsixth\n")
+    jobs.run_available(jobs.ingest(jobs.syslog_text_stream(spark, str(other)), store, str(tmp_path / "two")))
+    assert sorted((r.id, r.msg) for r in store.events().collect()) == list(
+        enumerate(["first", "second", "third", "fourth", "fifth", "sixth"], 1))
+    assert sorted((r.number, r.last_event_id) for r in store.state().collect()) == [(1, 2), (2, 3), (3, 6)]
+
+
+def test_gaps_raise_and_unfinished_batches_are_not_seen(spark, store):
+    with pytest.raises(ValueError, match="not stored"):
+        jobs.ingest_batch(_lines(spark, 0, 4), 3, store)
+    jobs.ingest_batch(_lines(spark, 0, 8), 0, store, "a")
+    # what a lost run wrote before its state row
+    store.events().drop("run", "batch_id").write.partitionBy("event_date").parquet(store.path("events", "lost", 0))
+    assert store.events().count() == 4
+    jobs.ingest_batch(_lines(spark, 8, 16), 0, store, "b")
+    assert sorted(r.id for r in store.events().collect()) == list(range(1, 9))
+
+
+def test_no_stage_folder_is_left(spark, store):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.iterdir())
+    iocs, feeds = _tables(spark, ("ip", "10.0.0.3"))
+    registry.publish_version(iocs, feeds, store.versions)
+    jobs.ingest_batch(_lines(spark, 0, 40), 0, store)
+    append_events(_lines(spark, 0, 20), f"{store.root}/more")
+    assert set(root.iterdir()) == before
+
+
 def test_text_stream_without_indicators(spark, store, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("kernel: SRC=1.1.1.1 IN=a\n\nplain text\n")
