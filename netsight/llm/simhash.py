@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from netsight.llm.common import map_texts, shared, texts
 from netsight.llm.components import components
+from netsight.llm.zones import keyed
 
 SHINGLE = 4
 DISTANCE = 4
@@ -52,15 +53,16 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keys: str) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed number; ``keys`` of the text stay."""
 
     def work(rows, data, offsets):
         raw, bounds = data.tobytes(), offsets.tolist()
         fps = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(bounds, bounds[1:], strict=False)], np.uint64)
-        return {"doc_id": rows.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
+        return {**{c: rows.column(c) for c in ("doc_id", *keys)}, "fp": pa.array(fps.view(np.int64))}
 
-    return map_texts(texts(docs), "text", "doc_id long, fp long", work)
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *keys, "fp"))
+    return map_texts(keyed(docs) if keys else texts(docs), "text", schema, work)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -197,6 +199,11 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
+def rooted(nodes: DataFrame, distance: int) -> DataFrame:
+    """(node, root) of the fingerprints ``nodes`` (fp) that have links."""
+    return shared(components(links(nodes.select("fp"), distance)), "roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id linked, step by step.
 
@@ -206,7 +213,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """
     prints = shared(fingerprints(docs, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = shared(components(links(nodes.select("fp"), distance)), "roots")
+    roots = rooted(nodes, distance)
     named = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = shared(named.join(ids, "root").select("fp", "component_id"), "classes")
@@ -214,11 +221,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs``, as they are, that have the smallest doc_id of their component.
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``part`` of ``found`` (doc_id, ka, kb, part), as it is.
 
-    Rows that share this doc_id all stay; so do rows without one if their component has none.
+    It is one with the smallest doc_id, null last, then with the smallest text key. Equal texts
+    must be in one part. Rows equal in id and text are combined, so that one of them stays.
     """
-    found = near_duplicates(docs, shingle, distance)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = found.groupBy("part").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ka", "kb")).alias("at"))
+    times = found.groupBy("doc_id", "ka", "kb").agg(F.count("*").alias("_times"))
+    chosen = first.select(*[F.col(f"at.{c}").alias(f"_{c}") for c in ("doc_id", "ka", "kb")])
+    chosen = shared(chosen.join(times, chosen["_doc_id"].eqNullSafe(times["doc_id"]) & (chosen["_ka"] == times["ka"])
+                                & (chosen["_kb"] == times["kb"])).select("_doc_id", "_ka", "_kb", "_times"), "chosen")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text, F.octet_length(text))})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_a") == F.col("_ka")) & (F.col("_b") == F.col("_kb"))
+    lone = rows.join(chosen.where("_times = 1"), same, "left_semi")
+    repeated = rows.join(chosen.where("_times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_a", "_b"])
+    return lone.union(repeated).select(docs.columns)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of ``docs``, as it is, of each component: see ``keep_one``."""
+    prints = shared(fingerprints(docs, shingle, "ka", "kb"), "fingerprints")
+    roots = rooted(prints.select("fp").distinct(), distance)
+    return keep_one(docs, prints.join(roots, prints["fp"] == roots["node"], "left")
+                    .select("doc_id", "ka", "kb", F.coalesce("root", "fp").alias("part")))

@@ -89,6 +89,17 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert {r["doc_id"] for r in got} == {r["component_id"] for r in found}
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = np.random.default_rng(9)
+    long, other, third, fourth = (" ".join(f"w{n}" for n in rng.integers(0, 500, 120)) for _ in range(4))
+    rows = [(1, long), (1, long), (2, long), (None, other), (None, other), (None, third), (5, third), (6, third), (7, fourth), (None, fourth)]
+    made = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, ka long")
+    one = simhash.one_of_each(made)
+    want = Counter([(1, long), (None, other), (5, third), (7, fourth)])
+    assert Counter((r["doc_id"], r["text"]) for r in one.collect()) == want
+    assert Counter((r["doc_id"], r["text"]) for r in rlbwt.cut_repeats(one).collect()) == want
+
+
 def repeated_bytes(raws, window):
     seen = Counter(raw[i:i + window] for raw in raws for i in range(len(raw) - window + 1))
     out = []
