@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from netsight.llm import doubling, rlbwt, simhash, zones
+from netsight.llm import doubling, jaccard, rlbwt, simhash, zones
 from netsight.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -100,6 +100,58 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter((r["doc_id"], r["text"]) for r in rlbwt.cut_repeats(one).collect()) == want
 
 
+def shingles_of(text):
+    w = words_of((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("slab", [1 << 19, 700])
+def test_pipeline_links_every_pair_of_similarity_four_fifths(spark, docs, monkeypatch, slab):
+    monkeypatch.setattr(jaccard, "SLAB", slab)
+    rng = np.random.default_rng(12)
+    made = []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in rng.integers(0, 10**6, 220)]
+        for copy in range(6):
+            own = list(base)
+            for at in rng.integers(0, 220, int(rng.integers(1, 9))):
+                own[at] = f"x{rng.integers(10**9)}"
+            made.append((2000 + 10 * group + copy, " ".join(own)))
+    rows = docs.union(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    both = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles_of(r["text"]) for r in rows]
+    part, far = np.arange(len(rows)), 0
+    prints = [slow_fingerprint(r["text"]) for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or (common and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)):
+                far += (prints[i] ^ prints[j]).bit_count() > 4
+                part = simhash.joined(part, np.array([i]), np.array([j]))
+    assert far > 50
+    want = {}
+    for r, p in zip(rows, part.tolist(), strict=True):
+        want.setdefault(p, []).append(r["doc_id"])
+    found = jaccard.near_duplicates(both).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["part"], []).append(r["doc_id"])
+    order = lambda groups: sorted(sorted((d is None, d or 0) for d in g) for g in groups.values())
+    assert order(got) == order(want)
+    assert jaccard.one_of_each(both).count() == len(want)
+
+
+def test_empty_table_of_the_pipeline_stage(no_docs):
+    assert jaccard.one_of_each(no_docs).count() == 0
+
+
+def test_pairs_that_no_star_links_are_compared_in_their_cell():
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = [base[:60], base[20:90], base[25:95], base[:62], base[40:]]
+    links = jaccard.cross_links(np.arange(5), np.arange(5), sets)
+    assert {frozenset(pair) for pair in links} == {frozenset((0, 3)), frozenset((1, 2))}
+
+
 def repeated_bytes(raws, window):
     seen = Counter(raw[i:i + window] for raw in raws for i in range(len(raw) - window + 1))
     out = []
