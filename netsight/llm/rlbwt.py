@@ -11,6 +11,8 @@ zones of one group, and a group's zones are indexed together. An equal zone is s
 whatever the number of its copies; it stands in the block twice if there is more than one. A
 group with more than ``KINDS`` different zones is cut further, by the bytes that all windows of a
 cell have in common, so that a passage in a third of all texts is spread by its surroundings.
+A cell with more than ``KINDS`` pieces, like those over the ends of such a passage, is cut into
+its windows: equal windows are counted, before and after the shuffle, and indexed no further.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +113,54 @@ def repeated_starts(pieces: list[bytes], copies: list[int], window: int) -> list
     return out
 
 
+def crowded_routes(pieces: DataFrame) -> DataFrame:
+    """(route) of the cells with more than ``KINDS`` pieces, equal ones counted too."""
+    return pieces.groupBy("route").agg(F.count("*").alias("pieces")).where(F.col("pieces") > KINDS).select("route")
+
+
+def held(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """``rows`` whose key is in ``keys`` (with their ``times``); keys of many rows are few, and joined apart."""
+    heavy = shared(keys.where(F.col("times") > KINDS).select(*names), "heavy")
+    light = keys.where(F.col("times") <= KINDS).select(*names)
+    return rows.join(heavy, [*names], "left_semi").union(rows.join(heavy, [*names], "left_anti").join(light, [*names], "left_semi"))
+
+
+def window_marks(pieces: DataFrame, window: int) -> DataFrame:
+    """Repeated window starts of ``pieces`` without an index, by counts of equal pieces and windows.
+
+    All windows of a repeated piece are repeated. Different pieces are cut, and equal windows are
+    one row with their count, told apart by 128 bits. Equal windows have one route, so none has
+    a copy elsewhere.
+    """
+    keys = ["route", "pa", "pb"]
+    pieces = shared(pieces.withColumns({"pa": F.xxhash64("bytes"), "pb": F.xxhash64(F.lit(1), "bytes", F.octet_length("bytes"))}), "pieces")
+    kinds = shared(pieces.groupBy(*keys).agg(F.sum("n").alias("times"), F.min(F.struct("group", "content", "skip")).alias("at"),
+                                             F.min("bytes").alias("bytes")), "kinds")
+    whole = held(pieces.select(*keys, "group", "content", "skip", F.octet_length("bytes").alias("size")),
+                 kinds.where("times > 1").select(*keys, "times"), *keys)
+    whole = whole.select("group", "content", F.array("skip").alias("starts"), F.array(F.col("skip") + F.col("size") - (window - 1)).alias("ends"))
+
+    def cut(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                rows = batch.slice(lo, 500)
+                raws = rows.column("bytes").to_pylist()
+                counts = np.array([len(raw) - window + 1 for raw in raws], np.int64)
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i:i + window]) for raw, n in zip(raws, counts.tolist(), strict=True) for i in range(n)), np.int64)
+                at = np.repeat(np.arange(len(raws)), counts)
+                places = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts) + rows.column("skip").to_numpy()[at]
+                yield pa.RecordBatch.from_pydict({
+                    "wa": pa.array(digests[::2]), "wb": pa.array(digests[1::2]), "place": pa.array(places.astype(np.int32)),
+                    **{c: rows.column(c).take(pa.array(at)) for c in ("group", "content", "n")}})
+
+    places = shared(kinds.select("bytes", "at.group", "at.content", "at.skip", F.least("times", F.lit(2)).cast("long").alias("n")).mapInArrow(
+        cut, "wa long, wb long, place int, group long, content long, n long"), "windows")
+    twice = shared(places.groupBy("wa", "wb").agg(F.sum("n").alias("times")).where("times > 1"), "twice")
+    alone = held(places.where("n = 1"), twice, "wa", "wb").groupBy("group", "content").agg(F.collect_list("place").alias("starts"))
+    return (whole.union(alone.select("group", "content", "starts", F.transform("starts", lambda x: x + 1)))
+            .select("group", "content", F.lit(0).alias("skip"), "starts", "ends"))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(distinct, starts): the distinct texts, and runs of their repeated window starts.
 
@@ -120,9 +171,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     kinds = found.groupBy("group", "content").agg(
         F.min(F.struct("ka", "kb", "low", "high", "anchor")).alias("at"), F.sum("n").alias("n"))
     large = shared(kinds.groupBy("group").agg(F.count("*").alias("kinds")).where(F.col("kinds") > KINDS).select("group", F.lit(True).alias("large")), "large")
-    wanted = (kinds.join(large, "group", "left").select("at.ka", "at.kb", F.struct(
+    wanted = kinds.join(large, "group", "left").select("at.ka", "at.kb", F.struct(
         "group", "content", "at.low", "at.high", "at.anchor", "n", F.coalesce("large", F.lit(False)).alias("large")).alias("zone"))
-        .groupBy("ka", "kb").agg(F.collect_list("zone").alias("zones")))
 
     def ship(batches):
         for batch in batches:
@@ -181,10 +231,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
         if (made := flush()) is not None:
             yield made
 
-    shipped = distinct.join(wanted, ["ka", "kb"]).select("text", "zones").mapInArrow(
-        ship, "route long, group long, content long, n long, skip int, bytes binary")
-    marks = shipped.repartition("route").sortWithinPartitions("route").mapInArrow(
-        index, "group long, content long, skip int, starts array<int>, ends array<int>")
+    def shipped(zones_: DataFrame) -> DataFrame:
+        by_text = zones_.groupBy("ka", "kb").agg(F.collect_list("zone").alias("zones"))
+        return distinct.join(by_text, ["ka", "kb"]).select("text", "zones").mapInArrow(
+            ship, "route long, group long, content long, n long, skip int, bytes binary")
+
+    of_cells = shipped(wanted.where("zone.large"))
+    crowded = shared(crowded_routes(of_cells), "crowded")
+    marks = (shipped(wanted).join(crowded, "route", "left_anti").repartition("route").sortWithinPartitions("route").mapInArrow(
+        index, "group long, content long, skip int, starts array<int>, ends array<int>"))
+    if not crowded.isEmpty():
+        marks = marks.union(window_marks(of_cells.join(crowded, "route", "left_semi"), window))
     add = lambda name: F.transform(name, lambda x: x + F.col("low"))
     starts = (found.select("group", "content", "ka", "kb", "low").join(marks, ["group", "content"])
               .select("ka", "kb", add("starts").alias("starts"), add("ends").alias("ends"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from netsight.llm import doubling, jaccard, rlbwt, simhash, zones
 from netsight.llm.components import components
@@ -178,6 +179,27 @@ def test_repeated_bytes_go(docs, monkeypatch, window, gram, kinds):
     assert got == want
 
 
+def test_cells_over_the_ends_of_a_common_passage_are_cut_into_windows(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    text = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = text(260)
+    rows = [(i, text(300) + passage + text(300)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(rlbwt, "KINDS", 20)
+    cut, indexed = [], []
+    real, pieces = rlbwt.window_marks, rlbwt.crowded_routes
+    monkeypatch.setattr(rlbwt, "window_marks", lambda p, w: cut.append(p) or real(p, w))
+    monkeypatch.setattr(rlbwt, "crowded_routes", lambda p: indexed.append(p) or pieces(p))
+    raws = [r[1].encode() for r in rows]
+    want = {r[0]: int(gone.sum()) for r, gone in zip(rows, repeated_bytes(raws, 200), strict=True)}
+    assert {r["doc_id"]: r["n_removed"] for r in rlbwt.dedup(docs).collect()} == want
+    crowded = {r["route"] for r in cut[0].select("route").distinct().collect()}
+    sizes = {r["route"]: (r["count"], r["kinds"]) for r in indexed[0].groupBy("route").agg(
+        F.count("*").alias("count"), F.countDistinct("bytes").alias("kinds")).collect()}
+    assert max(kinds for _, kinds in sizes.values()) > 20
+    assert all((route in crowded) == (count > 20) for route, (count, _) in sizes.items())
+
+
 def test_texts_without_their_repeats_are_whole_characters(docs):
     rows = {r["doc_id"]: r["text"] for r in rlbwt.cut_repeats(docs).collect()}
     assert 1200 not in rows
