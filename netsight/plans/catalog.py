@@ -615,8 +615,7 @@ def stream_detections(spark, sf):
 def stream_daily_buckets(spark, sf):
     lines = jobs.landed_line_stream(spark, _landed(spark, sf), maxFilesPerTrigger="2")
     out = work_path(spark, "updates")
-    jobs.run_available(jobs.updates_to(
-        jobs.daily_buckets(lines, lateness="60 days"), out, work_path(spark, "checkpoint")))
+    jobs.run_available(jobs.updates_to(jobs.daily_buckets(lines), out, work_path(spark, "checkpoint")))
     return jobs.latest_updates(spark, out, "day", "bucket")
 
 
@@ -624,6 +623,5 @@ def stream_daily_buckets(spark, sf):
 def stream_arrival_rate(spark, sf):
     lines = jobs.landed_line_stream(spark, _landed(spark, sf), maxFilesPerTrigger="2")
     out = work_path(spark, "updates")
-    jobs.run_available(jobs.updates_to(
-        jobs.arrival_rate(lines, lateness="60 days"), out, work_path(spark, "checkpoint")))
+    jobs.run_available(jobs.updates_to(jobs.arrival_rate(lines), out, work_path(spark, "checkpoint")))
     return jobs.latest_updates(spark, out, "window_end")

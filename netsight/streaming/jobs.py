@@ -190,32 +190,44 @@ def run_name(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("run string").parquet(path).first()[0]
 
 
-def daily_buckets(lines: DataFrame, tz: str = "UTC", lateness: str = "2 days") -> DataFrame:
-    """Running count per UTC day and bucket; days older than ``lateness`` leave the state."""
+def _until(rows: DataFrame, column: str, lateness: str | None) -> DataFrame:
+    """``rows`` whose state ends ``lateness`` after ``column``; None keeps it, so that no late row is dropped."""
+    return rows if lateness is None else rows.withWatermark(column, lateness)
+
+
+def daily_buckets(lines: DataFrame, tz: str = "UTC", lateness: str | None = None) -> DataFrame:
+    """Running count per UTC day and bucket, late lines included.
+
+    The state is as large as the result. With ``lateness``, older days leave it and their late
+    lines are lost.
+    """
     events = parse_lines(lines, tz).filter("reject_reason IS NULL").select(
         "ts", bucket_of(F.col("tag"), F.col("action")).alias("bucket"))
-    return (events.withWatermark("ts", lateness)
+    return (_until(events, "ts", lateness)
             .groupBy(F.window("ts", "1 day").alias("w"), "bucket").agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").cast("date").alias("day"), "bucket", "n"))
 
 
-def arrival_rate(lines: DataFrame, lateness: str = "1 minute") -> DataFrame:
-    """Arrivals in the trailing 60 seconds, every 10 seconds."""
-    return (lines.withWatermark("received_at", lateness)
+def arrival_rate(lines: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Arrivals in the trailing 60 seconds, every 10 seconds; ``lateness`` as in ``daily_buckets``."""
+    return (_until(lines, "received_at", lateness)
             .groupBy(F.window("received_at", "60 seconds", "10 seconds").alias("w"))
             .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.end").alias("window_end"), "n"))
 
 
 def inline_detections(lines: DataFrame, snapshot: Snapshot, event_id: Column, tz: str = "UTC",
-                      lateness: str = "10 minutes") -> DataFrame:
+                      lateness: str | None = None) -> DataFrame:
     """Pure stream: parse, match with a fixed snapshot, drop re-sent duplicates.
 
-    ``event_id`` must identify a line across re-sends.
+    ``event_id`` must identify a line across re-sends. The state holds the keys of all hits; with
+    ``lateness``, those of that time alone, and later lines are lost.
     """
     events = accepted(parse_lines(lines, tz)).withColumn("id", event_id)
     hits = match_events(events, snapshot, F.col("received_at"))
-    return (hits.withWatermark("created_at", lateness)
-            .dropDuplicatesWithinWatermark(["event_id", "ioc_id", "match_type"]))
+    keys = ["event_id", "ioc_id", "match_type"]
+    if lateness is None:
+        return hits.dropDuplicates(keys)
+    return hits.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(keys)
 
 
 def updates_to(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> DataStreamWriter:

@@ -1,5 +1,6 @@
 """Live side: equal to the batch result, safe to replay, refreshed by new versions."""
 
+import time
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -129,6 +130,26 @@ def test_stateful_views_equal_batch(spark, tmp_path):
     assert sum(r.n for r in rate) == 200 * 6 and max(r.n for r in rate) == 60
 
 
+def test_very_late_lines_count(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    line = "<134>Aug %02d 06:00:00 GW kernel: [1.5] [FW-DROP] IN=a OUT=b SRC=10.0.0.3 DST=1.1.1.1 PROTO=TCP"
+    for i, day in enumerate((26, 27, 1, 2)):
+        rows = [(i, datetime(2026, 8, day, 6), line % day)]
+        spark.createDataFrame(rows, SYSLOG_LINES).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    lines = jobs.landed_line_stream(spark, path, maxFilesPerTrigger="1")
+    snapshot = prepare_snapshot(active_indicators(*_tables(spark, ("ip", "10.0.0.3"))))
+    made = {"d": jobs.daily_buckets(lines), "r": jobs.arrival_rate(lines)}
+    for name, df in made.items():
+        jobs.run_available(jobs.updates_to(df, str(tmp_path / name), str(tmp_path / f"c{name}")))
+    daily = jobs.latest_updates(spark, str(tmp_path / "d"), "day", "bucket").collect()
+    assert sorted((r.day.day, r.n) for r in daily) == [(1, 1), (2, 1), (26, 1), (27, 1)]
+    assert sum(r.n for r in jobs.latest_updates(spark, str(tmp_path / "r"), "window_end").collect()) == 4 * 6
+    hits = jobs.inline_detections(lines, snapshot, F.col("line_id"))
+    jobs.run_available(jobs.updates_to(hits, str(tmp_path / "h"), str(tmp_path / "ch"), mode="append"))
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "h")).collect()) == [0, 1, 2, 3]
+
+
 def test_inline_detections_drop_resent_lines(spark, tmp_path):
     path = str(tmp_path / "landed")
     df = _lines(spark, 0, 40)
