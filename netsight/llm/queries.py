@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsight.llm import chunk_bpe, cover_tree, doubling, learned_parts, order, packing, rlbwt, secrets, simhash, toxicity
+from netsight.llm import (
+    chunk_bpe, collocations, cover_tree, doubling, learned_parts, merkle, order, packing, rlbwt, secrets, sharding, simhash, toxicity)
 from netsight.llm.common import table
+from netsight.llm.oracles import llm_sql
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -66,9 +68,27 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.training_order(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_veb_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and which of the tampered ones their proofs give away."""
+    return merkle.tampering_found(table(spark, sf_dir, "documents"))
+
+
+def op12_misra_gries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, and its shard if there were one more."""
+    return sharding.placements(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_cnn, op2_secret_automaton, op3_learned_parts, op4_dual_cover_tree, op5_simhash_gray, op6_best_fit_packing, op7_level_doubling, op8_chunk_bpe, op9_run_length_index, op10_training_order)}
+    return {f.__name__: f for f in (
+        op1_toxicity_cnn, op2_secret_automaton, op3_learned_parts, op4_dual_cover_tree, op5_simhash_gray, op6_best_fit_packing, op7_level_doubling,
+        op8_chunk_bpe, op9_run_length_index, op10_training_order, op11_veb_merkle, op12_misra_gries, op13_rendezvous)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    """SQL for the same rows, where SQL can say them."""
+    return llm_sql()
