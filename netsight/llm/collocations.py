@@ -1,15 +1,16 @@
 """Phrase collocations from mergeable Misra-Gries summaries and an exact second pass.
 
 A Misra-Gries summary of capacity ``k`` over a mass ``m`` loses at most ``m / (k + 1)`` of any
-count, also after merging. Phrases are dealt to hash partitions; each partition's summary gets a
-capacity above its mass divided by the threshold, so every phrase that reaches the threshold is
-still in it. What survives is a superset of the frequent phrases of a few entries for each
-``threshold`` of mass; the second pass counts the survivors in the texts themselves, exactly.
+count, also after merging. Phrases are dealt to hash partitions by the top bits of their hash;
+each partition's summary gets a capacity above its mass divided by the threshold, so every phrase
+that reaches the threshold is still in it. The second pass counts the survivors in the texts
+themselves, exactly. Counts travel in packets, one row for a task's counts of one partition.
 
 Words and pairs come first. Three and four words are summarised only where all their pairs
 survived, since a frequent phrase has frequent pairs. Survivors are told to the scans by a bit for
-each hash, in a filter of ``FILTER_BITS`` bits whatever the corpus: where two hashes share a bit,
-a scan passes more than it must and the exact counts drop it, so a full filter costs time alone.
+each hash, in a filter of ``FILTER_BITS`` bits whatever the corpus, of which each partition makes
+its own stretch: where two hashes share a bit, a scan passes more than it must and the exact
+counts drop it, so a full filter costs time alone.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ THRESHOLD = 30
 LONGEST = 4
 PER_LANG = 2000
 FILTER_BITS = 1 << 27
-PART_MASS = 1 << 23
+PART_MASS = 1 << 25
+FEWEST_PARTS = 64
+SLACK = 4
 BUFFER = 1 << 22
-_CHUNK_BITS = 1 << 16
+HELD_ROWS = 1 << 19
+_UNKNOWN = 1 << 50  # Spark's estimate for what it knows nothing of is above this
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -93,13 +97,9 @@ class Words:
         return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.line[at]))
 
 
-def bits(keys: np.ndarray, size: int) -> np.ndarray:
-    return (keys & np.uint64(size - 1)).astype(np.int64)
-
-
 def has(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which hashes have their bit set."""
-    at = bits(keys, 8 * len(filter_))
+    """Which hashes have their bit set: the place of a bit is the top bits of the hash."""
+    at = (keys >> np.uint64(64 - (8 * len(filter_)).bit_length() + 1)).astype(np.int64)
     return (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -146,7 +146,7 @@ def _cuts(data: np.ndarray, low: int, high: int) -> list[int]:
     while high - at[-1] > SLICE_BYTES:
         breaks, first = np.zeros(0, np.int64), at[-1] + SLICE_BYTES
         while not len(breaks) and first < high:
-            breaks = np.flatnonzero(_BREAK[data[first:first + SLICE_BYTES]])
+            breaks = np.flatnonzero(_BREAK[data[first:min(first + SLICE_BYTES, high)]])
             first += SLICE_BYTES
         at.append(int(first - SLICE_BYTES + breaks[0] + 1) if len(breaks) else high)
     return at if at[-1] == high else [*at, high]
@@ -177,15 +177,41 @@ def _passing(words: Words, n: int, lang: np.ndarray, passed: np.ndarray) -> np.n
     return found
 
 
-def _hashed(docs: DataFrame, lengths: tuple[int, ...], passed: Broadcast | None) -> DataFrame:
-    """(key, c): hashes of the phrases of these lengths, counted within a task as far as its buffer goes."""
+def parts_for(docs: DataFrame, part_mass: int = PART_MASS) -> int:
+    """A power of two of hash partitions, for about ``part_mass`` bytes of input each.
+
+    A byte of input makes about one phrase. Spark's estimate is taken where it has one, else the
+    bytes are counted. The number moves memory and time between partitions and never a result: a
+    summary's capacity comes from the mass that was counted.
+    """
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= _UNKNOWN:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(1 << 20, 1 << max(FEWEST_PARTS - 1, -(-size // part_mass) - 1).bit_length())
+
+
+def _packets(docs: DataFrame, lengths: tuple[int, ...], passed: Broadcast | None, parts: int) -> DataFrame:
+    """(part, mass, keys, counts): a task's phrases of these lengths, counted as far as its buffer goes.
+
+    A packet is a summary that has lost nothing: the sorted hashes of one partition as 64-bit
+    numbers, and their counts as 32-bit numbers.
+    """
+    shift = np.uint64(64 - parts.bit_length() + 1)
 
     def run(batches):
         held, size = [], 0
 
         def flush():
             keys, counts = counted(np.concatenate(held))
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "c": pa.array(counts.astype(np.int32))})
+            part = (keys >> shift).astype(np.int64)
+            new = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(new[1:], len(keys))
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            raw, narrow = keys.tobytes(), counts.astype(np.uint32).tobytes()
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array(part[new].astype(np.int32)), "mass": pa.array(sums[ends] - sums[new]),
+                "keys": pa.array([raw[8 * a:8 * b] for a, b in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                "counts": pa.array([narrow[4 * a:4 * b] for a, b in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
         for _, words, lang in _scan(batches):
             for n in lengths:
@@ -198,79 +224,77 @@ def _hashed(docs: DataFrame, lengths: tuple[int, ...], passed: Broadcast | None)
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "key long, c int")
+    return docs.mapInArrow(run, "part int, mass long, keys binary, counts binary")
 
 
-def survivors(hashed: DataFrame, threshold: int, part_mass: int = PART_MASS) -> DataFrame:
-    """(key) of every phrase that may reach the threshold; ``hashed`` (key, c) is a stored table.
+def survivors(packets: DataFrame, threshold: int, parts: int, filter_bits: int) -> Broadcast:
+    """The filter of all phrases that may reach the threshold, from the merged summaries of all partitions.
 
-    The number of hash partitions grows with the mass, so that a summary stays small.
+    ``packets`` is a stored table. A partition's capacity is above its mass by the threshold,
+    ``SLACK`` times, so that few survive that are not frequent. The filter has
+    ``filter_bits`` / 8 bytes, whatever the corpus; it is put together in the driver and broadcast.
     """
-    mass = hashed.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    parts = max(1, -(-mass // part_mass))
-    dealt = hashed.withColumn("part", F.pmod(F.shiftrightunsigned("key", 40), F.lit(parts)).cast("int"))
-    capacity = dealt.groupBy("part").agg((F.floor(F.sum("c") / threshold) + 1).cast("long").alias("capacity"))
+    parts_bits, all_bits = parts.bit_length() - 1, filter_bits.bit_length() - 1
+    if not 8 * parts <= filter_bits == 1 << all_bits:
+        raise ValueError("the filter needs a power of two of bits, 8 for each partition at least")
+    capacity = packets.groupBy(F.col("part").alias("own")).agg((F.floor(SLACK * F.sum("mass") / threshold) + 1).cast("long").alias("capacity"))
+    # One row for each partition on that side, and few packets on the other.
+    dealt = packets.join(capacity, F.col("part") == F.col("own")).drop("own", "mass")
+    tasks = min(parts, max(FEWEST_PARTS, int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("part").cast("long") * tasks / parts).cast("int")).sortWithinPartitions("part")
+
+    def stretch(part: int, summary: Summary) -> pa.RecordBatch:
+        bits = np.zeros(1 << (all_bits - parts_bits), np.uint8)
+        at = (summary.at_least(threshold) >> np.uint64(64 - all_bits)).astype(np.int64)
+        bits[at - (part << (all_bits - parts_bits))] = 1
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     def run(batches):
-        found: dict[int, Summary] = {}
-        held: list[tuple[np.ndarray, ...]] = []
+        now, summary, held, size = None, None, [], 0
 
         def merge():
-            part, key, c, capacity = (np.concatenate(x) for x in zip(*held, strict=True))
-            for p in np.unique(part).tolist():
-                own = part == p
-                summary = found.setdefault(p, Summary(int(capacity[own][0])))
-                summary.merge(key[own].view(np.uint64), c[own].astype(np.int64))
+            nonlocal held, size
+            if held:
+                summary.merge(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            held, size = [], 0
 
-        size = 0
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("part", "key", "c", "capacity")))
-            size += batch.num_rows
-            if size > BUFFER // 4:
-                merge()
-                held, size = [], 0
-        if held:
+            for part, capacity_, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "capacity", "keys", "counts")), strict=True):
+                if part != now:
+                    if summary is not None:
+                        merge()
+                        yield stretch(now, summary)
+                    now, summary = part, Summary(capacity_)
+                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
+                size += len(held[-1][0])
+                if size > max(summary.capacity, BUFFER // 16):
+                    merge()
+        if summary is not None:
             merge()
-        for summary in found.values():
-            yield pa.RecordBatch.from_pydict({"key": pa.array(summary.at_least(threshold).view(np.int64))})
-
-    # The capacities are one row for each partition, which is one for each ``part_mass``.
-    return dealt.repartition("part").join(capacity, "part").mapInArrow(run, "key long")
-
-
-def filter_of(keys: DataFrame, size: int = FILTER_BITS) -> Broadcast:
-    """A broadcast filter of ``size`` bits with the bit of every key set: size / 8 bytes, whatever the keys."""
-    placed = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("bit"))
-
-    def gather(table: pa.Table) -> pa.Table:
-        chunk, made = table.column("chunk")[0], np.zeros(_CHUNK_BITS, np.uint8)
-        made[table.column("bit").to_numpy() % _CHUNK_BITS] = 1
-        return pa.table({"chunk": pa.array([chunk.as_py()]), "raw": pa.array([np.packbits(made, bitorder="little").tobytes()], pa.binary())})
+            yield stretch(now, summary)
 
-    chunks = (placed.distinct().withColumn("chunk", F.shiftright("bit", _CHUNK_BITS.bit_length() - 1))
-              .groupBy("chunk").applyInArrow(gather, "chunk long, raw binary"))
-    whole = np.zeros(max(size, _CHUNK_BITS) // 8, np.uint8)
-    for row in chunks.toLocalIterator():
-        whole[row["chunk"] * _CHUNK_BITS // 8:][:_CHUNK_BITS // 8] = np.frombuffer(row["raw"], np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(whole.tobytes())
+    whole, width = np.zeros(filter_bits // 8, np.uint8), filter_bits // 8 // parts
+    for row in dealt.mapInArrow(run, "part int, bits binary").collect():
+        whole[row["part"] * width:(row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return packets.sparkSession.sparkContext.broadcast(whole.tobytes())
 
 
 def _exact(docs: DataFrame, short: Broadcast, long: Broadcast) -> DataFrame:
     """(lang, k, phrase, c): the phrases that passed, as texts; k = 0 has a language's number of words."""
 
-    def run(batches):
+    def counts(batches):
         for names, words, lang in _scan(batches):
             total = np.bincount(words.row, minlength=len(names))
-            yield pa.RecordBatch.from_pydict({"lang": names, "k": pa.array(np.zeros(len(total), np.int32)),
-                                              "phrase": pa.array([""] * len(total)), "c": pa.array(total.astype(np.int64))})
+            yield pa.table({"lang": names, "k": pa.array(np.zeros(len(total), np.int32)), "phrase": pa.array([""] * len(total), pa.string()),
+                            "c": pa.array(total.astype(np.int64))})
             for n in range(1, LONGEST + 1):
                 filter_ = np.frombuffer((short if n < 3 else long).value, np.uint8)
                 first = words.phrases(n) if n < 3 else _passing(words, n, lang, np.frombuffer(short.value, np.uint8))
                 keys = words.keys(first, n, lang)
                 passed = has(filter_, keys)
                 first, keys = first[passed], keys[passed]
-                # Equal hashes with another word hash at any place are told apart, so that no count mixes phrases.
-                order = np.lexsort((*(words.hashes[first + i] for i in range(n)), keys))
+                # Rows with equal hashes and another word hash at any place are told apart, so that no count mixes phrases.
+                order = np.argsort(keys, kind="stable")
                 first, keys = first[order], keys[order]
                 new = np.ones(len(first), bool)
                 new[1:] = keys[1:] != keys[:-1]
@@ -278,9 +302,27 @@ def _exact(docs: DataFrame, short: Broadcast, long: Broadcast) -> DataFrame:
                     h = words.hashes[first + i]
                     new[1:] |= h[1:] != h[:-1]
                 at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_pydict({
-                    "lang": names.take(pa.array(words.row[first[at]])), "k": pa.array(np.full(len(at), n, np.int32)),
-                    "phrase": words.texts(first[at], n), "c": pa.array(np.diff(np.append(at, len(first))).astype(np.int64))})
+                yield pa.table({"lang": names.take(pa.array(words.row[first[at]])), "k": pa.array(np.full(len(at), n, np.int32)),
+                                "phrase": words.texts(first[at], n), "c": pa.array(np.diff(np.append(at, len(first))).astype(np.int64))})
+
+    def run(batches):
+        held, rows = [], 0
+
+        def summed():
+            whole = pa.concat_tables(held).group_by(["lang", "k", "phrase"]).aggregate([("c", "sum")])
+            return whole.rename_columns({"c_sum": "c"}).select(["lang", "k", "phrase", "c"])
+
+        for table in counts(batches):
+            held.append(table)
+            rows += table.num_rows
+            if rows > HELD_ROWS:
+                held = [summed()]
+                rows = held[0].num_rows
+                if rows > HELD_ROWS // 2:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from summed().to_batches()
 
     return docs.mapInArrow(run, "lang string, k int, phrase string, c long")
 
@@ -291,8 +333,9 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD, filter_bits: int = FIL
     Rows of k = 0 have the number of all words of a language in ``f``, however small.
     """
     docs = _docs(docs)
-    short = filter_of(survivors(shared(_hashed(docs, (1, 2), None), "short"), threshold, part_mass), filter_bits)
-    long = filter_of(survivors(shared(_hashed(docs, (3, 4), short), "long"), threshold, part_mass), filter_bits)
+    parts = min(parts_for(docs, part_mass), filter_bits // 8)
+    short = survivors(shared(_packets(docs, (1, 2), None, parts), "short"), threshold, parts, filter_bits)
+    long = survivors(shared(_packets(docs, (3, 4), short, parts), "long"), threshold, parts, filter_bits)
     counts = _exact(docs, short, long).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
     return shared(counts.where((F.col("k") == 0) | (F.col("f") >= threshold)), "frequent")
 
