@@ -49,7 +49,10 @@ def search(queries: DataFrame, rows: DataFrame, k: int,
     rows of its part in a task of its own, where ``best(query ids, query vectors, row ids, row
     vectors)`` gives (query place, row place, score) of at most ``k`` rows a query; these are
     merged by score and then by the smaller id. A crowded part has more blocks, not larger tasks.
+    Rows equal in id and vector are one row with a count before they are dealt; each of them is a
+    candidate, and ``k`` of them are enough.
     """
+    rows = rows.groupBy("part", "vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
     rows = in_blocks(rows, F.col("part"), BLOCK_ROWS, "block")
     queries = in_blocks(queries, F.col("part"), BLOCK_QUERIES, "cell")
     row_blocks = rows.select("part", "block_count").distinct()
@@ -58,7 +61,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int,
     asked = (queries.join(F.broadcast(row_blocks), "part")
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block_count") - 1))).select("part", "cell", "block", "vec_id", "v"))
     offered = (rows.join(F.broadcast(query_blocks), "part")
-               .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cell_count") - 1))).select("part", "cell", "block", "vec_id", "v"))
+               .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cell_count") - 1))).select("part", "cell", "block", "vec_id", "v", "n"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -67,7 +70,10 @@ def search(queries: DataFrame, rows: DataFrame, k: int,
             ids, others = q, r
         else:
             ids, others, x = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy(), matrix(right.column("v"))
-            first = first_copies(others, x, k + 1)
+            times = right.column("n").to_numpy()
+            others, x = np.repeat(others, times), np.repeat(x, times, axis=0)
+            # A query's own id takes k of the places at most, so as many others are left.
+            first = first_copies(others, x, 2 * k)
             others, x = others[first], x[first]
             q, r, value = best(ids, matrix(left.column("v")), others, x)
         return pa.table({"query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(others[r], pa.int64()),

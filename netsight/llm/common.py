@@ -32,6 +32,16 @@ def shared(df: DataFrame, name: str) -> DataFrame:
     return written_once(df, f"llm-{name}")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    for i, name in enumerate(out := list(names)):
+        while out[i].lower() in taken:
+            out[i] += "_"
+        taken.add(out[i].lower())
+    return out
+
+
 def text_key(text: Column | str) -> Column:
     """128 bits that stand for a text, for grouping equal ones."""
     text = F.col(text) if isinstance(text, str) else text

@@ -169,10 +169,13 @@ def read_slots(spark: SparkSession, path: str, first: int, count: int, length: i
     per_shard = max(1, shard_bytes // stride)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = {int(f.getPath().getName()[5:10]): f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")}
     out = []
-    while count > 0 and first // per_shard in files:
-        at, file = first % per_shard, files[first // per_shard]
+    while count > 0:
+        # Spark pads the number to five digits, and writes larger ones whole.
+        named = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"part-{first // per_shard:05d}-*"))
+        if not len(named):
+            break
+        at, file = first % per_shard, named[0].getPath()
         size = min(count, system.getFileStatus(file).getLen() // stride - at, per_shard - at)
         if size <= 0:
             break

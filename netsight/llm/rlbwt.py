@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsight.llm.common import map_documents, mixed, shared, text_bytes
+from netsight.llm.common import free, map_documents, mixed, shared, text_bytes
 from netsight.llm.zones import corpus_zones, keyed, run_hashes, runs
 
 WINDOW = 200
@@ -300,16 +300,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` without the repeated bytes; characters stay whole, and texts that lose all go."""
+    """``docs`` without the repeated bytes; characters stay whole, and texts that lose all go.
+
+    Null and empty texts stay as they are, and so do all other columns, whatever their names.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
+    lows_, highs_ = free(docs, "lows", "highs")
     cut = (spans(docs, window, gram).where(F.size("lows") > 0)
            .select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), F.col("lows").alias("_lows"), F.col("highs").alias("_highs")))
-    rows = (docs.withColumn("_ka", F.xxhash64(text)).withColumn("_kb", F.xxhash64(F.lit(1), text, F.octet_length(text)))
-            .join(cut, ["_ka", "_kb"], "left").drop("_ka", "_kb"))
+    # The given row travels as one column, so that its names meet none of these.
+    rows = (docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text, F.octet_length(text)).alias("_b"))
+            .join(cut, (F.col("_a") == F.col("_ka")) & (F.col("_b") == F.col("_kb")), "left")
+            .select("_row.*", F.col("_lows").alias(lows_), F.col("_highs").alias(highs_)))
 
     def work(batch, data, offsets):
         raw, bounds, out, keep = data.tobytes(), offsets.tolist(), [], []
-        for a, b, lows, highs in zip(bounds, bounds[1:], batch.column("_lows").to_pylist(), batch.column("_highs").to_pylist(), strict=False):
+        for a, b, lows, highs in zip(bounds, bounds[1:], batch.column(lows_).to_pylist(), batch.column(highs_).to_pylist(), strict=False):
             if lows is None:
                 out.append(None)
                 keep.append(True)
@@ -322,7 +328,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             keep.append(left != "")
         return np.array(keep, bool), out
 
-    return map_documents(rows, work).drop("_lows", "_highs")
+    return map_documents(rows, work).drop(lows_, highs_)
 
 
 def _whole(raw: bytes, at: int, step: int) -> int:

@@ -347,7 +347,10 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with ``mark`` in place of every secret; secrets that overlap are one."""
+    """``docs`` with ``mark`` in place of every secret; secrets that overlap are one.
+
+    Null and empty texts stay as they are, every row stays, and so do all other columns.
+    """
     made = docs.sparkSession.sparkContext.broadcast(scanner(rules))
 
     def work(rows, data, offsets):

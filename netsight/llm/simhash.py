@@ -234,11 +234,13 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     chosen = shared(chosen.join(times, chosen["_doc_id"].eqNullSafe(times["doc_id"]) & (chosen["_ka"] == times["ka"])
                                 & (chosen["_kb"] == times["kb"])).select("_doc_id", "_ka", "_kb", "_times"), "chosen")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text, F.octet_length(text))})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_a") == F.col("_ka")) & (F.col("_b") == F.col("_kb"))
+    # The given row travels as one column, so that its names meet none of these.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_a"),
+                       F.xxhash64(F.lit(1), text, F.octet_length(text)).alias("_b"))
+    same = F.col("_id").eqNullSafe(F.col("_doc_id")) & (F.col("_a") == F.col("_ka")) & (F.col("_b") == F.col("_kb"))
     lone = rows.join(chosen.where("_times = 1"), same, "left_semi")
-    repeated = rows.join(chosen.where("_times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_a", "_b"])
-    return lone.union(repeated).select(docs.columns)
+    repeated = rows.join(chosen.where("_times > 1"), same, "left_semi").dropDuplicates(["_id", "_a", "_b"])
+    return lone.union(repeated).select("_row.*")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

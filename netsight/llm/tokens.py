@@ -4,7 +4,7 @@ A text is cut at white space into units whose ids do not depend on their surroun
 unit is hashed in one pass over the bytes and looked up in a table of units met before in this
 worker, so only new units meet the merge rules. The table is a cache: its size changes the time
 alone. What the cut does not cover (strings of special tokens, letters beyond Latin-1, spaces
-beyond ASCII) goes to the tokenizers library as it is.
+beyond ASCII, units with the byte that joins them) goes to the tokenizers library as it is.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ class Encoder:
         parts, counts = [self.ids[ranks[ranks != self.border]]], [np.diff(borders, prepend=-1) - 1]
         odd = np.flatnonzero(~plain)
         for i in odd:
-            ids = self.core.encode_ordinary(units[i]) if self.kind == "bytes" else self.library.encode(units[i], add_special_tokens=False).ids
+            ids = self.library.encode(units[i], add_special_tokens=False).ids
             parts.append(np.array(ids, np.uint16))
             counts.append(np.array([len(ids)]))
         return np.concatenate([np.flatnonzero(plain), odd]), np.concatenate(parts), np.concatenate(counts)

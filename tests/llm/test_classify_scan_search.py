@@ -140,6 +140,16 @@ def test_integer_top_scores_are_exact(spark, embeddings):
     assert by_query(cover_tree.top_scores(huge, 50, 5)) == {0: [(1, 2**63 - 1), (50, -2**63)], 50: [(0, -2**63), (1, -2**63)]}
 
 
+def test_repeated_rows_of_one_id_hide_no_other(spark):
+    k = 5
+    near = [1.0, 1.0]
+    rows = [(50, near)] * (k + 2) + [(99, near), (3, [0.5, 0.5]), (7, [0.2, 0.1]), (8, [0.4, 0.1])] + [(4, [0.9, 0.9])] * (k + 3)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [99] + [4] * (k - 1)
+    assert [j for j, _ in by_query(cover_tree.top_scores(frame, 50, k))[50]] == want
+    assert [j for j, _ in by_query(learned_parts.nearest(frame, 50, k))[50]] == want
+
+
 def test_nearest_rows_are_found_and_ranked(embeddings):
     want = expected(embeddings, 10, 5, True, lambda v: v)
     got = by_query(learned_parts.nearest(embeddings, 10, 5, parts=6, sample=500))
@@ -178,6 +188,18 @@ def test_every_pipeline_stage_takes_hard_and_empty_tables(spark, hard_docs, no_d
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_ka", "_kb", "_a", "_b", "_doc_id", "_times", "_lows", "_highs", "_row", "_id", "ka", "kb", "lows", "highs", "part"]
+    text = "a passage that is found twice, " * 12
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(15)) for i, t in enumerate([text + "one", text + "one", "x " + text, "short", None])],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all([r[n] for n in names] == list(range(15)) for r in rows), name
+
+
 def test_the_pipeline_keeps_clean_documents_and_packs_them(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
