@@ -2,6 +2,7 @@
 
 A field is quoted only when its first character is the quote; inside, a doubled
 quote is a quote, and line ends are data. Text after the closing quote is kept.
+What has no quote anywhere is plainly split, which gives the same and is much faster.
 """
 
 from pyspark.sql import Column
@@ -29,9 +30,15 @@ def _records(text: Column, delimiter: Column, group: int) -> Column:
     return let(found, lambda m: F.slice(m, F.lit(1), F.size(m) - 1))
 
 
+def _plain(text: Column) -> Column:
+    return ~text.contains('"')
+
+
 def csv_records(text: Column, delimiter: Column) -> Column:
     """Array of records as raw text without their line ends; a blank line is a record."""
-    return _records(text, delimiter, 1)
+    split = let(F.split(text, r"\r*\n|\r+"), lambda m: F.when(
+        F.element_at(m, -1) == "", F.slice(m, F.lit(1), F.size(m) - 1)).otherwise(m))
+    return F.when(_plain(text), split).otherwise(_records(text, delimiter, 1))
 
 
 def has_bare_return(text: Column, delimiter: Column) -> Column:
@@ -42,7 +49,8 @@ def has_bare_return(text: Column, delimiter: Column) -> Column:
 
 
 def first_field(record: Column, delimiter: Column) -> Column:
-    return F.call_function("regexp_extract", record, F.concat(F.lit("^"), _field(delimiter)), F.lit(0))
+    quoted = F.call_function("regexp_extract", record, F.concat(F.lit("^"), _field(delimiter)), F.lit(0))
+    return F.when(_plain(record), F.split_part(record, delimiter, F.lit(1))).otherwise(quoted)
 
 
 def _unquoted(field: Column) -> Column:
@@ -56,4 +64,6 @@ def csv_fields(record: Column, delimiter: Column) -> Column:
     """Fields of one record, unquoted."""
     pattern = F.concat(_delimiter(delimiter), F.lit("("), _field(delimiter), F.lit(")"))
     found = F.regexp_extract_all(F.concat(delimiter, record), pattern, F.lit(1))
-    return F.transform(found, _unquoted)
+    return (F.when(_plain(record) & (delimiter == ","), F.split(record, ","))
+            .when(_plain(record), F.split(record, _delimiter(delimiter)))
+            .otherwise(F.transform(found, _unquoted)))

@@ -133,9 +133,9 @@ def _v4_prefix_len(mask: Column) -> Column:
 
 
 def parse_network(value: Column) -> Column:
-    """Struct ``(ver, prefix_len, key)`` of a network text, NULL when unparsable.
+    """Struct ``(ver, prefix_len, key, bits)`` of a network text, NULL when unparsable.
 
-    Host bits are ignored; a missing mask means the full length.
+    ``bits`` are those of the address as it is written. Host bits are ignored; a missing mask means the full length.
     """
     one_mask = ~F.coalesce(value.rlike("/.*/"), F.lit(False))
     parts = F.struct(
@@ -150,6 +150,6 @@ def parse_network(value: Column) -> Column:
         return let(length.cast("int"), lambda bits_kept: F.when(bits_kept.isNotNull(), F.struct(
             F.when(n.isNotNull(), 4).otherwise(6).alias("ver"),
             bits_kept.alias("prefix_len"),
-            network_key(p["bits"], bits_kept).alias("key"))))
+            network_key(p["bits"], bits_kept).alias("key"), p["bits"].alias("bits"))))
 
     return F.when(one_mask, let(parts, with_length))

@@ -3,7 +3,9 @@
 Every parser takes ``payloads(feed_id, payload_id, payload)``, plus the feed's
 ``parser_config`` where it needs it, and returns one row per indicator:
 ``feed_id, payload_id, pos, type, value, description, tags, severity, reference,
-first_seen, last_seen``; ``(payload_id, pos)`` keeps the order of the text.
+first_seen, last_seen``; ``(payload_id, pos)`` keeps the order of the text. Parsers that
+can fail work in outcome rows: indicators, and for a payload that cannot be read one row
+with its ``error``, so that one pass over the payloads gives both.
 A payload is split inside its own row; everything after the split is row-parallel
 and needs no shuffle. A payload above the size cap fails its feed's pull, with
 an error text; it is never cut or dropped in silence.
@@ -24,15 +26,21 @@ from netsight.schemas import STIX_OBJECT
 
 INDICATOR_COLUMNS = ["feed_id", "payload_id", "pos", "type", "value", "description", "tags",
                      "severity", "reference", "first_seen", "last_seen"]
+OUTCOME_COLUMNS = [*INDICATOR_COLUMNS, "error"]
 
 
-def _indicator_rows(df: DataFrame, **columns: Column) -> DataFrame:
+def _outcome_rows(df: DataFrame, **columns: Column) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     given = {"description": none("string"), "tags": none("array<string>"), "severity": none("string"),
              "reference": none("string"), "first_seen": none("timestamp"),
-             "last_seen": none("timestamp"), **columns}
+             "last_seen": none("timestamp"), "error": none("string"), **columns}
     return df.select("feed_id", "payload_id", "pos", *[c.alias(n) for n, c in given.items()]) \
-        .select(*INDICATOR_COLUMNS)
+        .select(*OUTCOME_COLUMNS)
+
+
+def indicators_of(outcomes: DataFrame) -> DataFrame:
+    """The indicator rows among outcome rows."""
+    return outcomes.filter("error IS NULL").select(*INDICATOR_COLUMNS)
 
 
 def too_large(payload_id: Column, cap: int) -> Column:
@@ -57,7 +65,7 @@ def parse_plain(payloads: DataFrame) -> DataFrame:
     token = strip(F.split_part("line", F.lit(";"), F.lit(1)))
     first = lines.withColumn("first", F.regexp_extract(token, rf"(?U)^{NON_WS}+", 0))
     typed = computed_once(first, "type", infer_ioc_type(F.col("first"))).filter("type IS NOT NULL")
-    return _indicator_rows(typed, type=F.col("type"), value=clean_value(F.col("first")))
+    return indicators_of(_outcome_rows(typed, type=F.col("type"), value=clean_value(F.col("first"))))
 
 
 def _csv_split(payloads: DataFrame) -> DataFrame:
@@ -72,9 +80,10 @@ def _csv_split(payloads: DataFrame) -> DataFrame:
 
 
 def csv_rows(payloads: DataFrame) -> DataFrame:
-    """Data records as ``(feed_id, payload_id, pos, cols, cfg)``: comments, then the header, dropped.
+    """Data records as ``(feed_id, payload_id, pos, cols, cfg, error)``: comments, then the header, dropped.
 
-    A blank line is a record until after the header is gone. A refused payload gives none.
+    A blank line is a record until after the header is gone. A refused payload gives one row with
+    its error and no columns.
     """
     cfg, delimiter = F.col("cfg"), F.col("_d")
     comment = lambda r: F.regexp_extract(first_field(r, delimiter), r'(?U)^"?[\s\x1c-\x1f]*[#;]', 0) != ""
@@ -84,23 +93,28 @@ def csv_rows(payloads: DataFrame) -> DataFrame:
         return let(F.filter(records, lambda r: ~comment(r)), lambda kept: F.slice(
             kept, skip + 1, F.greatest(F.size(kept) - skip, F.lit(0))))
 
-    records = _csv_split(payloads).filter("error IS NULL").select(
-        "feed_id", "payload_id", "cfg", "_d",
-        F.posexplode(data(F.col("records"))).alias("pos", "record"))
-    return computed_once(records.filter(strip(F.col("record")) != ""), "cols",
+    refused = F.col("error").isNotNull()
+    records = _csv_split(payloads).select(
+        "feed_id", "payload_id", "cfg", "_d", "error",
+        F.posexplode(F.when(refused, F.array(F.lit(None).cast("string"))).otherwise(data(F.col("records")))).alias("pos", "record"))
+    return computed_once(records.filter(refused | (strip(F.col("record")) != "")), "cols",
                          csv_fields(F.col("record"), F.col("_d"))).drop("_d", "record")
 
 
-def parse_csv(payloads: DataFrame) -> DataFrame:
+def csv_outcomes(payloads: DataFrame) -> DataFrame:
     """Delimited rows by the 1-based columns of ``parser_config``; untyped values drop out."""
     pick = lambda index: pick_column(F.col("cols"), index)
-    cfg = F.col("cfg")
+    cfg, refused = F.col("cfg"), F.col("error").isNotNull()
     rows = computed_once(csv_rows(payloads), "raw", pick(F.coalesce(cfg["value_column"], F.lit(1))))
-    typed = computed_once(rows.filter("raw IS NOT NULL"), "type", infer_ioc_type(F.col("raw")))
-    return _indicator_rows(
-        typed.filter("type IS NOT NULL"), type=F.col("type"), value=clean_value(F.col("raw")),
+    typed = computed_once(rows.filter(refused | F.col("raw").isNotNull()), "type", infer_ioc_type(F.col("raw")))
+    return _outcome_rows(
+        typed.filter(refused | F.col("type").isNotNull()), type=F.col("type"), value=clean_value(F.col("raw")),
         description=pick(cfg["description_column"]), tags=split_tags(pick(cfg["tags_column"])),
-        reference=pick(cfg["reference_column"]))
+        reference=pick(cfg["reference_column"]), error=F.col("error"))
+
+
+def parse_csv(payloads: DataFrame) -> DataFrame:
+    return indicators_of(csv_outcomes(payloads))
 
 
 def csv_errors(payloads: DataFrame) -> DataFrame:
@@ -119,8 +133,15 @@ def stix_objects(payloads: DataFrame) -> DataFrame:
         return F.when((F.size(given) == 0) & (b["type"] == "indicator"), F.array(text)).otherwise(given)
 
     objects = F.when(text.startswith("["), listed).when(text.startswith("{"), let(bundle, of_object))
-    return (payloads.select("feed_id", "payload_id", F.posexplode(objects).alias("pos", "object"))
-            .filter(F.ltrim("object").startswith("{")))
+    return _objects(payloads, objects)
+
+
+def _objects(payloads: DataFrame, objects: Column) -> DataFrame:
+    """(feed_id, payload_id, pos, object, error): JSON objects of payloads; one row with an error if there is no JSON."""
+    bad = F.when(F.col("payload").isNotNull() & F.try_parse_json("payload").isNull(), "invalid JSON")
+    listed = computed_once(payloads, "_error", bad).select("feed_id", "payload_id", F.col("_error").alias("error"), F.posexplode(
+        F.when(F.col("_error").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(objects)).alias("pos", "object"))
+    return listed.filter(F.col("error").isNotNull() | F.ltrim("object").startswith("{"))
 
 
 def stix_errors(payloads: DataFrame) -> DataFrame:
@@ -129,8 +150,8 @@ def stix_errors(payloads: DataFrame) -> DataFrame:
         "feed_id", "payload_id", F.lit("invalid JSON").alias("error"))
 
 
-def parse_stix_objects(objects: DataFrame, severity_property: str = "x_severity") -> DataFrame:
-    """Indicator and observable objects to indicator rows; other types are ignored.
+def stix_outcomes(objects: DataFrame, severity_property: str = "x_severity") -> DataFrame:
+    """Indicator and observable objects to outcome rows; other types are ignored.
 
     An indicator gives its first (kind, value); the values of the others become
     tags after the labels. Severity is the custom property, else the confidence.
@@ -146,8 +167,9 @@ def parse_stix_objects(objects: DataFrame, severity_property: str = "x_severity"
     no_tags = F.array().cast("array<string>")
     is_indicator = o["type"] == "indicator"
     labels = F.concat(F.coalesce(o["labels"], no_tags), F.coalesce(others, no_tags))
-    rows = _indicator_rows(
-        parsed.filter(is_indicator | F.col("kind").isNotNull()),
+    refused = F.col("error").isNotNull()
+    rows = _outcome_rows(
+        parsed.filter(refused | is_indicator | F.col("kind").isNotNull()),
         type=F.coalesce(ioc_type_of_kind(first["kind"]), F.col("kind")),
         value=nullif_empty(F.when(is_indicator, first["value"]).otherwise(o["value"])),
         description=F.when(is_indicator, o["description"]).otherwise(
@@ -155,12 +177,12 @@ def parse_stix_objects(objects: DataFrame, severity_property: str = "x_severity"
         tags=F.when(F.size(labels) > 0, labels),
         severity=F.when(is_indicator, F.coalesce(truthy(custom), o["confidence"])),
         reference=first_reference_url(o["external_references"]),
-        first_seen=o["created"].try_cast("timestamp"), last_seen=o["modified"].try_cast("timestamp"))
-    return rows.filter("value IS NOT NULL")
+        first_seen=o["created"].try_cast("timestamp"), last_seen=o["modified"].try_cast("timestamp"), error=F.col("error"))
+    return rows.filter(F.col("error").isNotNull() | F.col("value").isNotNull())
 
 
 def parse_stix(payloads: DataFrame, severity_property: str = "x_severity") -> DataFrame:
-    return parse_stix_objects(stix_objects(payloads), severity_property)
+    return indicators_of(stix_outcomes(stix_objects(payloads), severity_property))
 
 
 def chosen_collections(payloads: DataFrame) -> DataFrame:
@@ -192,14 +214,12 @@ def chosen_envelopes(payloads: DataFrame) -> DataFrame:
 
 def taxii_objects(payloads: DataFrame) -> DataFrame:
     """Objects of the envelopes of each feed's chosen collection; lists and scalars hold none."""
-    envelopes = chosen_envelopes(payloads).filter(strip(F.col("payload")).startswith("{"))
-    objects = F.from_json("payload", "objects array<string>")["objects"]
-    return (envelopes.select("feed_id", "payload_id", F.posexplode(objects).alias("pos", "object"))
-            .filter(F.ltrim("object").startswith("{")))
+    objects = F.when(strip(F.col("payload")).startswith("{"), F.from_json("payload", "objects array<string>")["objects"])
+    return _objects(chosen_envelopes(payloads), objects)
 
 
 def parse_taxii(payloads: DataFrame, severity_property: str = "x_severity") -> DataFrame:
-    return parse_stix_objects(taxii_objects(payloads), severity_property)
+    return indicators_of(stix_outcomes(taxii_objects(payloads), severity_property))
 
 
 def with_feed(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -209,28 +229,32 @@ def with_feed(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
     return payloads.join(wanted, "feed_id")
 
 
-def parse_all(payloads: DataFrame, severity_property: str = "x_severity") -> DataFrame:
-    """Indicator rows of all feed types; ``payloads`` comes from :func:`with_feed`.
+def outcomes(payloads: DataFrame, severity_property: str = "x_severity") -> DataFrame:
+    """Outcome rows of all feed types in one pass; ``payloads`` comes from :func:`with_feed`.
 
-    A payload that cannot be read gives no rows; :func:`pull_errors` tells why.
+    A payload that cannot be read, or was not admitted, gives one row with its error; so does a
+    TAXII feed without the collection it is to read.
     """
     of = lambda kind: payloads.filter(F.col("feed_type") == kind)
-    return (parse_plain(of("plain")).unionByName(parse_csv(of("csv")))
-            .unionByName(parse_stix(of("stix"), severity_property))
-            .unionByName(parse_taxii(of("taxii"), severity_property)))
+    plain = parse_plain(of("plain")).withColumn("error", F.lit(None).cast("string"))
+    rows = (plain.unionByName(csv_outcomes(of("csv")))
+            .unionByName(stix_outcomes(stix_objects(of("stix")), severity_property))
+            .unionByName(stix_outcomes(taxii_objects(of("taxii")), severity_property)))
+    failed = chosen_collections(of("taxii")).select("feed_id", F.lit(None).cast("bigint").alias("payload_id"), "error")
+    if "error" in payloads.columns:
+        refused = of("taxii").transform(chosen_envelopes).unionByName(payloads.filter("feed_type <> 'taxii'"))
+        failed = failed.unionByName(refused.select("feed_id", "payload_id", "error"))
+    return rows.unionByName(failed.filter("error IS NOT NULL"), allowMissingColumns=True)
+
+
+def parse_all(payloads: DataFrame, severity_property: str = "x_severity") -> DataFrame:
+    """Indicator rows of all feed types; a payload that cannot be read gives none."""
+    return indicators_of(outcomes(payloads, severity_property))
 
 
 def pull_errors(payloads: DataFrame) -> DataFrame:
     """``(feed_id, payload_id, error)`` of payloads that cannot be read, or were not admitted."""
-    of = lambda kind: payloads.filter(F.col("feed_type") == kind)
-    refused = payloads.limit(0) if "error" not in payloads.columns else (
-        of("taxii").transform(chosen_envelopes).unionByName(payloads.filter("feed_type <> 'taxii'")))
-    refused = refused.select("feed_id", "payload_id", F.col("error") if "error" in payloads.columns else F.lit("").alias("error"))
-    missing = chosen_collections(of("taxii")).filter("error IS NOT NULL").select(
-        "feed_id", F.lit(None).cast("bigint").alias("payload_id"), "error")
-    return (csv_errors(of("csv")).unionByName(stix_errors(of("stix")))
-            .unionByName(stix_errors(chosen_envelopes(of("taxii")))).unionByName(missing)
-            .unionByName(refused.filter("error IS NOT NULL")))
+    return outcomes(payloads).filter("error IS NOT NULL").select("feed_id", "payload_id", "error")
 
 
 def of_good_pulls(rows: DataFrame, results: DataFrame) -> DataFrame:
@@ -241,23 +265,17 @@ def of_good_pulls(rows: DataFrame, results: DataFrame) -> DataFrame:
     return rows.join(results.filter("error IS NOT NULL").select("feed_id"), "feed_id", "left_anti")
 
 
-def sweep_results(payloads: DataFrame, feeds: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def sweep_results(payloads: DataFrame, feeds: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """One row per swept feed: ``n`` indicators written, or the ``error`` that stopped it.
 
-    ``rows`` are the payloads' indicators, where they have been parsed before.
-
-    ``n`` counts rows as they come, before duplicates merge. One aggregate over
-    the payloads, their errors and their indicators.
+    ``made`` are the payloads' outcome rows, where they are stored. ``n`` counts rows as they
+    come, before duplicates merge. One aggregate over the payloads' feeds and their outcomes.
     """
     with_type = with_feed(payloads, feeds)
-    none = lambda kind: F.lit(None).cast(kind)
-    parts = (
-        with_type.select("feed_id", "pulled_at", none("string").alias("error"), F.lit(0).alias("n"))
-        .unionByName(pull_errors(with_type).select(
-            "feed_id", none("timestamp").alias("pulled_at"), "error", F.lit(0).alias("n")))
-        .unionByName((parse_all(with_type) if rows is None else rows).select(
-            "feed_id", none("timestamp").alias("pulled_at"), none("string").alias("error"), F.lit(1).alias("n"))))
-    results = parts.groupBy("feed_id").agg(
+    swept = with_type.select("feed_id", "pulled_at", F.lit(None).cast("string").alias("error"), F.lit(0).alias("n"))
+    rows = (outcomes(with_type) if made is None else made).select(
+        "feed_id", F.lit(None).cast("timestamp").alias("pulled_at"), "error", F.when(F.col("error").isNull(), 1).otherwise(0).alias("n"))
+    results = swept.unionByName(rows).groupBy("feed_id").agg(
         F.max("pulled_at").alias("pulled_at"), F.min("error").alias("error"), F.sum("n").alias("n"))
     names = feeds.select(F.col("id").alias("feed_id"), F.col("name").alias("feed_name"))
     return results.join(names, "feed_id").select(

@@ -1,45 +1,92 @@
-"""Dense increasing ids without a single-task sort."""
+"""Dense increasing ids without a single-task sort, in one write of the data."""
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from netsight.session import work_path, written_once
+from netsight.session import written_once
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+SAMPLES = 60
+PART_ROWS = 20_000
+
+
+def _comparable(df: DataFrame, order: list[str]) -> Column:
+    """The order columns as one struct of numbers and texts; nulls come first, here and in Python."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.struct(*[(F.unix_micros(c) if isinstance(kinds[c], T.TimestampType) else F.col(c)).alias(c) for c in order])
 
 
-def in_order(df: DataFrame, order: list[str]) -> DataFrame:
-    """Range-partition and sort; ``order`` should be unique so that no hot value fills one partition.
+@dataclass(frozen=True)
+class Deal:
+    """Ranges of the ``order`` columns that rows are dealt to; the same rows always go to the same range.
 
-    Spark samples the input for the ranges, so put this before costly steps.
+    ``order`` should be unique, so that no hot value fills one range.
     """
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
+    order: tuple[str, ...]
+    bounds: list[tuple]
+
+    @staticmethod
+    def of(df: DataFrame, order: list[str]) -> "Deal":
+        """Ranges of about equal size, from a sample of some tens of keys for each.
+
+        ``df`` is read twice, the order columns only, and must give the same rows each time.
+        """
+        rows = df.count()
+        parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows // PART_ROWS)
+        if parts == 1:
+            return Deal(tuple(order), [])
+        keys = df.select(_comparable(df, order).alias("k")).sample(fraction=min(1.0, SAMPLES * parts / rows), seed=7).collect()
+        keys = sorted((tuple(r["k"]) for r in keys), key=lambda k: [(v is not None, v) for v in k])
+        return Deal(tuple(order), [keys[len(keys) * i // parts] for i in range(1, parts)] if len(keys) >= parts else [])
+
+    def part_of(self, df: DataFrame) -> Column:
+        """The range of a row, by binary search over the bounds."""
+        if not self.bounds:
+            return F.lit(0)
+        kind = df.select(_comparable(df, list(self.order)).alias("k")).schema["k"].dataType
+        bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind.fields, strict=True)]) for b in self.bounds])
+        key, n = _comparable(df, list(self.order)), len(self.bounds)
+        steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+        # the place grows by a step while the bound there is not above the key
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= n) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at))
 
-def number_rows(df: DataFrame, start: int = 0, name: str = "id") -> DataFrame:
-    """Add ``name`` = ``start`` + 1, 2, 3, … in partition and row order.
+    def ordered(self, df: DataFrame) -> DataFrame:
+        return df.repartitionById(len(self.bounds) + 1, self.part_of(df)).sortWithinPartitions(*self.order)
 
-    The rows are written once to the shared folder together with (partition,
-    row), so that a lost executor cannot change the numbering between the two
-    passes. The second pass adds up the partition sizes: one row per partition
-    is what bounds the window and the broadcast.
+    def counts(self, df: DataFrame) -> list[int]:
+        """Rows of every range, by partial sums: no row is moved."""
+        found = {r["p"]: r["n"] for r in df.groupBy(self.part_of(df).alias("p")).agg(F.count("*").alias("n")).collect()}
+        return [found.get(i, 0) for i in range(len(self.bounds) + 1)]
+
+
+def with_ids(ordered: DataFrame, counts: list[int], start: int = 0, name: str = "id") -> DataFrame:
+    """Add ``name`` = ``start`` + 1, 2, 3, … to rows that lie in their ranges; ``counts`` says how many each has.
+
+    A task numbers its rows as it writes them, so a lost one is repeated with the same numbers.
     """
-    spark = df.sparkSession
-    path = work_path(spark, "ids")
-    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    staged = spark.read.parquet(path).withColumn("_part", F.shiftright("_row", _ROW_BITS))
-    sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    row = F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1)
-    return (staged.join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_offset") + row + F.lit(start + 1))
-            .drop("_row", "_part", "_offset"))
+    offsets = list(enumerate(accumulate(counts[:-1], initial=start + 1)))
+    spark = ordered.sparkSession
+    row = F.monotonically_increasing_id()
+    numbered = ordered.withColumn("_row", row).withColumn("_part", F.shiftright("_row", _ROW_BITS))
+    return (numbered.join(F.broadcast(spark.createDataFrame(offsets, "_part bigint, _offset bigint")), "_part")
+            .withColumn(name, F.col("_offset") + F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_row", "_part", "_offset"))
+
+
+def number_stored(stored: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
+    """``stored`` in order and numbered. It must be a table: its key columns are read ahead of its rows."""
+    deal = Deal.of(stored, order)
+    return with_ids(deal.ordered(stored), deal.counts(stored), start, name)
 
 
 def assign_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
     """Number rows in the order of the ``order`` columns; ``df`` is evaluated once."""
-    return number_rows(in_order(written_once(df, "unordered"), order), start, name)
+    return number_stored(written_once(df, "unordered"), order, start, name)
 
 
 def max_id(df: DataFrame, column: str = "id") -> DataFrame:

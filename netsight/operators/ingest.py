@@ -1,5 +1,7 @@
 """Syslog lines to events: one narrow pass, no shuffle, no Python worker."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,17 +90,18 @@ def rejected(parsed: DataFrame) -> DataFrame:
         "line_id", "line", F.col("reject_reason").alias("reason"))
 
 
-def ingest_counters(parsed: DataFrame, detections: DataFrame) -> DataFrame:
+def ingest_counters(parsed: DataFrame, stored: DataFrame, detections: DataFrame) -> DataFrame:
     """received / parsed / stored / detections / errors as ``(counter, n)`` rows.
 
-    ``detections`` counts rows really inserted. One aggregate per table.
+    ``stored`` and ``detections`` are the rows that really got into their tables; what was parsed
+    and is not there counts as an error. One aggregate per table.
     """
     ok = F.col("reject_reason").isNull()
-    lines = parsed.agg(
-        F.count(F.lit(1)).alias("received"), F.count_if(ok).alias("parsed"),
-        F.count_if(ok).alias("stored"), F.count_if(F.col("reject_reason") == "error").alias("errors"))
-    hits = detections.agg(F.count(F.lit(1)).alias("detections"))
-    as_rows = lambda df, names: df.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("counter"), F.col(n).alias("n")) for n in names]))).select("col.*")
-    return as_rows(lines, ["received", "parsed", "stored", "errors"]).unionByName(
-        as_rows(hits, ["detections"]))
+    n = F.count(F.lit(1))
+    lines = parsed.agg(n.alias("received"), F.count_if(ok).alias("parsed"),
+                       (F.count_if(F.col("reject_reason") == "error") + F.count_if(ok)).alias("errors"))
+    kept = stored.agg(n.alias("stored"), (-n).alias("errors"))
+    hits = detections.agg(n.alias("detections"))
+    rows = [df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in df.columns]))).select("col.*")
+            for df in (lines, kept, hits)]
+    return reduce(DataFrame.unionByName, rows).groupBy("counter").agg(F.sum("n").alias("n"))

@@ -177,7 +177,8 @@ def parse_events(spark, sf):
 
 @query
 def ingest_counters(spark, sf):
-    return ingest.ingest_counters(ingest.parse_lines(_lines(spark, sf)), stored(spark, sf).detections)
+    t = stored(spark, sf)
+    return ingest.ingest_counters(ingest.parse_lines(_lines(spark, sf)), t.events, t.detections)
 
 
 # -- matching --------------------------------------------------------------------
@@ -224,21 +225,21 @@ def url_hostname_pages(spark, sf):
 @query
 def detections_all(spark, sf):
     t = stored(spark, sf)
-    return match.match_events(t.events, t.snapshot, F.col("received_at"))
+    return match.match_events(t.events, t.snapshot, F.col("received_at")).drop("event_date")
 
 
 @query
 def detections_all_by_value(spark, sf):
     """The same rows through the join on distinct values."""
     t = stored(spark, sf)
-    return match.match_events(t.events, t.snapshot, F.col("received_at"), one_pass=False)
+    return match.match_events(t.events, t.snapshot, F.col("received_at"), one_pass=False).drop("event_date")
 
 
 @query
 def detections_all_one_pass(spark, sf):
     """The same rows without a distinct step."""
     t = stored(spark, sf)
-    return match.match_events(t.events, t.snapshot, F.col("received_at"), one_pass=True)
+    return match.match_events(t.events, t.snapshot, F.col("received_at"), one_pass=True).drop("event_date")
 
 
 @query
@@ -267,6 +268,17 @@ def retro_scan_full(spark, sf):
 
 # -- feeds -------------------------------------------------------------------------
 
+@query
+def retro_scan_delta(spark, sf):
+    """A version that adds names and URLs: what the added keys find among the stored values."""
+    t = stored(spark, sf)
+    before = match.prepare_snapshot(match.only_type(t.indicators, "ip", "cidr"))
+    added = match.added_keys(t.snapshot, before)
+    values = match.stored_values(t.events).filter(F.col("ts") >= now() - F.make_dt_interval(hours=F.lit(RETRO_HOURS)))
+    stored_hits = match.match_events(t.events, before, F.col("received_at"))
+    return match.retro_scan_added(values, added, stored_hits, now()).select("event_id", "ioc_id", "feed_name", "match_type", "matched_value")
+
+
 @query
 def infer_ioc_types(spark, sf):
     return stored(spark, sf).iocs.select(
@@ -429,32 +441,32 @@ def stats(spark, sf):
 @query
 def events_browse(spark, sf):
     t = stored(spark, sf)
-    return views.browse_events(t.events, t.detections, limit=100, offset=20)
+    return views.browse_events(t.event_log, t.detection_log, limit=100, offset=20)
 
 
 @query
 def events_flows(spark, sf):
     t = stored(spark, sf)
-    return views.browse_events(t.events, t.detections, flows_only=True, limit=500)
+    return views.browse_events(t.event_log, t.detection_log, flows_only=True, limit=500)
 
 
 @query
 def events_search(spark, sf):
     t = stored(spark, sf)
-    return views.browse_events(t.events, t.detections, q="10.0.0.1_/32", limit=500)
+    return views.browse_events(t.event_log, t.detection_log, q="10.0.0.1_/32", limit=500, terms=t.event_terms)
 
 
 @query
 def events_since_ts(spark, sf):
     t = stored(spark, sf)
     since = F.lit("2024-01-30 00:00:00").cast("timestamp")
-    return views.browse_events(t.events, t.detections, since=since, limit=500)
+    return views.browse_events(t.event_log, t.detection_log, since=since, limit=500)
 
 
 @query
 def event_detail(spark, sf):
     t = stored(spark, sf)
-    detail = views.event_detail(t.events, t.detections, 25)
+    detail = views.event_detail(t.event_log, t.detection_log, 25)
     texts = F.transform("detections", lambda d: F.concat_ws(":", d["id"], d["ioc_id"], d["match_type"], d["matched_value"]))
     return detail.withColumn("detections", texts)
 
@@ -462,26 +474,26 @@ def event_detail(spark, sf):
 @query
 def detections_browse(spark, sf):
     t = stored(spark, sf)
-    return views.browse_detections(t.detections, t.events, t.iocs, limit=200, offset=10)
+    return views.browse_detections(t.detection_log, t.event_log, t.iocs, limit=200, offset=10)
 
 
 @query
 def detections_by_feed(spark, sf):
     t = stored(spark, sf)
-    return views.browse_detections(t.detections, t.events, t.iocs, feed_id=2, limit=500)
+    return views.browse_detections(t.detection_log, t.event_log, t.iocs, feed_id=2, limit=500)
 
 
 @query
 def detections_search(spark, sf):
     t = stored(spark, sf)
-    return views.browse_detections(t.detections, t.events, t.iocs, q="ALPHA.example",
+    return views.browse_detections(t.detection_log, t.event_log, t.iocs, q="ALPHA.example",
                                    since=F.lit("2024-01-05 00:00:00").cast("timestamp"), limit=500)
 
 
 @query
 def detection_detail(spark, sf):
     t = stored(spark, sf)
-    return views.detection_detail(t.detections, t.events, t.iocs, 42)
+    return views.detection_detail(t.detection_log, t.event_log, t.iocs, 42)
 
 
 @query
@@ -550,13 +562,13 @@ def bucket_totals_daily(spark, sf):
 @query
 def events_since_id(spark, sf):
     t = stored(spark, sf)
-    return views.events_since(t.events, t.detections, 300)
+    return views.events_since(t.event_log, t.detection_log, 300)
 
 
 @query
 def detections_since_id(spark, sf):
     t = stored(spark, sf)
-    return views.detections_since(t.detections, t.events, 150)
+    return views.detections_since(t.detection_log, t.event_log, 150)
 
 
 @query
@@ -573,7 +585,7 @@ def event_labels(spark, sf):
 @query
 def live_snapshot(spark, sf):
     t = stored(spark, sf)
-    return views.live_snapshot(t.events, t.detections, now())
+    return views.live_snapshot(t.event_log, t.detection_log, now())
 
 
 @query
@@ -611,17 +623,28 @@ def stream_detections(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@query
+def stream_live_updates(spark, sf):
+    """What the batches told their viewers: events, detections, and the totals after the last one."""
+    store = _ingested(spark, sf)
+    told = store.table("live").all()
+    told = told.filter((F.col("kind") != "buckets") | (F.col("number") == store.before()["number"]))
+    field = lambda name: F.get_json_object("json", f"$.{name}").alias(name)
+    names = ["raw", "ts", "src_ip", "dst_ip", "hostname", "action", "bucket", "created_at", "match_type", "matched_value", "feed_name", "event_action"]
+    return told.select("kind", *[field(n) for n in names], *[field(n).cast("bigint") for n in ("det_count", "n")])
+
+
 @query
 def stream_daily_buckets(spark, sf):
     lines = jobs.landed_line_stream(spark, _landed(spark, sf), maxFilesPerTrigger="2")
-    out = work_path(spark, "updates")
-    jobs.run_available(jobs.updates_to(jobs.daily_buckets(lines), out, work_path(spark, "checkpoint")))
-    return jobs.latest_updates(spark, out, "day", "bucket")
+    counts = jobs.RunningCounts(spark, work_path(spark, "counts"), "day date, bucket string")
+    jobs.run_available(counts.keep(lines, jobs.day_bucket_rows, work_path(spark, "checkpoint")))
+    return counts.now()
 
 
 @query
 def stream_arrival_rate(spark, sf):
     lines = jobs.landed_line_stream(spark, _landed(spark, sf), maxFilesPerTrigger="2")
-    out = work_path(spark, "updates")
-    jobs.run_available(jobs.updates_to(jobs.arrival_rate(lines), out, work_path(spark, "checkpoint")))
-    return jobs.latest_updates(spark, out, "window_end")
+    counts = jobs.RunningCounts(spark, work_path(spark, "counts"), "window_end timestamp")
+    jobs.run_available(counts.keep(lines, jobs.arrival_window_rows, work_path(spark, "checkpoint")))
+    return counts.now()

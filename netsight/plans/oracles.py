@@ -234,6 +234,11 @@ _FEED_LOG = f"""
 _DELETED = "SELECT 3 * n_nationkey + 1 AS id FROM nation"
 
 
+def iso(c: str) -> str:
+    """A time as JSON rows write it: a fraction only where there is one."""
+    return (f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({c}) % 1000000 <> 0 THEN strftime({c}, '.%f') ELSE '' END || '+00:00'")
+
+
 def all_oracles() -> dict[str, str]:
     ok = lambda columns, where="TRUE": _with("ok", f"SELECT {columns} FROM ok WHERE {where}")
     port = "CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port"
@@ -291,6 +296,8 @@ def all_oracles() -> dict[str, str]:
             SELECT id FROM ev WHERE ts >= {NOW} - INTERVAL 240 HOUR AND id > 0)"""),
         "retro_watermark": _with("ev", f"SELECT greatest(0, max(id)) AS watermark FROM ev WHERE ts >= {NOW} - INTERVAL 24 HOUR"),
         "retro_scan_full": _with("hits", f"SELECT {hit} FROM hits WHERE match_type = 'host'"),
+        "retro_scan_delta": _with("hits", f"""SELECT {hit} FROM hits WHERE type IN ('domain', 'url') AND event_id IN (
+            SELECT id FROM ev WHERE ts >= {NOW} - INTERVAL 240 HOUR)"""),
         "infer_ioc_types": _with("ti", "SELECT id, CASE WHEN value = '100.64.0.0/99' THEN NULL ELSE type END AS type FROM ti"),
         "feed_plain": _PLAIN,
         "feed_csv": _CSV,
@@ -426,16 +433,30 @@ def all_oracles() -> dict[str, str]:
                    ELSE CAST(CAST(floor({age} / 86400) AS BIGINT) AS VARCHAR) || 'd ago' END AS age,
               CASE WHEN {source} IS NOT NULL THEN {source} || coalesce('→' || dst_ip, '') ELSE left(msg, 34) END AS label, bucket
             FROM ev"""),
-        "live_snapshot": _with("td bc", """SELECT 'event' AS kind, id, bucket AS text, CAST(NULL AS BIGINT) AS n FROM ev
-              WHERE id > (SELECT max(id) FROM ev) - 10
-            UNION ALL SELECT 'detection', id, matched_value, NULL FROM td WHERE id > (SELECT max(id) FROM td) - 5
-            UNION ALL SELECT 'bucket', NULL, bucket, n FROM bc
-            UNION ALL SELECT 'bucket', NULL, '_total', CAST(sum(n) AS BIGINT) FROM bc"""),
+        "live_snapshot": _with("dc bc", f"""SELECT 'event' AS kind, {_EVENT_LIST}, e.bucket, d.det_count, CAST(NULL AS BIGINT) AS n,
+              {', '.join(f'CAST(NULL AS VARCHAR) AS {c}' for c in ('created_at', 'match_type', 'matched_value', 'feed_name', 'event_action'))}
+            FROM ev e LEFT JOIN dc d ON d.event_id = e.id WHERE e.id > (SELECT max(id) FROM ev) - 10
+            UNION ALL BY NAME SELECT 'detection' AS kind, d.id, e.src_ip, e.dst_ip, e.hostname, {_ts('d.created_at')} AS created_at,
+              d.match_type, d.matched_value, d.feed_name, e.action AS event_action
+            FROM td d JOIN ev e ON e.id = d.event_id WHERE d.id > (SELECT max(id) FROM td) - 5
+            UNION ALL BY NAME SELECT 'bucket' AS kind, bucket, n FROM bc
+            UNION ALL BY NAME SELECT 'bucket' AS kind, '_total' AS bucket, CAST(sum(n) AS BIGINT) AS n FROM bc"""),
         "events_per_minute": _with("ev", f"""SELECT {_ts('w')} AS window_end, count(*) AS n FROM (
             SELECT time_bucket(INTERVAL 10 SECOND, received_at) + o * INTERVAL 10 SECOND AS w
             FROM ev, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS o) x) y GROUP BY w"""),
         "stream_ingest": _with("ev", f"SELECT raw, {_ts('ts')} AS ts, tag, src_ip, dst_ip, hostname FROM ev"),
         "stream_detections": _with("hits", "SELECT ioc_id, match_type, matched_value, count(*) AS n FROM hits GROUP BY 1, 2, 3"),
+        "stream_live_updates": _with("dc", f"""SELECT 'event' AS kind, e.raw, {iso('e.ts')} AS ts, e.src_ip, e.dst_ip, e.hostname, e.action, e.bucket,
+              {', '.join(f'CAST(NULL AS VARCHAR) AS {c}' for c in ('created_at', 'match_type', 'matched_value', 'feed_name', 'event_action'))},
+              d.det_count, CAST(NULL AS BIGINT) AS n
+            FROM ev e LEFT JOIN dc d ON d.event_id = e.id
+            UNION ALL BY NAME SELECT 'detection' AS kind, e.src_ip, e.dst_ip, e.hostname, {iso('d.created_at')} AS created_at,
+              d.match_type, d.matched_value, d.feed_name, e.action AS event_action FROM td d JOIN ev e ON e.id = d.event_id
+            UNION ALL BY NAME SELECT 'buckets' AS kind, bucket, n FROM today
+            UNION ALL BY NAME SELECT 'buckets' AS kind, '_total' AS bucket, CAST(sum(n) AS BIGINT) AS n FROM today""",
+            today=f"""SELECT b.bucket, coalesce(c.n, 0) AS n FROM (SELECT unnest({BUCKETS!r}) AS bucket) b LEFT JOIN (
+              SELECT bucket, count(*) AS n FROM ev WHERE CAST(ts AS DATE) = (SELECT CAST(max(received_at) AS DATE) FROM ev) GROUP BY bucket) c
+              ON c.bucket = b.bucket"""),
         "stream_daily_buckets": _with("ev", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, bucket, count(*) AS n FROM ev GROUP BY 1, 2"),
         "stream_arrival_rate": _with("te", f"""SELECT {_ts('w')} AS window_end, count(*) AS n FROM (
             SELECT time_bucket(INTERVAL 10 SECOND, event_ts + INTERVAL 3 SECOND) + o * INTERVAL 10 SECOND AS w

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from netsight.operators.match import Snapshot, active_indicators, match_events, prepare_snapshot
 from netsight.session import prepare, work_path
-from netsight.sources import derived
-from netsight.sources.storage import append_detections, append_events
+from netsight.sources import derived, trigrams
+from netsight.sources.commits import LogTable
+from netsight.sources.storage import append_detections, append_events, detections_table, events_table
 
 _open: dict[tuple[str, str], "StoredTables"] = {}
 
@@ -53,6 +54,24 @@ class StoredTables:
         append_detections(match_events(self.events, self.snapshot, F.col("received_at")), path)
         return self.spark.read.parquet(path)
 
+    @property
+    def event_log(self) -> LogTable:
+        """The events by their commit log, for pages and look-ups."""
+        self.events  # noqa: B018
+        return events_table(self.spark, f"{self.root}/events")
+
+    @cached_property
+    def event_terms(self) -> DataFrame:
+        """Trigram postings of the events."""
+        path = f"{self.root}/terms"
+        trigrams.write_postings(self.events, path)
+        return self.spark.read.schema(trigrams.POSTINGS).parquet(path)
+
+    @property
+    def detection_log(self) -> LogTable:
+        self.detections  # noqa: B018
+        return detections_table(self.spark, f"{self.root}/detections")
+
 
 def stored(spark: SparkSession, sf_dir: str) -> StoredTables:
     prepare(spark)

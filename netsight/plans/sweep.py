@@ -26,10 +26,10 @@ def _sweep(payloads: DataFrame, root: str, now: Column, severity_property: str)
     spark = payloads.sparkSession
     iocs, feeds = registry.read_version(spark, root, registry.current_version(spark, root))
     typed = feed_ops.with_feed(payloads, feeds)
-    rows = written_once(feed_ops.parse_all(typed, severity_property), "rows")
-    results = written_once(feed_ops.sweep_results(payloads, feeds, rows), "results")
+    made = written_once(feed_ops.outcomes(typed, severity_property), "outcomes")
+    results = written_once(feed_ops.sweep_results(payloads, feeds, made), "results")
     good = results.filter("error IS NULL").limit(1).count() > 0
-    merged = registry.upsert_iocs(iocs, feed_ops.of_good_pulls(rows, results), now) if good else iocs
+    merged = registry.upsert_iocs(iocs, feed_ops.of_good_pulls(feed_ops.indicators_of(made), results), now) if good else iocs
     version = registry.publish_version(merged, registry.record_pulls(feeds, results), root, raise_version=good)
     append_log(registry.pull_log_rows(results), f"{root}/logs")
     return version

@@ -3,8 +3,14 @@
 ``limit`` and ``offset`` page a list as the service does. The ids of a page are
 taken first, by a top-k over narrow columns; ``PAGE_MAX`` bounds them, so they come
 to the driver and go into the filters of the second step, which then reads the
-page's days and id range alone. Windowed counters read the day folders of their
-window. Filters stay on base columns so that they reach the Parquet scan.
+page's days and id range alone. So a page is chosen when its frame is made, and later
+rows do not change it. Windowed counters read the day folders of their window. Filters
+stay on base columns so that they reach the Parquet scan.
+
+Events and detections may be frames, or tables of a commit log (``sources.commits``).
+The log says which files hold the newest ids, or the ids of a page, and no other file
+is opened; a filtered page walks down from the newest files until it is full. A
+detection names the day of its event, so that the event is looked up in its day.
 """
 
 from functools import reduce
@@ -19,6 +25,10 @@ from netsight.functions.buckets import (
     age_text, bucket_of, percent_share, ticker_label, utc_text)
 from netsight.functions.ip import ip_search_text
 from netsight.operators.ids import max_id
+from netsight.sources.commits import LogTable
+from netsight.sources.trigrams import BLOCK, block_of, blocks_with, trigrams_of
+
+Table = DataFrame | LogTable
 
 EVENT_FIELDS = ["ts", "host", "facility", "severity", "tag", "raw", "src_ip", "dst_ip", "src_port",
                 "dst_port", "proto", "action", "msg", "hostname"]
@@ -44,15 +54,75 @@ def _with_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
     return df.filter(F.col(column).between(min(ids), max(ids)) & F.col(column).isin(ids))
 
 
-def _event_page(found: DataFrame, events: DataFrame, order: list[Column], limit: int, offset: int = 0) -> tuple[DataFrame, list[int]]:
-    """The full rows of a page of ``found``, from the page's days only, and their ids."""
-    day = [c for c in ("event_date",) if c in events.columns]
-    rows = _page(found.select("id", *day), order, limit, offset).collect()
-    ids = [r["id"] for r in rows]
-    page = _with_ids(events, "id", ids)
-    if day and rows:
-        page = page.filter(F.col("event_date").isin(sorted({r["event_date"] for r in rows})))
-    return page.select("id", *EVENT_FIELDS), ids
+def _looked_up(table: Table, column: str, ids: list[int], days: list | None = None) -> DataFrame:
+    """Rows of a page's ids, from the files that can hold them; ``days`` may have None for "not known"."""
+    days = None if not days or None in days else sorted(set(days))
+    if isinstance(table, LogTable):
+        table = table.read(table.files(min(ids), max(ids), days and {str(d) for d in days}, column=column) if ids else [])
+    found = _with_ids(table, column, ids)
+    return found.filter(F.col("event_date").isin(days)) if days and ids and "event_date" in table.columns else found
+
+
+def _first_rows(table: Table, keep, order: list[Column], limit: int, offset: int, *columns: str) -> list:
+    """The first page of the rows that ``keep`` lets through: these columns of theirs, and the day of an event.
+
+    In a table of the log the newest files are read, and older ones while the page is not full.
+    """
+    def page(df: DataFrame) -> list:
+        day = [c for c in ("event_date",) if c in df.columns]
+        return _page(keep(df).select(*columns, *day), order, limit, offset).collect()
+
+    if isinstance(table, DataFrame):
+        return page(table)
+    rows = []
+    for df, whole in table.steps(limit + offset):
+        rows = page(df)
+        if whole or len(rows) == limit:
+            break
+    return rows
+
+
+def _found_rows(table: LogTable, terms: DataFrame, trigrams: list[str], keep, want: int) -> list:
+    """The newest ``want`` ids that ``keep`` lets through, from the blocks that have all trigrams.
+
+    Blocks are tried from the newest down, four times as many in each step; a text of very many
+    blocks ends in one scan of what lies below.
+    """
+    rows, below, step = [], None, 16
+    found = blocks_with(terms, trigrams)
+    while len(rows) < want:
+        blocks = [] if step > 4096 else [r["block"] for r in (found if below is None else found.filter(F.col("block") < below)).limit(step).collect()]
+        if not blocks and step <= 4096:
+            break
+        if blocks:
+            files = [f for f in table.files((blocks[-1]) * BLOCK, (blocks[0] + 1) * BLOCK - 1)
+                     if any(f.meets("id", b * BLOCK, (b + 1) * BLOCK - 1) for b in blocks)]
+            df = table.read(files).filter(F.col("id").between(blocks[-1] * BLOCK, (blocks[0] + 1) * BLOCK - 1) & block_of(F.col("id")).isin(blocks))
+        else:
+            df = table.read(table.files(high=below * BLOCK - 1)).filter(F.col("id") < below * BLOCK)
+        rows += keep(df).select("id", "event_date").orderBy(F.desc("id")).limit(want - len(rows)).collect()
+        if len(blocks) < step:
+            break
+        below, step = blocks[-1], step * 4
+    return rows
+
+
+def _days(rows: list) -> list:
+    return [r["event_date"] for r in rows] if rows and "event_date" in rows[0] else []
+
+
+def _newer(table: Table, after_id: int, limit: int) -> DataFrame:
+    """Rows above an id; of a table of the log, the files that can hold the next ``limit`` of them."""
+    if isinstance(table, DataFrame):
+        return table.filter(F.col("id") > after_id)
+    files, taken, low = sorted(table.files(low=after_id + 1), key=lambda f: f.bounds["id"][1]), 0, None
+    for f in files:
+        if f.bounds["id"][0] > after_id:
+            taken += f.rows
+            low = f.bounds["id"][1]
+        if taken >= limit:
+            break
+    return table.read([f for f in files if taken < limit or f.bounds["id"][0] <= low]).filter(F.col("id") > after_id)
 
 
 def _contains(text: str, *columns: Column) -> Column:
@@ -137,35 +207,48 @@ def filter_events(events: DataFrame, q: str | None = None, since: Column | None
     return df if since is None else _from(df, "ts", "event_date", since)
 
 
-def _with_det_count(page: DataFrame, detections: DataFrame, ids: list[int]) -> DataFrame:
+def _with_det_count(page: DataFrame, detections: Table, ids: list[int]) -> DataFrame:
     """Add ``det_count`` (NULL when none) to a page: only its own detections are counted."""
-    counts = (_with_ids(detections.select("event_id"), "event_id", ids)
-              .groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("det_count")))
+    counts = (_looked_up(detections, "event_id", ids).groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("det_count")))
     return page.join(counts, "id", "left")
 
 
-def browse_events(events: DataFrame, detections: DataFrame, q: str | None = None,
+def browse_events(events: Table, detections: Table, q: str | None = None,
                   since: Column | None = None, flows_only: bool = False,
-                  limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    """Newest events first, with their detection count and the ``flagged`` mark."""
-    page, ids = _event_page(filter_events(events, q, since, flows_only), events, [F.desc("id")], limit, offset)
+                  limit: int = PAGE_DEFAULT, offset: int = 0, terms: DataFrame | None = None) -> DataFrame:
+    """Newest events first, with their detection count and the ``flagged`` mark.
+
+    With ``terms``, the trigram postings of an event table, a search opens the blocks that can
+    match; a ``q`` without three literal ASCII characters in a row, or with an escape, is a scan.
+    """
+    keep = lambda df: filter_events(df, q, since, flows_only)
+    trigrams = trigrams_of(q) if q and terms is not None and isinstance(events, LogTable) else None
+    if trigrams is None:
+        rows = _first_rows(events, keep, [F.desc("id")], limit, offset, "id")
+    else:
+        _page(events.read([]), [F.desc("id")], limit, offset)
+        rows = _found_rows(events, terms, trigrams, keep, limit + offset)[offset:]
+    ids = [r["id"] for r in rows]
+    page = _looked_up(events, "id", ids, _days(rows)).select("id", *EVENT_FIELDS)
     return (_with_det_count(page, detections, ids)
             .withColumn("flagged", F.coalesce(F.col("det_count"), F.lit(0)) > 0).orderBy(F.desc("id")))
 
 
-def event_detail(events: DataFrame, detections: DataFrame, event_id: int) -> DataFrame:
+def event_detail(events: Table, detections: Table, event_id: int) -> DataFrame:
     """One event with its detections in id order."""
-    hits = detections.filter(F.col("event_id") == event_id).groupBy(F.col("event_id").alias("id")).agg(
+    hits = _looked_up(detections, "event_id", [event_id]).groupBy(F.col("event_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct(
             "id", "ioc_id", "feed_id", "feed_name", "match_type", "matched_value", "created_at"))).alias("detections"))
-    return (events.filter(F.col("id") == event_id).select("id", *EVENT_FIELDS).join(hits, "id", "left")
+    return (_looked_up(events, "id", [event_id]).select("id", *EVENT_FIELDS).join(hits, "id", "left")
             .withColumn("detections", F.coalesce("detections", F.array().cast(hits.schema["detections"].dataType))))
 
 
-def events_since(events: DataFrame, detections: DataFrame, after_id: int,
+def events_since(events: Table, detections: Table, after_id: int,
                  limit: int = EVENTS_SINCE_LIMIT) -> DataFrame:
     """The next events above an id, oldest first."""
-    page, ids = _event_page(events.filter(F.col("id") > after_id), events, [F.asc("id")], limit)
+    rows = _first_rows(_newer(events, after_id, limit), lambda df: df, [F.asc("id")], limit, 0, "id")
+    ids = [r["id"] for r in rows]
+    page = _looked_up(events, "id", ids, _days(rows)).select("id", *EVENT_FIELDS)
     return _with_det_count(page, detections, ids).orderBy("id")
 
 
@@ -190,7 +273,7 @@ def _ioc_side(iocs: DataFrame, *more: Column) -> DataFrame:
     return iocs.select(F.col("id").alias("ioc_id"), *[F.col(f).alias(f"ioc_{f}") for f in fields], *more)
 
 
-def browse_detections(detections: DataFrame, events: DataFrame, iocs: DataFrame,
+def browse_detections(detections: Table, events: Table, iocs: DataFrame,
                       feed_id: int | None = None, q: str | None = None, since: Column | None = None,
                       limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """Newest detections first with their event and indicator; ``feed_id`` 0 means all.
@@ -198,41 +281,40 @@ def browse_detections(detections: DataFrame, events: DataFrame, iocs: DataFrame,
     Every detection has its event (deleting an event deletes them), so the page
     can be cut before the joins.
     """
-    df = detections
-    if feed_id:
-        df = df.filter(F.col("feed_id") == feed_id)
-    if q:
-        df = df.filter(_contains(q, F.col("matched_value"), F.col("feed_name")))
-    if since is not None:
-        df = _from(df, "created_at", "created_date", since)
-    rows = _page(df.select("id", "event_id", "ioc_id"), [F.desc("id")], limit, offset).collect()
-    page = _with_ids(detections, "id", [r["id"] for r in rows]).select(
+    def keep(df: DataFrame) -> DataFrame:
+        if feed_id:
+            df = df.filter(F.col("feed_id") == feed_id)
+        if q:
+            df = df.filter(_contains(q, F.col("matched_value"), F.col("feed_name")))
+        return df if since is None else _from(df, "created_at", "created_date", since)
+
+    rows = _first_rows(detections, keep, [F.desc("id")], limit, offset, "id", "event_id", "ioc_id")
+    page = _looked_up(detections, "id", [r["id"] for r in rows]).select(
         "id", "created_at", "match_type", "matched_value", "feed_name", "feed_id", "event_id", "ioc_id")
-    with_event = _event_side(_with_ids(events, "id", [r["event_id"] for r in rows])).join(F.broadcast(page), "event_id")
+    with_event = _event_side(_looked_up(events, "id", [r["event_id"] for r in rows], _days(rows))).join(F.broadcast(page), "event_id")
     indicators = _ioc_side(_with_ids(iocs, "id", sorted({r["ioc_id"] for r in rows if r["ioc_id"] is not None})))
     return with_event.join(indicators, "ioc_id", "left").drop("ioc_id").orderBy(F.desc("id"))
 
 
-def detection_detail(detections: DataFrame, events: DataFrame, iocs: DataFrame, detection_id: int) -> DataFrame:
+def detection_detail(detections: Table, events: Table, iocs: DataFrame, detection_id: int) -> DataFrame:
     """One detection with its event and indicator, either of which may be gone."""
-    one = detections.filter(F.col("id") == detection_id).select(
-        "id", "event_id", "ioc_id", "feed_id", "feed_name", "match_type", "matched_value", "created_at")
-    keys = one.select("event_id", "ioc_id").collect()
+    found = _looked_up(detections, "id", [detection_id])
+    one = found.select("id", "event_id", "ioc_id", "feed_id", "feed_name", "match_type", "matched_value", "created_at")
+    keys = found.select("event_id", "ioc_id", *[c for c in ("event_date",) if c in found.columns]).collect()
     wanted = lambda c: [r[c] for r in keys if r[c] is not None]
-    event = _event_side(_with_ids(events, "id", wanted("event_id")), F.col("raw").alias("event_raw"), F.col("host").alias("event_host"))
+    event = _event_side(_looked_up(events, "id", wanted("event_id"), _days(keys)), F.col("raw").alias("event_raw"), F.col("host").alias("event_host"))
     indicator = _ioc_side(_with_ids(iocs, "id", wanted("ioc_id")), F.col("type").alias("ioc_type"))
     return one.join(event, "event_id", "left").join(indicator, "ioc_id", "left")
 
 
-def detections_since(detections: DataFrame, events: DataFrame, after_id: int,
+def detections_since(detections: Table, events: Table, after_id: int,
                      limit: int = DETECTIONS_SINCE_LIMIT) -> DataFrame:
     """The next detections above an id, oldest first."""
-    fresh = detections.filter(F.col("id") > after_id)
-    rows = _page(fresh.select("id", "event_id"), [F.asc("id")], limit).collect()
-    page = _with_ids(fresh, "id", [r["id"] for r in rows]).select(
+    rows = _first_rows(_newer(detections, after_id, limit), lambda df: df, [F.asc("id")], limit, 0, "id", "event_id")
+    page = _looked_up(detections, "id", [r["id"] for r in rows]).select(
         "id", "created_at", "match_type", "matched_value", "feed_name", "event_id")
-    side = _with_ids(events, "id", [r["event_id"] for r in rows]).select(F.col("id").alias("event_id"), "src_ip", "dst_ip", "hostname",
-                         F.col("action").alias("event_action"))
+    side = _looked_up(events, "id", [r["event_id"] for r in rows], _days(rows)).select(
+        F.col("id").alias("event_id"), "src_ip", "dst_ip", "hostname", F.col("action").alias("event_action"))
     return side.join(F.broadcast(page), "event_id").drop("event_id").orderBy("id")
 
 
@@ -287,20 +369,20 @@ def max_ids(events: DataFrame, detections: DataFrame) -> DataFrame:
             .unionByName(max_id(detections).select(F.lit("detections").alias("name"), "m")))
 
 
-def _tail(df: DataFrame, keep: int) -> DataFrame:
-    """Rows with an id above the largest one less ``keep``: a top-k, then a test on its rows."""
-    newest = df.orderBy(F.desc("id")).limit(keep)
-    low = F.greatest(F.max("id").over(Window.partitionBy()) - keep, F.lit(0))
-    return newest.withColumn("_low", low).filter("id > _low").drop("_low")
+def _largest_id(table: Table) -> int:
+    if isinstance(table, LogTable):
+        return max((f.bounds["id"][1] for f in table.files() if "id" in f.bounds), default=0)
+    return max_id(table).first()["m"]
 
 
-def live_snapshot(events: DataFrame, detections: DataFrame, now: Column) -> DataFrame:
-    """What a new live viewer gets: ``(kind, id, text, n)`` rows of events, detections, totals."""
-    none = F.lit(None)
-    ev = with_bucket(_tail(events.select("id", "tag", "action"), SNAPSHOT_EVENTS)).select(
-        F.lit("event").alias("kind"), "id", F.col("bucket").alias("text"), none.cast("bigint").alias("n"))
-    det = _tail(detections.select("id", "matched_value"), SNAPSHOT_DETECTIONS).select(
-        F.lit("detection").alias("kind"), "id", F.col("matched_value").alias("text"), none.cast("bigint").alias("n"))
-    tot = bucket_totals(events, now).select(
-        F.lit("bucket").alias("kind"), none.cast("bigint").alias("id"), F.col("bucket").alias("text"), "n")
-    return ev.unionByName(det).unionByName(tot)
+def live_snapshot(events: Table, detections: Table, now: Column) -> DataFrame:
+    """What a new live viewer gets, as rows of three kinds with the columns of their kind filled.
+
+    ``event``: the newest events, with their bucket and number of detections; ``detection``: the
+    newest detections, with fields of their event; ``bucket``: the day's count of every bucket.
+    """
+    ev = with_bucket(events_since(events, detections, max(0, _largest_id(events) - SNAPSHOT_EVENTS)))
+    det = detections_since(detections, events, max(0, _largest_id(detections) - SNAPSHOT_DETECTIONS))
+    tot = bucket_totals(events.all() if isinstance(events, LogTable) else events, now)
+    kinds = [df.withColumn("kind", F.lit(kind)) for df, kind in ((ev, "event"), (det, "detection"), (tot, "bucket"))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)

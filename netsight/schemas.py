@@ -9,6 +9,11 @@ def _schema(**columns) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+def fields_of(schema: T.StructType) -> str:
+    """The columns of a schema as DDL text."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+
+
 PARSER_CONFIG = _schema(
     has_header=_b, delimiter=_s, value_column=_i, description_column=_i, tags_column=_i,
     reference_column=_i, collection_id=_s, version=_s)

@@ -1,16 +1,17 @@
 """Sources and sinks: landed text and payload files, stored tables, JSON rows."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsight.constants import PAYLOAD_CAP_BYTES
 from netsight.operators.feeds import admit_payloads, too_large
-from netsight.operators.ids import assign_ids, in_order, number_rows
+from netsight.operators.ids import Deal, assign_ids, with_ids
 from netsight.operators.ingest import EVENT_COLUMNS, accepted, parse_lines
 from netsight.operators.match import new_detections
-from netsight.schemas import DETECTIONS, EVENTS
+from netsight.schemas import DETECTIONS, EVENTS, fields_of
 from netsight.session import stage_scope
+from netsight.sources.commits import CommitLog, LogTable
 
 
 def valid_text(df: DataFrame, column: str) -> DataFrame:
@@ -37,29 +38,68 @@ def read_payload_files(spark: SparkSession, path: str, cap: int = PAYLOAD_CAP_BY
     return admitted.unionByName(refused)
 
 
-def numbered_events(lines: DataFrame, tz: str = "UTC", start: int = 0) -> DataFrame:
-    """Events of ``lines`` with ids in arrival order; the lines are put in order before parsing."""
-    parsed = parse_lines(in_order(lines, ["received_at", "line_id"]), tz)
-    return number_rows(accepted(parsed).select(*EVENT_COLUMNS), start)
+EVENTS_BY_DAY = f"{fields_of(EVENTS)}, event_date date"
+DETECTIONS_BY_DAY = f"{fields_of(DETECTIONS)}, event_date date, created_date date"
 
 
-def append_events(lines: DataFrame, path: str, tz: str = "UTC", start: int = 0) -> None:
-    """Parse lines and append the events, one folder per UTC day.
+def events_table(spark: SparkSession, path: str) -> LogTable:
+    """The event folder at ``path`` by its commit log."""
+    return LogTable(CommitLog(spark, path), "rows", EVENTS_BY_DAY, path)
+
+
+def detections_table(spark: SparkSession, path: str) -> LogTable:
+    return LogTable(CommitLog(spark, path), "rows", DETECTIONS_BY_DAY, path)
 
-    Rows are in arrival order, so a task writes few days.
-    """
-    with stage_scope(lines.sparkSession):
-        (numbered_events(lines, tz, start).select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date"))
-         .write.mode("append").partitionBy("event_date").parquet(path))
 
+def _commit_new(spark: SparkSession, rows: DataFrame, path: str, bounds: tuple[str, ...], day: str, state: dict) -> None:
+    """Put the files of ``path`` that are in no commit yet into its log."""
+    log = CommitLog(spark, path)
+    known = log.version().files.get("rows", {})
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, paths = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(".parquet") and f"/{day}=" in name:
+            paths.append(name)
+    same = {p.partition(":")[2].lstrip("/") for p in known}  # schemes may come with one slash or three
+    fresh = [p for p in paths if p.partition(":")[2].lstrip("/") not in same]
+    log.commit({"rows": log.written(rows, path, bounds, day, fresh) if fresh else []}, state)
 
-def append_detections(hits: DataFrame, path: str, stored: DataFrame | None = None, start: int = 0) -> None:
-    """Append hits that are not stored yet, numbered by event, indicator and match type."""
+
+def append_events(lines: DataFrame, path: str, tz: str = "UTC", start: int = 0) -> dict[str, int]:
+    """Parse lines and append the events, one folder per UTC day; returns the counters of the write.
+
+    Ids go up in arrival order. How many events each range of arrivals has is counted ahead, which
+    reads the heads of the lines alone; then every line is parsed and written once. The counters
+    are measured where the rows pass to the writer. ``lines`` must give the same rows each time.
+    """
+    spark = lines.sparkSession
+    deal = Deal.of(lines, ["received_at", "line_id"])
+    counts = deal.counts(accepted(parse_lines(lines, tz)))
+    read, stored = Observation(), Observation()
+    parsed = parse_lines(deal.ordered(lines), tz).observe(
+        read, F.count("*").alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("parsed"),
+        F.count_if(F.col("reject_reason") == "error").alias("errors"))
+    rows = (with_ids(accepted(parsed).select(*EVENT_COLUMNS), counts, start)
+            .select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date")))
+    rows.observe(stored, F.count("*").alias("stored")).write.mode("append").partitionBy("event_date").parquet(path)
+    measured = {"received": 0, "parsed": 0, "errors": 0, "stored": 0} | read.get | stored.get
+    _commit_new(spark, rows, path, ("id",), "event_date", measured)
+    return measured
+
+
+def append_detections(hits: DataFrame, path: str, stored: DataFrame | None = None, start: int = 0) -> int:
+    """Append hits that are not stored yet, numbered by event, indicator and match type; returns how many."""
     fresh = hits if stored is None else new_detections(hits, stored)
+    count = Observation()
     with stage_scope(hits.sparkSession):
         rows = assign_ids(fresh, ["event_id", "ioc_id", "match_type"], start)
-        (rows.select(*DETECTIONS.fieldNames(), F.to_date("created_at").alias("created_date"))
-         .write.mode("append").partitionBy("created_date").parquet(path))
+        day = F.col("event_date") if "event_date" in rows.columns else F.lit(None).cast("date").alias("event_date")
+        rows = rows.select(*DETECTIONS.fieldNames(), day, F.to_date("created_at").alias("created_date"))
+        rows.observe(count, F.count("*").alias("n")).write.mode("append").partitionBy("created_date").parquet(path)
+        n = count.get["n"]
+        _commit_new(hits.sparkSession, rows, path, ("id", "event_id", "ioc_id"), "created_date", {"stored": n})
+    return n
 
 
 def _json_value(value: Column, kind: T.DataType) -> Column:

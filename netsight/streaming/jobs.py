@@ -2,12 +2,17 @@
 
 ``ingest`` parses, stores and matches each micro-batch. A run is the life of one
 checkpoint, which keeps the run's name. Every batch writes only folders named after
-its run and ``batch_id`` in overwrite mode, takes its start ids from the newest state
-row of any run, and writes its own state row last. A replayed batch therefore
-replaces itself and changes nothing else, and one whose state row exists is skipped:
-the effect is exactly-once without keyed state. A new checkpoint is a new run, whose
-batches count from 0 again but go on with the ids. Readers see batches with a state
-row alone. A batch whose predecessor has no state row is an error.
+its run and ``batch_id`` in overwrite mode, and then one commit that makes their files
+part of the tables (``sources.commits``), with the state after it. A replayed batch
+therefore replaces itself and changes nothing else, and one that has its commit is
+skipped: the effect is exactly-once without keyed state. A new checkpoint is a new
+run, whose batches count from 0 again but go on with the ids. Readers see committed
+files alone. A batch whose predecessor has no commit is an error.
+
+What a batch reads does not grow with the batches before it: the state is in the
+newest commit, totals are sums of the counts that each commit adds, a new indicator
+version meets stored values of the events it may still change, and small files are
+merged, some each batch.
 """
 
 import uuid
@@ -17,17 +22,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
-from pyspark.sql.types import StructType
 
+from netsight.constants import BUCKETS
 from netsight.functions.buckets import bucket_of
-from netsight.operators.ids import assign_ids, in_order, number_rows
+from netsight.operators.ids import assign_ids, number_stored
 from netsight.operators.ingest import accepted, parse_lines, rejected
 from netsight.operators.match import (
-    Snapshot, active_indicators, match_events, next_watermark, prepare_snapshot, retro_scan)
+    Snapshot, active_indicators, added_keys, match_events, new_detections, prepare_snapshot, retro_scan_added, stored_values)
 from netsight.operators.registry import current_version, read_version
 from netsight.plans.views import with_bucket
-from netsight.schemas import DETECTIONS, EVENTS, SYSLOG_LINES
-from netsight.session import path_exists, stage_scope
+from netsight.schemas import DETECTIONS, EVENTS, SYSLOG_LINES, fields_of
+from netsight.session import path_exists, stage_scope, written_once
+from netsight.sources.commits import CommitLog, File, LogTable, Version
 from netsight.sources.storage import json_rows, valid_text
 
 
@@ -47,132 +53,221 @@ def landed_line_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.options(**options).schema(SYSLOG_LINES).parquet(path)
 
 
-STATE = ["number", "last_event_id", "last_detection_id", "version", "watermark", "received", "parsed", "errors", "detections"]
-
-
-def _fields(schema: StructType) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+STATE = ["number", "last_event_id", "last_detection_id", "version", "watermark", "received", "parsed", "stored", "errors", "detections"]
+MERGE_FILES = 16
+MERGE_ROWS = 1 << 22
+#: Columns of the live tables, the ones whose bounds the log keeps, and the day they lie in.
+TABLES = {
+    "events": (f"{fields_of(EVENTS)}, event_date date", ("id",), "event_date"),
+    "detections": (f"{fields_of(DETECTIONS)}, event_date date", ("id", "event_id", "ioc_id"), None),
+    "values": ("event_id bigint, ts timestamp, match_type string, value string, event_date date", ("event_id",), "event_date"),
+    "rejects": ("line_id bigint, line string, reason string", (), None),
+    "live": ("number bigint, kind string, id bigint, json string", ("number",), None),
+}
+_ORDER = {"events": "id", "detections": "id", "values": "event_id", "live": "number"}
 
 
 @dataclass(frozen=True)
 class LiveStore:
-    """Folders of the live tables, and where indicator versions are published."""
+    """The live tables, and where indicator versions are published."""
 
     spark: SparkSession
     root: str
     versions: str
     tz: str = "UTC"
     retro_hours: int = 24
+    merge_files: int = MERGE_FILES
     snapshots: dict = field(default_factory=dict, compare=False)
+    logs: dict = field(default_factory=dict, compare=False)
+
+    @property
+    def log(self) -> CommitLog:
+        return self.logs.setdefault("log", CommitLog(self.spark, self.root))
 
     def path(self, name: str, run: str, batch_id: int) -> str:
         return f"{self.root}/{name}/run={run}/batch_id={batch_id}"
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return (self.spark.read.schema(f"{schema}, run string, batch_id int").option("basePath", f"{self.root}/{name}")
-                .parquet(f"{self.root}/{name}"))
-
-    def _committed(self, name: str, schema: str) -> DataFrame:
-        rows = self._read(name, schema)
-        return rows.join(self.state().select("run", "batch_id"), ["run", "batch_id"], "left_semi")
+    def table(self, name: str) -> LogTable:
+        return LogTable(self.log, name, f"{TABLES[name][0]}, run string, batch_id int", f"{self.root}/{name}", _ORDER.get(name, "id"))
 
     def events(self) -> DataFrame:
-        return self._committed("events", f"{_fields(EVENTS)}, event_date date")
+        return self.table("events").all()
 
     def detections(self) -> DataFrame:
-        return self._committed("detections", _fields(DETECTIONS))
+        return self.table("detections").all()
 
     def state(self) -> DataFrame:
-        return self._read("state", ", ".join(f"{c} bigint" for c in STATE))
+        """The states after the last batches, one row each."""
+        rows = [tuple(r.get(c, 0) for c in STATE) for r in self.log.version().recent]
+        return self.spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in STATE))
 
     def before(self) -> dict:
-        """The newest state row of any run."""
-        if path_exists(self.spark, f"{self.root}/state"):
-            row = self.state().orderBy(F.desc("last_event_id"), F.desc("number")).first()
-            if row is not None:
-                return row.asDict()
-        return {"number": 0, "last_event_id": 0, "last_detection_id": 0, "version": 0, "watermark": 0}
+        """The state after the newest batch of any run."""
+        return dict.fromkeys([*STATE, "clock"], 0) | self.log.version().state
 
     def done(self, run: str, batch_id: int) -> bool:
-        return path_exists(self.spark, f"{self.path('state', run, batch_id)}/_SUCCESS")
+        return self.log.version().runs.get(run, -1) >= batch_id
+
+    def bucket_totals(self, day: str) -> dict[str, int]:
+        """Events of a UTC day by bucket, all buckets and ``_total``: sums kept by the log, no table is read."""
+        return _totals(self.log.version(), day)
 
     def snapshot(self, version: int) -> Snapshot:
-        """Prepared indicators of a version; kept in memory until another version is asked for."""
+        """Prepared indicators of a version; the last two asked for are kept in memory."""
         if version not in self.snapshots:
-            for old in self.snapshots.values():
-                old.keys.unpersist()
-            self.snapshots.clear()
+            while len(self.snapshots) > 1:
+                self.snapshots.pop(next(iter(self.snapshots))).keys.unpersist()
             indicators = active_indicators(*read_version(self.spark, self.versions, version))
             self.snapshots[version] = prepare_snapshot(indicators, persist=True)
         return self.snapshots[version]
 
+    def write(self, df: DataFrame, name: str, run: str, batch_id: int) -> tuple[DataFrame, list[File]]:
+        """Write a batch's rows of a table, in few files; they are part of it once committed."""
+        columns, bounds, day = TABLES[name]
+        path = self.path(name, run, batch_id)
+        order = [c for c in (day, _ORDER.get(name)) if c]
+        dealt = df.hint("rebalance", *[F.col(day)] if day else [])
+        (dealt.sortWithinPartitions(*order) if order else dealt).write.mode("overwrite").partitionBy(*([day] if day else [])).parquet(path)
+        rows = self.spark.read.schema(columns).option("basePath", path).parquet(path)
+        return rows, self.log.written(rows, path, bounds, day)
+
+    def merge_small(self) -> None:
+        """Merge small files, at most one group of each table; replaced files stay for readers that hold them."""
+        for name in TABLES:
+            table, folder = self.table(name), uuid.uuid4().hex
+            put = lambda rows, name=name, folder=folder: self.write(rows.drop("run", "batch_id"), name, f"merged-{folder}", 0)[1]
+            made = table.merge(_ORDER.get(name), self.merge_files, MERGE_ROWS, put)
+            if made is not None:
+                self.log.commit({name: made[0]}, remove={name: made[1]})
+
 
-def _write(df: DataFrame, path: str, *days: str) -> DataFrame:
-    df.write.mode("overwrite").partitionBy(*days).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _totals(version: Version, day: str) -> dict[str, int]:
+    own = version.totals.get(day, {})
+    return {b: own.get(b, 0) for b in BUCKETS} | {"_total": sum(own.values())}
 
 
 def ingest_batch(lines: DataFrame, batch_id: int, store: LiveStore, run: str = "0") -> None:
-    """Store one micro-batch: events, rejects, detections, live rows, then the state row."""
+    """Store one micro-batch: events, values, rejects, detections, live rows; then the commit."""
     if store.done(run, batch_id):
         return
     if batch_id > 0 and not store.done(run, batch_id - 1):
         raise ValueError(f"batch {batch_id} of run {run} follows a batch that was not stored")
     with stage_scope(lines.sparkSession):
         _ingest_batch(lines, batch_id, store, run)
+    store.merge_small()
 
 
 def _ingest_batch(lines: DataFrame, batch_id: int, store: LiveStore, run: str) -> None:
     spark, before = lines.sparkSession, store.before()
     if "line_id" not in lines.columns:
         lines = lines.withColumn("line_id", F.monotonically_increasing_id())
-    parsed = _write(parse_lines(lines, store.tz), store.path("parsed", run, batch_id))
-    _write(rejected(parsed), store.path("rejects", run, batch_id))
-    numbered = number_rows(in_order(accepted(parsed), ["received_at", "line_id"]), before["last_event_id"])
-    events = _write(numbered.select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date")),
-                    store.path("events", run, batch_id), "event_date")
+    parsed = written_once(parse_lines(lines, store.tz), "parsed")
+    made: dict[str, list[File]] = {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        rows, made[name] = store.write(df, name, run, batch_id)
+        return rows
+
+    put("rejects", rejected(parsed))
+    numbered = number_stored(accepted(parsed), ["received_at", "line_id"], before["last_event_id"])
+    events = put("events", numbered.select(*EVENTS.fieldNames(), F.to_date("ts").alias("event_date")))
+    put("values", stored_values(events))
 
     # the version is read once per batch, so all its rows see one snapshot
     version = current_version(spark, store.versions)
-    now = events.agg(F.max("received_at")).first()[0]
-    new_hits, watermark = None, before["watermark"]
+    newest = events.agg(F.unix_micros(F.max("received_at"))).first()[0]
+    clock, watermark = max(before["clock"], newest or 0), before["watermark"]
+    new_hits, older = None, None
     if version > 0:
-        snapshot = store.snapshot(version)
-        new_hits = match_events(events, snapshot, F.col("received_at"))
-        if version != before["version"] and before["last_event_id"] > 0 and now is not None:
-            clock = F.lit(now)
-            stored = store.events().filter(F.col("id") <= before["last_event_id"])
-            known = store.detections()
-            new_hits = new_hits.unionByName(
-                retro_scan(stored, known, snapshot, clock, store.retro_hours, watermark, clock))
-            watermark = next_watermark(stored, clock, store.retro_hours, watermark).first()[0]
-    empty = spark.createDataFrame([], DETECTIONS)
+        new_hits = match_events(events, store.snapshot(version), F.col("received_at"))
+        if version != before["version"] and before["last_event_id"] > 0 and newest is not None:
+            added, watermark = _retro_scan(store, before, version, newest)
+            added = written_once(added, "retro")
+            older = _events_of(store, added)
+            new_hits = new_hits.unionByName(added)
+    empty = spark.createDataFrame([], TABLES["detections"][0])
     rows = empty if new_hits is None else assign_ids(
         new_hits, ["event_id", "ioc_id", "match_type"], before["last_detection_id"])
-    hits = _write(rows.select(*DETECTIONS.fieldNames()), store.path("detections", run, batch_id))
+    hits = put("detections", rows.select(*DETECTIONS.fieldNames(), "event_date"))
 
-    _write(live_rows(events, hits), store.path("live", run, batch_id))
     counts = parsed.agg(
         F.count(F.lit(1)).alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("parsed"),
         F.count_if(F.col("reject_reason") == "error").alias("errors")).first()
-    n_hits = hits.count()
-    state = spark.range(1).select(
-        F.lit(before["number"] + 1).cast("bigint").alias("number"),
-        F.lit(before["last_event_id"] + counts["parsed"]).cast("bigint").alias("last_event_id"),
-        F.lit(before["last_detection_id"] + n_hits).cast("bigint").alias("last_detection_id"),
-        F.lit(version).cast("bigint").alias("version"), F.lit(watermark).cast("bigint").alias("watermark"),
-        *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("received", "parsed", "errors")],
-        F.lit(n_hits).cast("bigint").alias("detections"))
-    _write(state, store.path("state", run, batch_id))
-
-
-def live_rows(events: DataFrame, detections: DataFrame) -> DataFrame:
-    """Update rows of a batch: ``(kind, id, json)`` of bucket-tagged events and of detections."""
+    stored, n_hits = (sum(f.rows for f in made[name]) for name in ("events", "detections"))
+    by_day: dict[str, dict[str, int]] = {}
+    for r in _day_counts(events).collect():  # eleven buckets a day at most
+        by_day.setdefault(str(r["event_date"]), {})[r["bucket"]] = r["n"]
+    day = str(spark.range(1).select(F.to_date(F.timestamp_micros(F.lit(clock)))).first()[0])
+    after = {b: n + by_day.get(day, {}).get(b, 0) for b, n in store.bucket_totals(day).items() if b != "_total"}
+    told = live_rows(events, hits, after | {"_total": sum(after.values())}, older)
+    put("live", told.select(F.lit(before["number"] + 1).cast("bigint").alias("number"), "*"))
+
+    state = {"number": before["number"] + 1, "last_event_id": before["last_event_id"] + stored,
+             "last_detection_id": before["last_detection_id"] + n_hits, "version": version, "watermark": watermark,
+             "clock": clock, "received": counts["received"], "parsed": counts["parsed"], "stored": stored,
+             "errors": counts["errors"] + counts["parsed"] - stored, "detections": n_hits}
+    store.log.commit(made, state, run, batch_id, by_day)
+
+
+def _day_counts(events: DataFrame) -> DataFrame:
+    """Counts by (day, tag, action) first, so that the text tests run on few rows."""
+    raw = events.groupBy("event_date", "tag", "action").agg(F.count(F.lit(1)).alias("n"))
+    return with_bucket(raw).groupBy("event_date", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _retro_scan(store: LiveStore, before: dict, version: int, newest: int) -> tuple[DataFrame, int]:
+    """(new detections of stored events, watermark after it) when a new version is met.
+
+    Events above the watermark were matched with the version before as they came, so only what was
+    added since meets their values. Of detections, files that may hold the added indicators are read.
+    """
+    spark = store.spark
+    since = F.timestamp_micros(F.lit(newest)) - F.make_dt_interval(hours=F.lit(store.retro_hours))
+    start = spark.range(1).select(F.to_date(since)).first()[0]
+    low = before["watermark"] + 1
+    values = store.table("values")
+    recent = values.read(values.files(low=low, since=str(start))).where(
+        (F.col("event_id") >= low) & (F.col("event_id") <= before["last_event_id"]) & (F.col("ts") >= since))
+    none = Snapshot(spark.createDataFrame([], "ioc_id bigint, key string"), None)
+    added = added_keys(store.snapshot(version), store.snapshot(before["version"]) if before["version"] else none)
+    span = added.keys.agg(F.min("ioc_id"), F.max("ioc_id")).first()
+    known = store.table("detections")
+    stored = known.read([f for f in known.files(low=low, column="event_id") if span[0] is not None and f.meets("ioc_id", *span)])
+    hits = retro_scan_added(recent.select("event_id", "ts", "match_type", "value", "event_date"), added, stored,
+                            F.timestamp_micros(F.lit(newest)))
+    # Days after the first lie wholly in the window: their newest id is in the log.
+    events = store.table("events")
+    later = [f.bounds["id"][1] for f in events.files(low=low, high=before["last_event_id"]) if f.day > str(start)]
+    first = events.read([f for f in events.files(low=low, days={str(start)})]).where(
+        (F.col("id") <= before["last_event_id"]) & (F.col("ts") >= since)).agg(F.max("id")).first()[0]
+    return hits, max([before["watermark"], *later, *([first] if first is not None else [])])
+
+
+def _events_of(store: LiveStore, hits: DataFrame) -> DataFrame:
+    """The stored events that detections name, from the files of their days and ids."""
+    span = hits.agg(F.min("event_id"), F.max("event_id"), F.collect_set("event_date")).first()
+    table = store.table("events")
+    files = [] if span[0] is None else table.files(low=span[0], high=span[1], days={str(d) for d in span[2]})
+    return table.read(files).join(hits.select(F.col("event_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def live_rows(events: DataFrame, detections: DataFrame, totals: dict[str, int], older: DataFrame | None = None) -> DataFrame:
+    """What a batch tells its viewers, as ``(kind, id, json)`` rows.
+
+    ``event``: every event with its bucket and its number of detections (null: none);
+    ``detection``: every detection with the address, name and action fields of its event, which
+    may be one of ``older`` events; ``buckets``: the day's count of every bucket after the batch.
+    """
     tagged = lambda df, kind: json_rows(df).select(
         F.lit(kind).alias("kind"), F.get_json_object("json", "$.id").cast("bigint").alias("id"), "json")
-    shown = ["id", "ts", "src_ip", "dst_ip", "hostname", "proto", "action", "tag", "msg", "bucket"]
-    return tagged(with_bucket(events).select(*shown), "event").unionByName(
-        tagged(detections.select("id", "created_at", "match_type", "matched_value", "feed_name"), "detection"))
+    counts = detections.groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("det_count"))
+    told = with_bucket(events).select(*EVENTS.fieldNames(), "bucket").join(counts, "id", "left")
+    flow = lambda df: df.select(F.col("id").alias("event_id"), "src_ip", "dst_ip", "hostname", F.col("action").alias("event_action"))
+    sides = flow(events) if older is None else flow(events).unionByName(flow(older))
+    found = detections.select("id", "event_id", "created_at", "match_type", "matched_value", "feed_name").join(sides, "event_id").drop("event_id")
+    buckets = events.sparkSession.createDataFrame([*totals.items()], "bucket string, n bigint")
+    return (tagged(told, "event").unionByName(tagged(found, "detection"))
+            .unionByName(json_rows(buckets).select(F.lit("buckets").alias("kind"), F.lit(None).cast("bigint").alias("id"), "json")))
 
 
 def ingest(lines: DataFrame, store: LiveStore, checkpoint: str) -> DataStreamWriter:
@@ -190,6 +285,104 @@ def run_name(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("run string").parquet(path).first()[0]
 
 
+def day_bucket_rows(lines: DataFrame, tz: str = "UTC") -> DataFrame:
+    """(day, bucket) of every event, UTC days."""
+    events = parse_lines(lines, tz).filter("reject_reason IS NULL")
+    return events.select(F.to_date("ts").alias("day"), bucket_of(F.col("tag"), F.col("action")).alias("bucket"))
+
+
+def arrival_window_rows(lines: DataFrame) -> DataFrame:
+    """(window_end) of every line and every window of 60 seconds, each 10 seconds, that it arrived in."""
+    ends = F.explode(F.sequence(F.col("w.end"), F.col("w.end") + F.expr("INTERVAL 50 SECONDS"), F.expr("INTERVAL 10 SECONDS")))
+    return lines.select(F.window("received_at", "10 seconds").alias("w")).select(ends.alias("window_end"))
+
+
+class RunningCounts:
+    """Counts by key over a stream, kept as the sum of what each batch adds.
+
+    A batch writes its own counts and commits them, so a replay replaces itself. There is no state
+    in memory and no watermark: a row however late adds to its key like any other. Small files are
+    summed into one from time to time, so the table has about as many rows as there are keys.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: str, merge_files: int = MERGE_FILES):
+        self.spark, self.root, self.merge_files = spark, root, merge_files
+        self.keys = [k.split()[0] for k in keys.split(", ")]
+        self.schema = f"{keys}, n bigint, run string, batch_id int"
+        self.log = CommitLog(spark, root)
+        self.table = LogTable(self.log, "counts", self.schema, f"{root}/counts", "n")
+
+    def _write(self, counts: DataFrame, run: str, batch_id: int) -> list[File]:
+        path = f"{self.root}/counts/run={run}/batch_id={batch_id}"
+        counts.write.mode("overwrite").parquet(path)
+        return self.log.written(counts, path, ())
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(F.sum("n").alias("n"))
+
+    def add(self, rows: DataFrame, batch_id: int, run: str = "0") -> None:
+        """Count a batch's rows."""
+        if self.log.version().runs.get(run, -1) >= batch_id:
+            return
+        counts = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
+        self.log.commit({"counts": self._write(counts, run, batch_id)}, run=run, batch=batch_id)
+        made = self.table.merge(None, self.merge_files, MERGE_ROWS,
+                                lambda old: self._write(self._summed(old).coalesce(1), f"merged-{uuid.uuid4().hex}", 0))
+        if made is not None:
+            self.log.commit({"counts": made[0]}, remove={"counts": made[1]})
+
+    def keep(self, lines: DataFrame, rows_of, checkpoint: str) -> DataStreamWriter:
+        """Count ``rows_of`` every batch of a stream of lines."""
+        run = run_name(self.spark, checkpoint)
+        return (lines.writeStream.option("checkpointLocation", checkpoint)
+                .foreachBatch(lambda df, batch_id: self.add(rows_of(df), batch_id, run)))
+
+    def now(self) -> DataFrame:
+        return self._summed(self.table.all())
+
+
+class ResentDetections:
+    """Detections of a stream in which lines may come again, at any distance in time.
+
+    A hit is new if its key is not stored. Of the stored keys, the files whose event ids overlap
+    the batch's are read, so ids that go up with time keep that small, and no state is held.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, snapshot: Snapshot, event_id: Column, tz: str = "UTC", merge_files: int = MERGE_FILES):
+        self.spark, self.root, self.snapshot, self.event_id, self.tz, self.merge_files = spark, root, snapshot, event_id, tz, merge_files
+        self.log = CommitLog(spark, root)
+        names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in DETECTIONS.fields if f.name != "id")
+        self.table = LogTable(self.log, "hits", f"{names}, run string, batch_id int", f"{root}/hits", "event_id")
+
+    def _write(self, rows: DataFrame, run: str, batch_id: int) -> list[File]:
+        path = f"{self.root}/hits/run={run}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.log.written(rows, path, ("event_id",))
+
+    def add(self, lines: DataFrame, batch_id: int, run: str = "0") -> None:
+        if self.log.version().runs.get(run, -1) >= batch_id:
+            return
+        with stage_scope(self.spark):
+            events = accepted(parse_lines(lines, self.tz)).withColumn("id", self.event_id)
+            hits = written_once(match_events(events, self.snapshot, F.col("received_at")), "hits")
+            span = hits.agg(F.min("event_id"), F.max("event_id")).first()
+            known = self.table.read([] if span[0] is None else self.table.files(*span))
+            fresh = new_detections(hits, known)
+            self.log.commit({"hits": self._write(fresh, run, batch_id)}, run=run, batch=batch_id)
+        made = self.table.merge("event_id", self.merge_files, MERGE_ROWS,
+                                lambda old: self._write(old.drop("run", "batch_id"), f"merged-{uuid.uuid4().hex}", 0))
+        if made is not None:
+            self.log.commit({"hits": made[0]}, remove={"hits": made[1]})
+
+    def keep(self, lines: DataFrame, checkpoint: str) -> DataStreamWriter:
+        run = run_name(self.spark, checkpoint)
+        return (lines.writeStream.option("checkpointLocation", checkpoint)
+                .foreachBatch(lambda df, batch_id: self.add(df, batch_id, run)))
+
+    def now(self) -> DataFrame:
+        return self.table.all().drop("run", "batch_id")
+
+
 def _until(rows: DataFrame, column: str, lateness: str | None) -> DataFrame:
     """``rows`` whose state ends ``lateness`` after ``column``; None keeps it, so that no late row is dropped."""
     return rows if lateness is None else rows.withWatermark(column, lateness)

@@ -37,7 +37,7 @@ def compare(spark, sf_dir, query, sql):
     order = sorted(names)
     spark_kinds = dict(df.dtypes)
     wrong = [(n, spark_kinds[n], k) for n, k in zip(names, kinds)
-             if {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}[spark_kinds[n]] not in k]
+             if {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN"}[spark_kinds[n]] not in k]
     if wrong:
         return f"types {wrong}"
     left = sorted(_key([r[df.columns.index(n)] for n in order]) for r in rows)
