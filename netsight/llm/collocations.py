@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsight.llm.common import SLICE_BYTES, mixed, shared, slices, span_hashes, text_bytes
+from netsight.llm.common import mixed, shared, slices, span_hashes, text_bytes
 
 THRESHOLD = 30
 LONGEST = 4
@@ -32,7 +32,8 @@ FILTER_BITS = 1 << 27
 PART_MASS = 1 << 25
 FEWEST_PARTS = 64
 SLACK = 4
-BUFFER = 1 << 22
+BUFFER = 1 << 21
+SLICE_BYTES = 1 << 20
 HELD_ROWS = 1 << 19
 _UNKNOWN = 1 << 50  # Spark's estimate for what it knows nothing of is above this
 
@@ -157,7 +158,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words,
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         names, lang = batch.column("lang"), batch.column("lang_key").to_numpy().view(np.uint64)
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, SLICE_BYTES):
             if high - low > 1 or offsets[high] - offsets[low] <= SLICE_BYTES:
                 yield names.slice(low, high - low), Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]), lang[low:high]
                 continue
@@ -203,15 +204,15 @@ def _packets(docs: DataFrame, lengths: tuple[int, ...], passed: Broadcast | None
 
         def flush():
             keys, counts = counted(np.concatenate(held))
-            part = (keys >> shift).astype(np.int64)
-            new = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = np.append(new[1:], len(keys))
-            sums = np.concatenate([[0], np.cumsum(counts)])
-            raw, narrow = keys.tobytes(), counts.astype(np.uint32).tobytes()
+            held.clear()
+            cuts = np.append(np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << shift), len(keys))
+            full = np.flatnonzero(np.diff(cuts))
+            begins, ends = cuts[full], cuts[full + 1]
+            raw, narrow = memoryview(keys).cast("B"), memoryview(counts.astype(np.uint32)).cast("B")
             return pa.RecordBatch.from_pydict({
-                "part": pa.array(part[new].astype(np.int32)), "mass": pa.array(sums[ends] - sums[new]),
-                "keys": pa.array([raw[8 * a:8 * b] for a, b in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                "counts": pa.array([narrow[4 * a:4 * b] for a, b in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary())})
+                "part": pa.array(full.astype(np.int32)), "mass": pa.array(np.add.reduceat(counts, begins).astype(np.int64)),
+                "keys": pa.array([raw[8 * a:8 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                "counts": pa.array([narrow[4 * a:4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
         for _, words, lang in _scan(batches):
             for n in lengths:
@@ -220,7 +221,7 @@ def _packets(docs: DataFrame, lengths: tuple[int, ...], passed: Broadcast | None
                 size += len(first)
             if size > BUFFER:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if size:
             yield flush()
 
@@ -267,7 +268,7 @@ def survivors(packets: DataFrame, threshold: int, parts: int, filter_bits: int)
                     now, summary = part, Summary(capacity_)
                 held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
                 size += len(held[-1][0])
-                if size > max(summary.capacity, BUFFER // 16):
+                if size > max(summary.capacity, BUFFER // 8):
                     merge()
         if summary is not None:
             merge()
