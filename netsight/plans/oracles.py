@@ -27,8 +27,8 @@ _TE = _fill(D.EVENT_TRUTH).replace("{header}", "strftime(ts, '%b %d %H:%M:%S')")
 _ACCEPTED = f"""SELECT *, event_id AS line_id, line AS raw,
     event_ts + INTERVAL 3 SECOND AS received_at,
     CASE WHEN shape = 'no_header' THEN event_ts + INTERVAL 3 SECOND ELSE date_trunc('second', event_ts) END AS ts,
-    CASE pri WHEN 134 THEN 'local0' WHEN 13 THEN 'user' WHEN 30 THEN 'daemon' END AS facility,
-    CASE pri WHEN 134 THEN 'info' WHEN 13 THEN 'notice' WHEN 30 THEN 'info' END AS severity
+    CASE pri WHEN 166 THEN 'local4' WHEN 14 THEN 'user' WHEN 29 THEN 'daemon' END AS facility,
+    CASE pri WHEN 166 THEN 'info' WHEN 14 THEN 'info' WHEN 29 THEN 'notice' END AS severity
   FROM te WHERE shape IN ('ok', 'no_header')"""
 _HITS = """
   SELECT e.id AS event_id, i.id AS ioc_id, i.feed_id, i.feed_name, i.type, 'src' AS match_type,

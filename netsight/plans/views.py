@@ -13,6 +13,7 @@ is opened; a filtered page walks down from the newest files until it is full. A
 detection names the day of its event, so that the event is looked up in its day.
 """
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -126,8 +127,13 @@ def _newer(table: Table, after_id: int, limit: int) -> DataFrame:
 
 
 def _contains(text: str, *columns: Column) -> Column:
-    """Case-insensitive substring test; ``%`` and ``_`` in the text stay wildcards."""
-    return reduce(lambda a, b: a | b, [c.ilike(f"%{text}%") for c in columns])
+    """Case-insensitive substring test; ``%`` and ``_`` in the text stay wildcards.
+
+    A backslash makes the next character a plain one, as in the service's database; Spark takes
+    it before a wildcard or a backslash only.
+    """
+    pattern = re.sub(r"(?s)\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{text}%")
+    return reduce(lambda a, b: a | b, [c.ilike(pattern) for c in columns])
 
 
 def _day_of(now: Column) -> Column:

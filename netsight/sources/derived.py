@@ -37,41 +37,39 @@ def _hex(expr) -> str:
 # 198.51.100.7 is the destination of a third of all flows
 EVENT_TRUTH = f"""
 SELECT *,
-  CASE WHEN shape = 'no_header' THEN NULL WHEN event_type IN ('click', 'error') THEN 134
-       WHEN event_type = 'view' THEN 13 ELSE 30 END AS pri,
-  CASE WHEN shape = 'no_header' THEN NULL WHEN event_type = 'view' THEN 'GWPro' ELSE 'GW' END AS host,
-  CASE WHEN shape = 'no_header' AND event_type = 'view' THEN 'GWPro ' || body ELSE body END AS msg,
-  CASE event_type WHEN 'click' THEN 'br0' WHEN 'error' THEN 'eth2' WHEN 'view' THEN 'br99' END AS in_if,
-  CASE event_type WHEN 'click' THEN 'eth1' WHEN 'view' THEN 'eth8' END AS out_if,
+  CASE WHEN shape = 'no_header' THEN NULL WHEN event_type IN ('click', 'error') THEN 166
+       WHEN event_type = 'view' THEN 14 ELSE 29 END AS pri,
+  CASE WHEN shape = 'no_header' THEN NULL WHEN event_type = 'view' THEN 'core7' ELSE 'rt-02' END AS host,
+  CASE WHEN shape = 'no_header' AND event_type = 'view' THEN 'core7 ' || body ELSE body END AS msg,
+  CASE event_type WHEN 'click' THEN 'lan3' WHEN 'error' THEN 'wan1' WHEN 'view' THEN 'vlan40' END AS in_if,
+  CASE event_type WHEN 'click' THEN 'wan0' WHEN 'view' THEN 'wan6' END AS out_if,
   CASE event_type WHEN 'click' THEN 'TCP' WHEN 'error' THEN 'UDP' WHEN 'view' THEN 'ICMP' END AS proto,
-  CASE event_type WHEN 'click' THEN 1024 + event_id % 60000 WHEN 'error' THEN 5353 END AS src_port,
-  CASE event_type WHEN 'click' THEN 443 WHEN 'error' THEN 53 END AS dst_port,
+  CASE event_type WHEN 'click' THEN 1024 + event_id % 60000 WHEN 'error' THEN 1901 END AS src_port,
+  CASE event_type WHEN 'click' THEN 8443 WHEN 'error' THEN 1900 END AS dst_port,
   CASE WHEN shape = 'empty' THEN ''
-       WHEN event_type = 'view' AND shape = 'no_header' THEN 'GWPro ' || body
+       WHEN event_type = 'view' AND shape = 'no_header' THEN 'core7 ' || body
        WHEN shape = 'no_header' THEN tag_text || body
-       ELSE CASE WHEN event_type IN ('click', 'error') THEN '<134>'
-                 WHEN event_type = 'view' THEN '<13>' ELSE '<30>' END
+       ELSE CASE WHEN event_type IN ('click', 'error') THEN '<166>'
+                 WHEN event_type = 'view' THEN '<14>' ELSE '<29>' END
             || CASE shape WHEN 'error' THEN 'Foo' || substr(hdr, 4)
                           WHEN 'bad_timestamp' THEN substr(hdr, 1, 7) || '25' || substr(hdr, 10)
                           ELSE hdr END
-            || CASE WHEN event_type = 'view' THEN ' GWPro GWPro ' ELSE ' GW ' || tag_text END
+            || CASE WHEN event_type = 'view' THEN ' core7 core7 ' ELSE ' rt-02 ' || tag_text END
             || body END AS line
 FROM (
   SELECT *,
     CASE event_type
-      WHEN 'click' THEN '[1.5] [FW-ACCEPT] IN=br0 OUT=eth1 SRC=' || src_text || ' DST=' || dst_ip
-           || ' LEN=52 PROTO=TCP SPT=' || {_text("1024 + event_id % 60000")} || ' DPT=443 WINDOW=1'
-      WHEN 'error' THEN '[1.5] [FW-DROP] IN=eth2 OUT= MAC=01:00 SRC=' || src_text || ' DST=' || dst_ip
-           || ' PROTO=UDP SPT=5353 DPT=53 LEN=1'
-      WHEN 'view' THEN '[' || action || '] DESCR="a b" IN=br99 OUT=eth8 SRC=' || src_text || ' DST='
-           || dst_ip || ' PROTO=ICMP'
-      WHEN 'purchase' THEN 'query[A] ' || hostname || ' from ' || src_text
+      WHEN 'click' THEN 'seq 41 [web-ACCEPT-3] OUT=wan0 IN=lan3 PROTO=TCP DPT=8443 SPT=' || {_text("1024 + event_id % 60000")}
+           || ' DST=' || dst_ip || ' SRC=' || src_text || ' QUEUE=2'
+      WHEN 'error' THEN 'seq 42 [edge-DROP] OUT= IN=wan1 PROTO=UDP DPT=1900 SPT=1901 DST=' || dst_ip || ' SRC=' || src_text || ' HOPS=3'
+      WHEN 'view' THEN '[' || action || '] NOTE="lab, north" OUT=wan6 IN=vlan40 DST=' || dst_ip || ' PROTO=ICMP SRC=' || src_text
+      WHEN 'purchase' THEN 'query[AAAA] ' || hostname || ' from ' || src_text
       ELSE CASE event_id % 4
-           WHEN 0 THEN 'DHCPACK(br0) ' || src_text || ' aa:bb:cc:dd:ee:ff ' || hostname
-           WHEN 1 THEN 'wlan0: STA aa:bb:cc:dd:ee:ff associated'
-           WHEN 2 THEN 'peer up' ELSE 'mark ' || {_text("event_id")} END END AS body,
-    CASE WHEN event_type = 'error' AND event_id % 6 = 5 THEN 'aabbccddeeff,AP-6.8.2: kernel: '
-         WHEN tag = 'kernel' THEN 'kernel: ' WHEN tag IS NULL THEN '' ELSE tag || '[7]: ' END AS tag_text,
+           WHEN 0 THEN 'DHCPACK(lan3) ' || src_text || ' 02:5e:77:01:9c:34 ' || hostname
+           WHEN 1 THEN 'radio 2 has 4 stations'
+           WHEN 2 THEN 'session resumed' ELSE 'beat ' || {_text("event_id")} END END AS body,
+    CASE WHEN event_type = 'error' AND event_id % 6 = 5 THEN '02aa77c1,node-3: kernel: '
+         WHEN tag = 'kernel' THEN 'kernel: ' WHEN tag IS NULL THEN '' ELSE tag || '[311]: ' END AS tag_text,
     CASE WHEN event_type = 'signup' OR src_text = 'router.local' THEN NULL
          WHEN src_g IS NULL THEN src_text
          ELSE '2001:db8:0:' || {_hex("src_g")} || '::' || {_hex("src_h")} END AS src_ip
@@ -100,9 +98,9 @@ FROM (
            WHEN event_id % 3 = 1 THEN 3325231104 + 256 * (96 + event_id % 8) + 1 + event_id % 254
            ELSE 1677721600 + 65536 * (64 + {_div('user_id', 256)} % 64) + 256 * (user_id % 256)
                 + event_id % 256 END AS dst_n,
-      CASE event_type WHEN 'click' THEN 'FW-ACCEPT' WHEN 'error' THEN 'FW-DROP'
-           WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'DPIA-BLOCK'
-                            ELSE 'LAN_IN-A-' || {_text("event_id % 5")} END END AS action,
+      CASE event_type WHEN 'click' THEN 'web-ACCEPT-3' WHEN 'error' THEN 'edge-DROP'
+           WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'DPIA-hold'
+                            ELSE 'zone4.rule-' || {_text("event_id % 5")} END END AS action,
       CASE event_type WHEN 'click' THEN 'kernel' WHEN 'error' THEN 'kernel' WHEN 'purchase' THEN 'dnsmasq'
            WHEN 'signup' THEN CASE event_id % 4 WHEN 0 THEN 'dnsmasq-dhcp' WHEN 1 THEN 'hostapd'
                               WHEN 2 THEN 'pppd' ELSE 'syslog' END END AS tag,

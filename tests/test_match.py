@@ -55,6 +55,35 @@ def test_golden_rows(spark, one_pass):
     assert _hits(M.match_events(events, snapshot, one_pass=one_pass)) == EXPECTED
 
 
+def test_search_over_all_prefix_lengths_equals_probes(spark):
+    rng = random.Random(5)
+    nets = [f"2001:db8:{rng.getrandbits(16):x}::{rng.getrandbits(16):x}/{n}" for n in range(129) for _ in range(2)]
+    nets += [f"198.18.{rng.randrange(4)}.{rng.randrange(256)}/{n}" for n in range(33) for _ in range(3)]
+    rows = [(i, i % 3, "f", "cidr", v) for i, v in enumerate(nets)] + [(900, 1, "f", "ip", "198.18.1.1"), (901, 1, "f", "domain", "x.test")]
+    some = [str(ipaddress.ip_network(v, strict=False)[0]) for v in nets] + [f"198.18.{rng.randrange(4)}.{rng.randrange(256)}" for _ in range(60)]
+    events = spark.createDataFrame([(i, a, rng.choice(some), "a.x.test") for i, a in enumerate([*some, "203.0.113.9", "::1"])], EV)
+    indicators = spark.createDataFrame(rows, IND)
+    searched, probed = M.prepare_snapshot(indicators), M.prepare_snapshot(indicators, probed_lengths=200)
+    assert searched.nodes is not None and probed.nodes is None
+    hits = _hits(M.match_events(events, searched))
+    assert hits == _hits(M.match_events(events, probed)) and len(hits) > 1000
+    # look-ups for each address: 8 for 129 lengths, where probes take one for each
+    assert max(map(len, M.marker_lengths(list(range(129))).values())) <= 8
+    values = events.selectExpr("src_ip AS value", "'ip' AS match_type").distinct()
+    assert M.probe_keys(values, probed.prefix_lens).count() > 10 * 8 * values.filter("value LIKE '%:%'").count()
+
+
+def test_added_keys_give_what_a_full_match_adds(spark):
+    indicators, events = spark.createDataFrame(ROWS, IND), spark.createDataFrame(EVENTS, EV).withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    before = M.prepare_snapshot(indicators.filter("ioc_id % 3 <> 0"))
+    now = M.prepare_snapshot(indicators)
+    old = M.match_events(events, before)
+    fresh = M.retro_scan_added(M.stored_values(events), M.added_keys(now, before), old.limit(0), F.current_timestamp())
+    assert _hits(fresh) == EXPECTED - _hits(old) and _hits(old)
+    # an indicator that was active before has its detections already
+    assert _hits(M.retro_scan_added(M.stored_values(events), M.added_keys(now, before), M.match_events(events, now), F.current_timestamp())) == set()
+
+
 def test_reference_counts(spark):
     got = {r.type: r.n_refs for r in M.reference_counts(spark.createDataFrame(ROWS, IND)).collect()}
     assert got == {"ip": 4, "cidr": 4, "domain": 3, "url": 2}

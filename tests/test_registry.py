@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netsight.operators import registry as R
 from netsight.operators.feeds import parse_plain
+from netsight.operators import ids
 from netsight.operators.ids import assign_ids
 from netsight.schemas import FEEDS, IOCS, PARSER_CONFIG
 
@@ -69,6 +70,20 @@ def test_assign_ids_is_dense_and_ordered(spark):
     assert [r.id for r in rows] == list(range(101, 5101))
 
 
+def test_ids_of_many_ranges_are_dense_and_ordered(spark, monkeypatch):
+    monkeypatch.setattr(ids, "PART_ROWS", 300)
+    rows = spark.range(0, 4000, 1, 5).selectExpr("timestamp_seconds(id div 90) AS at", "CASE WHEN id % 11 = 0 THEN NULL ELSE 4000 - id END AS n", "CAST(id % 7 AS STRING) AS s")
+    stored = ids.written_once(rows, "test")
+    deal = ids.Deal.of(stored, ["at", "n", "s"])
+    assert len(deal.bounds) == 7 and min(deal.counts(stored)) > 100
+    got = ids.number_stored(stored, ["at", "n", "s"], 10).collect()
+    key = lambda r: (r["at"], r["n"] is not None, r["n"] or 0, r["s"])
+    assert [r["id"] for r in sorted(got, key=lambda r: (key(r), r["id"]))] == list(range(11, 4011))
+    kept = stored.filter("s <> '3'")
+    some = ids.with_ids(deal.ordered(stored).filter("s <> '3'"), deal.counts(kept)).collect()
+    assert sorted(r["id"] for r in some) == list(range(1, len(some) + 1)) and len(some) == kept.count()
+
+
 def test_seed_feeds(spark, feeds):
     got = _by(R.upsert_seed_feeds(feeds, R.seed_feeds(spark), now()))
     assert len(got) == 8

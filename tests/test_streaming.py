@@ -1,5 +1,6 @@
 """Live side: equal to the batch result, safe to replay, refreshed by new versions."""
 
+import json
 import time
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -65,8 +66,16 @@ def test_batches_replay_and_new_version(spark, store):
     assert ids == list(range(1, len(ids) + 1))
     state = store.before()
     assert (state["last_event_id"], state["version"], state["watermark"], state["errors"]) == (30, 2, 20, 5)
-    live = spark.read.parquet(f"{store.root}/live")
-    assert {r.kind: r["count"] for r in live.groupBy("kind").count().collect()} == {"event": 30, "detection": len(ids)}
+    live = store.table("live").all()
+    assert {r.kind: r["count"] for r in live.groupBy("kind").count().collect()} == {"event": 30, "detection": len(ids), "buckets": 24}
+    told = {r.kind: [json.loads(x.json) for x in live.filter((F.col("number") == 2) & (F.col("kind") == r.kind)).collect()]
+            for r in live.select("kind").distinct().collect()}
+    assert {b["bucket"]: b["n"] for b in told["buckets"] if b["n"]} == {"Firewall · DROP": 15, "DNS": 15, "_total": 30}
+    assert store.bucket_totals("2026-08-26")["_total"] == 30
+    # events come with their detections, detections of the rescan with fields of their old events
+    assert sum(e["det_count"] or 0 for e in told["event"]) == store.detections().filter("event_id > 20").count()
+    assert all(d["hostname"] or d["src_ip"] for d in told["detection"])
+    assert {d["hostname"] for d in told["detection"] if d["match_type"] == "host"} == {f"h{i}.evil.com" for i in range(1, 60, 4)}
 
 
 def test_a_fresh_checkpoint_on_a_filled_store_loses_nothing(spark, store, tmp_path):
@@ -150,6 +159,51 @@ def test_very_late_lines_count(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "h")).collect()) == [0, 1, 2, 3]
 
 
+def test_counts_without_state_take_lines_of_any_age(spark, tmp_path):
+    line = "<134>Aug %02d 06:00:00 GW kernel: [1.5] [FW-DROP] IN=a OUT=b SRC=10.0.0.3 DST=1.1.1.1 PROTO=TCP"
+    batches = [spark.createDataFrame([(i, datetime(2026, 8, d, 6), line % d) for i in range(3)], SYSLOG_LINES).coalesce(1) for d in (26, 27, 1, 28, 2, 26)]
+    daily = jobs.RunningCounts(spark, str(tmp_path / "d"), "day date, bucket string", merge_files=4)
+    rate = jobs.RunningCounts(spark, str(tmp_path / "r"), "window_end timestamp", merge_files=4)
+    held = []
+    for n in range(36):
+        daily.add(jobs.day_bucket_rows(batches[n % 6]), n)
+        daily.add(jobs.day_bucket_rows(batches[n % 6]), n)  # a replay adds nothing
+        held.append((len(daily.table.files()), len(list(Path(daily.log.folder).iterdir()))))
+    # what a batch opens does not grow with the batches before it
+    assert max(files for files, _ in held) <= 8 and max(names for _, names in held) <= 80
+    assert sorted((r.day.day, r.n) for r in daily.now().collect()) == [(1, 18), (2, 18), (26, 36), (27, 18), (28, 18)]
+    again = jobs.RunningCounts(spark, str(tmp_path / "d"), "day date, bucket string")  # another process reads the log
+    assert sum(r.n for r in again.now().collect()) == 108 and again.log.version().number == daily.log.version().number
+    rate.add(jobs.arrival_window_rows(batches[0]), 0)
+    assert sum(r.n for r in rate.now().collect()) == 18
+
+
+def test_resent_lines_are_stored_once_at_any_distance(spark, tmp_path):
+    snapshot = prepare_snapshot(active_indicators(*_tables(spark, ("ip", "10.0.0.3"), ("cidr", "1.1.1.0/24"))))
+    kept = jobs.ResentDetections(spark, str(tmp_path / "hits"), snapshot, F.col("line_id"), merge_files=3)
+    for n, (low, high) in enumerate(((0, 20), (20, 40), (40, 60), (0, 20), (10, 50), (60, 64))):
+        kept.add(_lines(spark, low, high), n)
+    events = accepted(parse_lines(_lines(spark, 0, 64))).withColumnRenamed("line_id", "id")
+    assert _keys(kept.now()) == _keys(match_events(events, snapshot))
+
+
+def test_batches_are_merged_and_unfinished_ones_repeated(spark, tmp_path):
+    store = jobs.LiveStore(spark, str(tmp_path / "live"), str(tmp_path / "versions"), merge_files=3)
+    for n in range(4):
+        jobs.ingest_batch(_lines(spark, 8 * n, 8 * n + 8), n, store)
+    assert len(store.table("events").files()) < 4 and store.events().count() == 16
+    assert sorted(r.id for r in store.events().select("id").collect()) == list(range(1, 17))
+    # a batch that wrote its files and died before its commit
+    fresh = jobs.LiveStore(spark, store.root, store.versions, merge_files=99)
+    commit, fresh.logs["log"] = None, jobs.CommitLog(spark, store.root)
+    fresh.log.commit = lambda *a, **b: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError, match="lost"):
+        jobs.ingest_batch(_lines(spark, 32, 40), 4, fresh)
+    assert store.events().count() == 16 and commit is None
+    jobs.ingest_batch(_lines(spark, 32, 40), 4, store)
+    assert sorted(r.id for r in store.events().select("id").collect()) == list(range(1, 21))
+
+
 def test_inline_detections_drop_resent_lines(spark, tmp_path):
     path = str(tmp_path / "landed")
     df = _lines(spark, 0, 40)

@@ -10,6 +10,7 @@ from netsight.constants import BUCKETS
 from netsight.functions.buckets import age_text, bucket_of, percent_share, ticker_label
 from netsight.plans import views
 from netsight.plans.stored import stored
+from netsight.sources import trigrams
 from netsight.sources.storage import json_rows, read_payload_files, read_syslog_files
 
 SF = "/root/testdata/sf0.001"
@@ -73,6 +74,40 @@ def test_a_page_reads_its_own_days_and_ids(spark):
     assert "TakeOrderedAndProject" in _plan(narrow) and "msg" not in _plan(narrow)
 
 
+def test_pages_open_the_files_that_can_hold_them(spark):
+    t = stored(spark, SF)
+    every = len(t.event_log.files())
+    page = views.browse_events(t.event_log, t.detection_log, limit=50)
+    opened = {f for f in page.inputFiles() if "event_date" in f}
+    assert 0 < len(opened) <= max(2, every // 4)
+    assert [r.id for r in page.select("id").collect()] == [r.id for r in views.browse_events(t.events, t.detections, limit=50).select("id").collect()]
+    low, total = 40, t.events.count()
+    newest, bound = t.event_log.newest(low)
+    assert t.event_log.read(newest).filter(F.col("id") >= bound).count() >= low and bound <= total - low + 1
+    for df in (views.browse_detections(t.detection_log, t.event_log, t.iocs, limit=20), views.detections_since(t.detection_log, t.event_log, 30)):
+        assert "PartitionFilters: [event_date" in _plan(df) or "event_date" in _plan(df)
+        assert len({f for f in df.inputFiles() if "event_date" in f}) < every
+
+
+@pytest.mark.parametrize("q", ["10.0.0.1_/32", "ALPHA.example", "%%", "ab", "no such text", "h1", "accept", "é", "dns\\x", "wan0%lan3"])
+def test_search_by_trigrams_equals_the_scan(spark, q):
+    t = stored(spark, SF)
+    ids = lambda df: [r.id for r in df.select("id").collect()]
+    for more in ({}, {"flows_only": True, "limit": 7, "offset": 3}):
+        assert ids(views.browse_events(t.event_log, t.detection_log, q=q, terms=t.event_terms, **more)) == ids(
+            views.browse_events(t.events, t.detections, q=q, **more))
+
+
+def test_a_rare_text_is_looked_up_in_few_blocks(spark, tmp_path):
+    rows = [(i, f"common words here {'needle42' if i == 20_500 else i % 7}", None, None, None) for i in range(1, 40_001)]
+    events = spark.createDataFrame(rows, "id long, raw string, src_ip string, dst_ip string, hostname string")
+    trigrams.write_postings(events, str(tmp_path / "terms"))
+    terms = spark.read.schema(trigrams.POSTINGS).parquet(str(tmp_path / "terms"))
+    assert [r.block for r in trigrams.blocks_with(terms, trigrams.trigrams_of("Needle4")).collect()] == [20_500 // trigrams.BLOCK]
+    assert trigrams.BLOCK < 0.05 * len(rows)
+    assert trigrams.trigrams_of("a%b_c") is None and trigrams.trigrams_of("ab%cde") == ["cde"]
+
+
 def test_windowed_counters_open_the_days_of_their_window(spark):
     t = stored(spark, SF)
     now = F.lit("2024-01-30 12:00:00").cast("timestamp")
