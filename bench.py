@@ -22,7 +22,7 @@ from netsight.sources import derived, storage
 
 HEADLINE = [
     "ioc_snapshot", "detections_all", "detections_all_one_pass", "match_ip_exact", "match_cidr",
-    "match_domain_suffix", "match_url_host", "retro_scan_full", "detections_insert_new", "ioc_upsert",
+    "match_domain_suffix", "match_url_host", "retro_scan_full", "retro_scan_delta", "detections_insert_new", "ioc_upsert",
     "feed_plain", "feed_csv", "feed_stix", "feed_sweep_summary", "stats", "events_browse", "events_search",
     "detections_browse", "bucket_totals", "bucket_totals_daily", "events_per_minute", "live_snapshot",
 ]

@@ -11,7 +11,7 @@ from netsight.session import written_once
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 SAMPLES = 60
-PART_ROWS = 20_000
+PART_ROWS = 4_000
 
 
 def _comparable(df: DataFrame, order: list[str]) -> Column:
