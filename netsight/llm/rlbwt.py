@@ -1,18 +1,22 @@
 """Suffix-array deduplication with a run-length compressed Burrows-Wheeler index.
 
-``RunIndex`` sorts the suffixes of a block of text, keeps the transform as runs, and samples the
-suffix order at run starts and run ends alone. Longest matches with the suffix before (behind)
-are measured at the run starts (ends); from there they stream on through the text, since within
-a run each is one less than its predecessor's. A place whose longest match reaches the window's
-length starts a repeated window.
+``RunIndex`` keeps the transform of a block of text as runs, with the suffixes at run starts and
+run ends alone; the suffix order itself is dropped once the runs are made. The last suffix of one
+run and the first of the next are neighbours in it, so their common length is measured in the text,
+and from these samples the longest matches stream on through the text, since within a run each is
+one less than its predecessor's. A place whose longest match reaches the window's length starts a
+repeated window.
 
 The blocks come from the corpus by content (``zones``): equal windows of any two texts belong to
 zones of one group, and a group's zones are indexed together. An equal zone is shipped once,
-whatever the number of its copies; it stands in the block twice if there is more than one. A
-group with more than ``KINDS`` different zones is cut further, by the bytes that all windows of a
-cell have in common, so that a passage in a third of all texts is spread by its surroundings.
-A cell with more than ``KINDS`` pieces, like those over the ends of such a passage, is cut into
-its windows: equal windows are counted, before and after the shuffle, and indexed no further.
+whatever the number of its copies, and all windows of a zone with copies are repeated; a group
+with no other zone has nothing to be matched with, so it is not shipped at all. A group with more
+than ``KINDS`` different zones is cut further, by the bytes that all windows of a cell have in
+common, so that a passage in a third of all texts is spread by its surroundings. A cell with more
+than ``KINDS`` pieces, like those over the ends of such a passage, has no bounded block: it is cut
+into its windows, and equal windows are counted, before and after the shuffle.
+
+What is shipped is written once, and the cells are counted in that table.
 """
 
 from __future__ import annotations
@@ -35,81 +39,87 @@ CELL = 16
 BLOCK_BYTES = 256 << 10
 
 
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """The places of the suffixes in order, by prefix doubling among those that still tie."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for i in range(5):
+        key = (key << np.uint64(8)) | padded[i:i + n]
+    bits, depth = np.uint64(max(1, n.bit_length())), 5
+    # The rank of a suffix is the first row of those that tie with it; past the end it is 0.
+    order, ranks, rows = np.arange(n), np.zeros(n + 1, np.uint64), np.arange(n)
+    while len(rows):
+        at, width = order[rows], 40 if depth == 5 else 2 * int(bits)
+        key = key if depth == 5 else (ranks[at] << bits) | ranks[np.minimum(at + depth // 2, n)]
+        if width + int(bits) <= 64:
+            packed = np.sort((key << bits) | np.arange(len(at), dtype=np.uint64))
+            at = at[(packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+            packed >>= bits
+        else:
+            by = np.argsort(key, kind="stable")
+            at, packed = at[by], key[by]
+        order[rows] = at
+        first = np.concatenate([[True], packed[1:] != packed[:-1]])
+        ranks[at] = (rows[first][np.cumsum(first) - 1] + 1).astype(np.uint64)
+        rows = rows[~(first & np.append(first[1:], True))]
+        depth *= 2
+    return order
+
+
 class RunIndex:
-    """Matching statistics of a text against itself, from the runs of its transform.
+    """A text's Burrows-Wheeler transform as runs, with the suffixes at their first and last rows.
 
-    The text must end in a symbol of its own.
+    The suffix order is dropped once the runs are made; the samples of two runs side by side are
+    each other's neighbours in it. The text must end in a symbol of its own.
     """
 
     def __init__(self, text: np.ndarray):
-        n = len(text)
-        padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
-        for i in range(5):
-            key = (key << np.uint64(8)) | padded[i:i + n]
-        self.ranks, self.depths, depth = [], [], 5
-        places, one, bits = np.arange(n, dtype=np.uint64), np.uint64(1), np.uint64(n.bit_length())
-        while True:
-            if (40 if depth == 5 else 2 * int(bits)) + int(bits) <= 64:
-                packed = np.sort((key << bits) | places)
-                order = (packed & ((one << bits) - one)).astype(np.int64)
-                packed >>= bits
-            else:
-                order = np.argsort(key, kind="stable")
-                packed = key[order]
-            ranks = np.zeros(n + 1, np.uint64)
-            ranks[order] = np.cumsum(np.concatenate([[1], packed[1:] != packed[:-1]])).astype(np.uint64)
-            self.ranks.append(ranks)
-            self.depths.append(depth)
-            if ranks.max() == n:
-                break
-            ahead = np.zeros(n, np.uint64)
-            ahead[:max(0, n - depth)] = ranks[depth:n]
-            key, depth = (ranks[:n] << bits) | ahead, 2 * depth
-        self.order, self.n = order, n
-        self.text = np.concatenate([text, np.array([0xFC, 0xFD], np.uint8)])
+        self.n, order = len(text), suffix_order(text)
+        self.text = np.concatenate([text, np.zeros(16, np.uint8)])
         symbols = text[order - 1].astype(np.int16)
         symbols[order == 0] = -1
         starts = np.flatnonzero(np.diff(symbols, prepend=-2) != 0)
-        #: The transform as runs: symbols and lengths, with the suffixes at their first and last rows.
-        self.run_symbols, self.run_lengths = symbols[starts], np.diff(np.append(starts, n))
-        self.starts, self.ends = starts, np.append(starts[1:], n) - 1
+        self.run_symbols, self.run_lengths = symbols[starts], np.diff(np.append(starts, self.n))
+        self.first, self.last = order[starts], order[np.append(starts[1:], self.n) - 1]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many symbols the suffixes at ``a`` and ``b`` share."""
-        a, b, total = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        for ranks, depth in zip(reversed(self.ranks), reversed(self.depths), strict=True):
-            same = ranks[a] == ranks[b]
-            total[same] += depth
-            a[same], b[same] = a[same] + depth, b[same] + depth
-        for _ in range(self.depths[0] - 1):
-            same = self.text[a] == self.text[b]
-            total += same
-            a, b = np.where(same, a + 1, self.n), np.where(same, b + 1, self.n + 1)
+        """How many symbols the different suffixes at ``a`` and ``b`` share, eight at a time."""
+        words = np.ndarray(self.n + 8, "<u8", self.text, strides=(1,))
+        total, left = np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(left):
+            odd = words[a] ^ words[b]
+            same = odd == 0
+            # The lowest bit that differs lies in the first byte that does.
+            lowest = odd & (~odd + np.uint64(1))
+            total[left] += np.where(same, 8, np.bitwise_count(lowest - np.uint64(1)) >> 3)
+            left, a, b = left[same], a[same] + 8, b[same] + 8
         return total
 
     def matches(self) -> np.ndarray:
-        """For every place, the length of its longest match that starts at another place."""
-        best = np.zeros(self.n, np.int64)
-        for rows, step in ((self.starts[1:], -1), (self.ends[:-1], 1)):
-            at, reach = self.order[rows], np.zeros(self.n, np.int64)
-            reach[at] = self.common(at, self.order[rows + step]) + at
-            edge = self.order[0 if step < 0 else self.n - 1]
-            reach[edge] = max(reach[edge], edge)
+        """For every place, the length of its longest match that starts at another place.
+
+        A run's first suffix is measured against the last of the run before, which holds for both;
+        from a sample the match streams on, a symbol shorter with each place, to the next longer one.
+        """
+        a, b = self.first[1:], self.last[:-1]
+        length, best = self.common(a, b), np.zeros(self.n, np.int64)
+        for at in (a, b):
+            reach = np.zeros(self.n, np.int64)
+            np.maximum.at(reach, at, length + at)
             best = np.maximum(best, np.maximum.accumulate(reach) - np.arange(self.n))
         return best
 
 
 def repeated_starts(pieces: list[bytes], copies: list[int], window: int) -> list[np.ndarray]:
     """For each piece, which window starts are repeated within the block (or in its own copies)."""
-    doubled = [p for p, n in zip(pieces, copies, strict=True) for _ in range(min(n, 2))]
     # No text holds 0xFF, so a window neither reaches past its piece nor starts in a border.
-    text = b"".join(p + b"\xff" + i.to_bytes(4, "big") + b"\xff" for i, p in enumerate(doubled)) + b"\xfe"
+    text = b"".join(p + b"\xff" + i.to_bytes(4, "big") + b"\xff" for i, p in enumerate(pieces)) + b"\xfe"
     best = RunIndex(np.frombuffer(text, np.uint8)).matches()
     out, at = [], 0
     for piece, n in zip(pieces, copies, strict=True):
-        out.append(best[at:at + max(0, len(piece) - window + 1)] >= window)
-        at += min(n, 2) * (len(piece) + 6)
+        out.append((best[at:at + max(0, len(piece) - window + 1)] >= window) | (n > 1))
+        at += len(piece) + 6
     return out
 
 
@@ -128,15 +138,15 @@ def held(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
 def window_marks(pieces: DataFrame, window: int) -> DataFrame:
     """Repeated window starts of ``pieces`` without an index, by counts of equal pieces and windows.
 
-    All windows of a repeated piece are repeated. Different pieces are cut, and equal windows are
+    All windows of a repeated piece are repeated; those of zones with copies are marked elsewhere. Different pieces are cut, and equal windows are
     one row with their count, told apart by 128 bits. Equal windows have one route, so none has
     a copy elsewhere.
     """
     keys = ["route", "pa", "pb"]
-    pieces = shared(pieces.withColumns({"pa": F.xxhash64("bytes"), "pb": F.xxhash64(F.lit(1), "bytes", F.octet_length("bytes"))}), "pieces")
+    pieces = pieces.withColumns({"pa": F.xxhash64("bytes"), "pb": F.xxhash64(F.lit(1), "bytes", F.octet_length("bytes"))})
     kinds = shared(pieces.groupBy(*keys).agg(F.sum("n").alias("times"), F.min(F.struct("group", "content", "skip")).alias("at"),
                                              F.min("bytes").alias("bytes")), "kinds")
-    whole = held(pieces.select(*keys, "group", "content", "skip", F.octet_length("bytes").alias("size")),
+    whole = held(pieces.where("n = 1").select(*keys, "group", "content", "skip", F.octet_length("bytes").alias("size")),
                  kinds.where("times > 1").select(*keys, "times"), *keys)
     whole = whole.select("group", "content", F.array("skip").alias("starts"), F.array(F.col("skip") + F.col("size") - (window - 1)).alias("ends"))
 
@@ -168,18 +178,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     """
     found = shared(corpus_zones(docs, window, gram), "zones")
     distinct = keyed(docs).groupBy("ka", "kb").agg(F.min("text").alias("text"))
-    kinds = found.groupBy("group", "content").agg(
-        F.min(F.struct("ka", "kb", "low", "high", "anchor")).alias("at"), F.sum("n").alias("n"))
-    large = shared(kinds.groupBy("group").agg(F.count("*").alias("kinds")).where(F.col("kinds") > KINDS).select("group", F.lit(True).alias("large")), "large")
-    wanted = kinds.join(large, "group", "left").select("at.ka", "at.kb", F.struct(
-        "group", "content", "at.low", "at.high", "at.anchor", "n", F.coalesce("large", F.lit(False)).alias("large")).alias("zone"))
+    kinds = shared(found.groupBy("group", "content").agg(
+        F.min(F.struct("ka", "kb", "low", "high", "anchor")).alias("at"), F.sum("n").alias("n")), "kinds")
+    groups = kinds.groupBy("group").agg(F.count("*").alias("kinds")).where("kinds > 1").select("group", (F.col("kinds") > KINDS).alias("large"))
+    zone = F.struct("group", "content", "at.low", "at.high", "at.anchor", "n", "large")
+    wanted = kinds.join(groups, "group").groupBy("at.ka", "at.kb").agg(F.collect_list(zone).alias("zones"))
 
     def ship(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             raw, bounds = data.tobytes(), offsets.tolist()
             for lo in range(0, batch.num_rows, 500):
-                out = {"route": [], "group": [], "content": [], "n": [], "skip": [], "bytes": []}
+                out = {"route": [], "group": [], "content": [], "n": [], "skip": [], "bytes": [], "cell": []}
                 for i in range(lo, min(lo + 500, batch.num_rows)):
                     a, b = bounds[i], bounds[i + 1]
                     values = None
@@ -196,9 +206,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
                             key = mixed(core ^ mixed((np.uint64(z["group"] & (2**64 - 1)) + cells.astype(np.uint64)).copy())).view(np.int64)
                             parts = [(k, max(z["low"], s), min(z["high"], s + CELL - 1)) for k, s in zip(key.tolist(), base.tolist(), strict=True)]
                         for route, low, high in parts:
-                            for name, value in (("route", route), ("group", z["group"]), ("content", z["content"]), ("n", z["n"]), ("skip", low - z["low"]), ("bytes", raw[a + low:a + high + window])):
+                            for name, value in (("route", route), ("group", z["group"]), ("content", z["content"]), ("n", z["n"]), ("skip", low - z["low"]), ("bytes", raw[a + low:a + high + window]), ("cell", z["large"])):
                                 out[name].append(value)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, {"bytes": pa.binary(), "skip": pa.int32()}.get(k, pa.int64())) for k, v in out.items()})
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, {"bytes": pa.binary(), "skip": pa.int32(), "cell": pa.bool_()}.get(k, pa.int64())) for k, v in out.items()})
 
     def index(batches):
         block, size, route = {}, 0, None
@@ -212,9 +222,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
             for piece, flags in zip(pieces, marks, strict=True):
                 if flags.any():
                     s, e = runs(flags)
-                    for group, content, _, skip in block[piece]:
-                        for name, value in (("group", group), ("content", content), ("skip", skip), ("starts", s + skip), ("ends", e + skip)):
-                            out[name].append(value)
+                    for group, content, n, skip in block[piece]:
+                        if n == 1:
+                            for name, value in (("group", group), ("content", content), ("skip", skip), ("starts", s + skip), ("ends", e + skip)):
+                                out[name].append(value)
             return pa.RecordBatch.from_pydict({k: pa.array(v, pa.list_(pa.int32()) if k in ("starts", "ends") else pa.int32() if k == "skip" else pa.int64()) for k, v in out.items()})
 
         for batch in batches:
@@ -226,22 +237,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
                 route = now
                 if raw not in block:
                     block[raw] = []
-                    size += 2 * len(raw) + 10
+                    size += len(raw) + 6
                 block[raw].append((group, content, n, skip))
         if (made := flush()) is not None:
             yield made
 
-    def shipped(zones_: DataFrame) -> DataFrame:
-        by_text = zones_.groupBy("ka", "kb").agg(F.collect_list("zone").alias("zones"))
-        return distinct.join(by_text, ["ka", "kb"]).select("text", "zones").mapInArrow(
-            ship, "route long, group long, content long, n long, skip int, bytes binary")
-
-    of_cells = shipped(wanted.where("zone.large"))
-    crowded = shared(crowded_routes(of_cells), "crowded")
-    marks = (shipped(wanted).join(crowded, "route", "left_anti").repartition("route").sortWithinPartitions("route").mapInArrow(
+    pieces = shared(distinct.join(wanted, ["ka", "kb"]).select("text", "zones").mapInArrow(
+        ship, "route long, group long, content long, n long, skip int, bytes binary, cell boolean"), "pieces")
+    crowded = shared(crowded_routes(pieces.where("cell")), "crowded")
+    marks = (pieces.drop("cell").join(crowded, "route", "left_anti").repartition("route").sortWithinPartitions("route").mapInArrow(
         index, "group long, content long, skip int, starts array<int>, ends array<int>"))
     if not crowded.isEmpty():
-        marks = marks.union(window_marks(of_cells.join(crowded, "route", "left_semi"), window))
+        marks = marks.union(window_marks(pieces.where("cell").drop("cell").join(crowded, "route", "left_semi"), window))
+    copied = kinds.where("n > 1").select("group", "content", F.lit(0).alias("skip"), F.array(F.lit(0)).alias("starts"),
+                                         F.array(F.col("at.high") - F.col("at.low") + 1).alias("ends"))
+    marks = copied.union(marks)
     add = lambda name: F.transform(name, lambda x: x + F.col("low"))
     starts = (found.select("group", "content", "ka", "kb", "low").join(marks, ["group", "content"])
               .select("ka", "kb", add("starts").alias("starts"), add("ends").alias("ends"))
