@@ -50,6 +50,21 @@ def test_chunked_encoding_is_exact(spark, hard_docs, mean):
     assert all(bytes(r["decoded"]).decode() == lib.decode(np.frombuffer(r["ids"], "<u2").tolist(), skip_special_tokens=False) for r in full)
 
 
+def test_joins_of_chunks_encoded_as_cut_are_repaired(hard_docs):
+    store, lib, differ = chunk_bpe.Chunks(Encoder(PATHS["bytes"])), library("bytes"), 0
+    found = [*bodies(hard_docs), "internationalisation of unseparated" * 40, "word  \n\n of " * 60, "\u00e9t\u00e9 \u65e5\u672c" * 80]
+    raws = [t.encode() for t in found]
+    data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    made = store.encode(data, offsets, 16)
+    for text, raw, low, (ids, decoded) in zip(found, raws, offsets.tolist(), made, strict=False):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u2").tolist() == want and decoded.decode() == lib.decode(want, skip_special_tokens=False)
+        cuts = [0, *(store.cuts(data, offsets, 16) - low).tolist(), len(raw)]
+        parts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if 0 <= a < b <= len(raw)]
+        differ += [i for c in store.coded(parts) for i in c.ids.tolist()] != want
+    assert differ > 3
+
+
 def test_empty_tables(no_docs):
     assert packing.pack_documents(no_docs, PATHS["words"]).count() == 0
     assert chunk_bpe.digests(no_docs, PATHS["bytes"]).count() == 0
