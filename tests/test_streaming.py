@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from netsight.operators import registry
+from netsight.operators.ids import with_ids
 from netsight.operators.ingest import accepted, ingest_counters, parse_lines
 from netsight.operators.match import active_indicators, match_events, prepare_snapshot
 from netsight.schemas import FEEDS, IOCS, SYSLOG_LINES
+from netsight.sources import derived
 from netsight.sources.storage import append_events, events_table
 from netsight.streaming import jobs
 
@@ -235,3 +237,18 @@ def test_inline_detections_drop_resent_lines(spark, tmp_path):
 def test_kafka_shape(spark):
     df = spark.createDataFrame([(bytearray(b"a \xff"), T0)], "value binary, timestamp timestamp")
     assert tuple(jobs.kafka_lines(df).first()) == ("a �", T0)
+
+
+def test_lines_of_one_row_group_are_parsed_on_all_cores(spark, tmp_path):
+    rows = [(i, f"user {i}", T0 + timedelta(seconds=i), "click") for i in range(40)]
+    frame = spark.createDataFrame([(i, i % 5, t, kind) for i, _, t, kind in rows], "event_id bigint, user_id bigint, ts timestamp, event_type string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    lines = derived.syslog_lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == cores > 1
+    got = append_events(lines, f"{tmp_path}/stored")
+    stored = [(r["id"], r["raw"]) for r in spark.read.parquet(f"{tmp_path}/stored").orderBy("id").collect()]
+    wanted = [r["raw"] for r in accepted(parse_lines(lines)).orderBy("received_at", "line_id").collect()]
+    assert stored == list(enumerate(wanted, 1)) and got["stored"] == len(wanted)
+    plan = with_ids(lines, [40] * cores)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Join" not in plan
