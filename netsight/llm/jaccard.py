@@ -1,6 +1,8 @@
 """Near-duplicates by the Jaccard similarity of their sets of word shingles.
 
-Banded minima propose pairs and exact sets decide. ``BANDS`` keys of ``ROWS`` minima each miss a
+Pairs are proposed twice and exact sets decide. First come the SimHash fingerprints of the sets, of
+which the Gray index of ``simhash`` links those at four or fewer differing bits. Texts at 0.8 may
+differ in 13 bits, so banded minima propose what is left: ``BANDS`` keys of ``ROWS`` minima each miss a
 pair of similarity 0.8 with probability (1 - 0.8^4)^32, about 5 in 10^8, and fewer above it.
 Equal sets are one node. First every node is held against the smallest of each of its buckets,
 which settles groups of near copies with few pairs. Buckets that still hold different components
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from netsight.llm.common import map_texts, mixed, odd_numbers, shared, window_hashes, word_hashes
 from netsight.llm.components import components
-from netsight.llm.simhash import keep_one
+from netsight.llm.simhash import keep_one, most_bits
+from netsight.llm.simhash import links as gray_links
 from netsight.llm.zones import keyed
 
 SHINGLE = 5
@@ -59,16 +62,17 @@ def node_of(own: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, ka, kb, node, n, bands): node stands for the text's set of ``n`` shingles."""
+    """(doc_id, ka, kb, node, n, fp, bands): node stands for the text's set of ``n`` shingles, fp is its SimHash."""
 
     def work(rows, data, offsets):
         sets = shingle_sets(data, offsets, shingle)
         return {**{c: rows.column(c) for c in ("doc_id", "ka", "kb")},
                 "node": pa.array([node_of(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
+                "fp": pa.array(np.array([most_bits(s) for s in sets], np.uint64).view(np.int64)),
                 "bands": pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
-    return map_texts(keyed(docs), "text", "doc_id long, ka long, kb long, node long, n long, bands array<long>", work)
+    return map_texts(keyed(docs), "text", "doc_id long, ka long, kb long, node long, n long, fp long, bands array<long>", work)
 
 
 def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -98,6 +102,15 @@ def cross_links(nodes: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) ->
     return out
 
 
+def gray_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the Gray index proposes for ``nodes`` (node, fp); nodes of one fingerprint meet its smallest."""
+    first = shared(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    named = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}"))
+    linked = gray_links(first.select("fp")).join(named("a"), "a").join(named("b"), "b").select("of_a", "of_b")
+    equal = nodes.join(first, "fp").where("node <> first").select("first", "node")
+    return linked.union(equal).select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between the nodes of ``prints`` that give the components of all similar pairs."""
     nodes = prints.where("n > 0").groupBy("node").agg(
@@ -105,7 +118,10 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE) -> DataFra
     rows = nodes.select("node", "n", "at", F.explode("bands").alias("key"))
     least = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("held")).where("held > 1")
     met = shared(rows.join(least, "key").select("key", "node", "n", "at", "least"), "buckets")
-    asked = met.select("at.ka", "at.kb").distinct()
+    own = shared(prints.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("ka", "kb")).alias("at")), "nodes")
+    gray = shared(gray_pairs(own.select("node", "fp")), "gray")
+    paired = own.join(gray.select("a").union(gray.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi")
+    asked = met.select("at.ka", "at.kb").union(paired.select("at.ka", "at.kb")).distinct()
     found = keyed(docs).select("ka", "kb", "text").join(asked, ["ka", "kb"], "left_semi").groupBy("ka", "kb").agg(F.min("text").alias("text"))
 
     def ship(_, data, offsets):
@@ -123,7 +139,7 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE) -> DataFra
                 keep.append(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    stars = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    stars = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).union(gray).distinct()
     near = shared(stars.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
                   .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
                   .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "stars")

@@ -48,7 +48,12 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     starts = (ends + 1 - lengths).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1:].tolist(), strict=False)], "<u8")
-    planes = h.view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(8) * 256
+    return most_bits(h)
+
+
+def most_bits(h: np.ndarray) -> int:
+    """The bits that are set in over half of the numbers."""
+    planes = h.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(8) * 256
     counts = np.bincount(planes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").tobytes(), "little")
 

@@ -267,3 +267,23 @@ def test_empty_tables(no_docs):
     assert rlbwt.dedup(no_docs).count() == 0
     assert rlbwt.cut_repeats(no_docs).count() == 0
     assert doubling.dedup(no_docs).count() == 0
+
+
+def test_near_copies_are_proposed_by_their_simhash(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    rows = [(i, " ".join([*base[:399], f"last{i}"])) for i in range(6)]
+    rows += [(100 + i, " ".join(f"x{j}" for j in rng.integers(0, 5000, 400))) for i in range(20)] + [(200, ""), (201, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = jaccard.signatures(docs).collect()
+    sets = {r["doc_id"]: jaccard.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+            for r in prints for t in [dict(rows)[r["doc_id"]]]}
+    for r in prints:
+        own = [int(h) for h in sets[r["doc_id"]]]
+        assert r["fp"] % 2**64 == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in own) * 2 > len(own))
+    nodes = spark.createDataFrame([(r["node"], r["fp"]) for r in prints if r["n"]] + [(-7, prints[0]["fp"])], "node long, fp long")
+    pairs = {(r["a"], r["b"]) for r in jaccard.gray_pairs(nodes).collect()}
+    near = {r["node"] for r in prints if r["doc_id"] < 6} | {-7}
+    together = components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()
+    assert {n for p in pairs for n in p} == near and len({r["root"] for r in together}) == 1
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == [0, *range(100, 120), 200, 201]
