@@ -37,6 +37,33 @@ def test_toxicity_of_hard_rows(spark, hard_docs, no_docs):
     assert toxicity.accepted(no_docs, model).count() == 0
 
 
+def test_toxicity_learns_from_long_texts_and_counts_every_row(spark):
+    words = lambda i, n, bad: " ".join("vile" if bad and j % 700 == 650 else f"w{(i * 31 + j * 17) % 199}" for j in range(n))
+    rows = [(i, words(i, 4300, i % 2), "en", i % 2) for i in range(90)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(4, "doc_id")
+    labels = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    probe = spark.createDataFrame([(1000, words(5, 4300, 1), "en"), (1001, words(7, 4300, 0), "en")], docs.schema)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(probe, toxicity.fit(docs, labels)).collect()}
+    assert got[1000] > 0.5 > got[1001]
+    known, counts = toxicity.labelled(docs, labels)
+    model, seen = toxicity.Model.new(), np.zeros(toxicity.ROWS + 1, np.float32)
+    for _ in range(2):
+        model, seen = toxicity.learnt(known.select("text", "toxic"), model, seen, toxicity.class_weights(counts), 8, 3)
+    counted = toxicity.outputs_counted(known, model).collect()
+    assert sum(r["n"] for r in counted) == sum(counts.values()) == known.count()
+    assert min(r["z"] for r in counted if r["toxic"]) > max(r["z"] for r in counted if not r["toxic"])
+
+
+def test_largest_answers_do_not_depend_on_how_texts_are_cut(monkeypatch):
+    rng, model = np.random.default_rng(4), toxicity.Model.new()
+    rows, places = rng.integers(0, toxicity.ROWS, (400, toxicity.PER_WORD)).astype(np.int32), np.array([0, 0, 1, 150, 151, 153, 400])
+    best, near = model.tops(rows, places)
+    monkeypatch.setattr(toxicity, "WINDOWS", 7)
+    again, again_near = model.tops(rows, places)
+    assert np.allclose(best, again, atol=1e-6) and (near == again_near).mean() > 0.999
+    assert np.allclose(np.maximum(best, 0) @ model.weights, model.outputs(rows, places), atol=1e-5)
+
+
 def test_back_propagation_lowers_the_loss():
     rng = np.random.default_rng(0)
     bad = rng.integers(0, toxicity.ROWS, (3, toxicity.PER_WORD))
