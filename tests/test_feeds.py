@@ -17,6 +17,7 @@ from netsight.operators import registry as R
 from netsight.plans.sweep import sweep
 from netsight.schemas import FEEDS, IOCS, PARSER_CONFIG
 from netsight.session import work_path
+from netsight.sources import derived_feeds
 from netsight.sources.storage import read_payload_files
 
 CFG = f"feed_id int, payload_id long, payload string, collection_id string, parser_config {PARSER_CONFIG.simpleString()}"
@@ -196,3 +197,10 @@ def test_the_version_stays_when_every_pull_fails(spark, round_of_feeds):
     assert sweep(payloads.where("feed_id in (1, 6)"), root, F.lit("2031-01-01").cast("timestamp")) == 1
     iocs, after = R.read_version(spark, root, R.current_version(spark, root))
     assert iocs.count() == 0 and {r.id for r in after.where("last_status = 'error'").collect()} == {1, 6}
+
+
+@pytest.mark.parametrize("make", [derived_feeds.plain_payloads, derived_feeds.csv_payloads, derived_feeds.stix_payloads])
+def test_payloads_of_a_small_file_are_dealt_to_all_cores(spark, make):
+    payloads = make(spark, "/root/testdata/sf0.001")
+    parts = payloads.groupBy(F.spark_partition_id()).count().count()
+    assert parts == spark.sparkContext.defaultParallelism
