@@ -183,3 +183,14 @@ def test_insert_and_retro_scan(spark):
     assert _hits(M.retro_scan(events, empty, snapshot, now, 24, None)) == {h for h in EXPECTED if h[0] <= 12}
     assert M.next_watermark(events, now, 24, 3).first()[0] == 12
     assert M.next_watermark(events, now, 24, 99).first()[0] == 99
+
+
+def test_new_detections_make_only_what_is_not_stored_distinct(spark):
+    rows = [(e, i, t, f"v{e}") for e in (1, 2, None) for i in (8, 16) for t in ("src", "host")]
+    hits = spark.createDataFrame([*rows, *rows[:5]], "event_id long, ioc_id long, match_type string, matched_value string")
+    stored = hits.filter("match_type = 'src' AND event_id = 1")
+    got = M.new_detections(hits, stored)
+    want = sorted((r for r in rows if not (r[0] == 1 and r[2] == "src")), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    plan = M.new_detections(hits.hint("merge"), stored.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("SortMergeJoin") and "Exchange" not in plan[:plan.index("SortMergeJoin")]
