@@ -194,3 +194,20 @@ def test_new_detections_make_only_what_is_not_stored_distinct(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
     plan = M.new_detections(hits.hint("merge"), stored.hint("merge"))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Aggregate") < plan.index("SortMergeJoin") and "Exchange" not in plan[:plan.index("SortMergeJoin")]
+
+
+def test_one_pass_shares_probes_between_lengths(spark):
+    rng = random.Random(9)
+    nets = [f"198.18.{rng.randrange(3)}.{rng.randrange(256)}/{n}" for n in range(33) for _ in range(6)] + [f"2001:db8::{i:x}/{n}" for i in range(3) for n in (64, 66, 127, 128)]
+    indicators = spark.createDataFrame([(i, i % 3, "f", "cidr", v) for i, v in enumerate(nets)] + [(900, 1, "f", "ip", "198.18.1.1"), (901, 1, "f", "url", "http://x.test/")], IND)
+    some = [str(ipaddress.ip_network(v, strict=False)[-1]) for v in nets] + [f"198.18.{rng.randrange(4)}.{rng.randrange(256)}" for _ in range(80)] + ["0.0.0.0", "255.255.255.255", "198.18.1.1"]
+    events = spark.createDataFrame([(i, a, rng.choice(some), "a.x.test") for i, a in enumerate(some)], EV)
+    snapshot = M.prepare_snapshot(indicators, probed_lengths=200)
+    expected = {(i, j, k) for i, s, d, _ in map(tuple, events.collect()) for k, a in (("src", s), ("dst", d)) for j, v in enumerate(nets)
+                if ipaddress.ip_address(a).version == ipaddress.ip_network(v, strict=False).version and ipaddress.ip_address(a) in ipaddress.ip_network(v, strict=False)}
+    hits = _hits(M.match_events(events, snapshot, one_pass=True))
+    assert {(i, j, k) for i, j, k, _ in hits if j < 900} == expected and hits == _hits(M.match_events(events, snapshot))
+    values = M.event_values(events).filter("value NOT LIKE '%:%' AND match_type <> 'host'")
+    assert M.grouped_probes(values, snapshot).count() == 12 * values.count()  # 33 lengths in 11, and the address
+    counts = M.hit_counts(events, snapshot, F.floor(F.col("event_id") / 10))
+    assert {r.part: r.n for r in counts.collect()} == {p: sum(h[0] // 10 == p for h in hits) for p in {h[0] // 10 for h in hits}}
