@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from netsight.constants import BUCKETS
 from netsight.functions.buckets import age_text, bucket_of, percent_share, ticker_label
 from netsight.plans import views
+from netsight.plans.catalog import all_queries
+from netsight.plans.hits import HitTable
 from netsight.plans.stored import stored
 from netsight.sources import trigrams
 from netsight.sources.storage import json_rows, read_payload_files, read_syslog_files
@@ -133,3 +135,33 @@ def test_file_sources(spark, tmp_path):
     row = read_payload_files(spark, str(tmp_path / "pay")).first()
     assert (row.feed_id, row.payload_id, row.payload, row.error) == (3, 9, "1.1.1.1\n# c\n", None)
     assert read_payload_files(spark, str(tmp_path / "pay"), cap=3).first().error.startswith("feed payload exceeds 3")
+
+
+def test_pages_make_the_detections_they_show(spark, tmp_path):
+    """Same rows and ids as stored detections, in blocks of any size."""
+    t = stored(spark, SF)
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    some = [r.event_id for r in t.detections.select("event_id").orderBy("event_id").limit(40).collect()]
+    hits = HitTable(t.event_log, t.snapshot, least=100)
+    assert hits.largest_id == t.detections.count()
+    for view in (lambda d: views.detection_detail(d, t.event_log, t.iocs, 42), lambda d: views.detections_since(d, t.event_log, 30),
+                 lambda d: views.browse_detections(d, t.event_log, t.iocs, feed_id=2, limit=30, offset=2),
+                 lambda d: views.event_detail(t.event_log, d, some[-1]), lambda d: views.browse_events(t.event_log, d, limit=30)):
+        assert rows(view(hits)) == rows(view(t.detections))
+    assert hits.with_ids([0, hits.largest_id + 1]).count() == hits.above(hits.largest_id, 5).count() == 0
+
+
+def test_a_page_stores_no_detections(spark, tmp_path):
+    (tmp_path / "sf").symlink_to(SF)
+    sf = str(tmp_path / "sf")
+    for name in ("events_search", "detections_since_id", "detection_detail"):
+        all_queries()[name](spark, sf).collect()
+    assert "detections" not in stored(spark, sf).__dict__
+
+
+def test_postings_are_cut_in_compiled_code(spark):
+    events = spark.createDataFrame([(1, "abcd", None, None, None), (2, "aé\U0001f600bc", None, None, None), (1024, "ab", None, None, None)],
+                                   "id long, raw string, src_ip string, dst_ip string, hostname string")
+    made = trigrams.postings(events)
+    assert sorted(map(tuple, made.collect())) == sorted({(t, 0) for t in ("abc", "bcd", "aé\U0001f600", "é\U0001f600b", "\U0001f600bc")})
+    assert "lambda" not in _plan(made)
