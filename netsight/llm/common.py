@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,23 @@ def shared(df: DataFrame, name: str) -> DataFrame:
     return written_once(df, f"llm-{name}")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Tables written within it pass their rows to Python in Arrow batches of this many at most.
+
+    A batch is held by the JVM and by the worker, in each task; rows of whole sets make large ones.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores behind it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsight.llm.common import map_texts, mixed, odd_numbers, shared, window_hashes, word_hashes
+from netsight.llm.common import map_texts, mixed, odd_numbers, shared, small_batches, text_bytes, window_hashes, word_hashes
 from netsight.llm.components import components
 from netsight.llm.simhash import keep_one, most_bits
 from netsight.llm.simhash import links as gray_links
@@ -132,10 +132,10 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE) -> DataFra
 
     def compare(batches):
         for batch in batches:
-            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            sides = [text_bytes(batch.column(c)) for c in ("x", "y")]
             keep = []
-            for x, y in pairs:
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                x, y = (data[ends[i]:ends[i + 1]].view(np.uint64) for data, ends in sides)
                 keep.append(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -167,8 +167,9 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE) -> DataFra
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, ka, kb, part): rows of similar texts, step by step, have one ``part``."""
-    prints = shared(signatures(docs, shingle), "signatures")
-    roots = shared(components(links(docs, prints, shingle)), "roots")
+    with small_batches(docs.sparkSession):
+        prints = shared(signatures(docs, shingle), "signatures")
+        roots = shared(components(links(docs, prints, shingle)), "roots")
     return prints.join(roots, "node", "left").select("doc_id", "ka", "kb", F.coalesce("root", "node").alias("part"))
 
 
