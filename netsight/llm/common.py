@@ -90,13 +90,13 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def map_texts(df: DataFrame, column: str, schema: str,
-              work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | dict | None]) -> DataFrame:
-    """Run ``work(rows, bytes, offsets)`` over slices of the partitions, in Arrow batches."""
+              work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | dict | None], size: int = SLICE_BYTES) -> DataFrame:
+    """Run ``work(rows, bytes, offsets)`` over slices of the partitions of about ``size`` bytes, in Arrow batches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(column))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, size):
                 made = work(batch.slice(low, high - low), data[offsets[low]:offsets[high]],
                             offsets[low:high + 1] - offsets[low])
                 if made is not None:

@@ -29,6 +29,8 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 BANDS, ROWS = 32, 4
 SLAB = 1 << 19
+#: Of text at a time: what hashing takes beside it, some 40 times as much, stays with the worker.
+HASHED_BYTES = 512 << 10
 _FLIPS, _FACTORS = odd_numbers(BANDS * ROWS, 11), odd_numbers(BANDS * ROWS, 12)
 
 
@@ -72,7 +74,8 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 "fp": pa.array(np.array([most_bits(s) for s in sets], np.uint64).view(np.int64)),
                 "bands": pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
-    return map_texts(keyed(docs), "text", "doc_id long, ka long, kb long, node long, n long, fp long, bands array<long>", work)
+    return map_texts(keyed(docs), "text", "doc_id long, ka long, kb long, node long, n long, fp long, bands array<long>", work,
+                     HASHED_BYTES)
 
 
 def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -128,7 +131,7 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE) -> DataFra
         sets = shingle_sets(data, offsets, shingle)
         return {"node": pa.array([node_of(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())}
 
-    sets = shared(map_texts(found, "text", "node long, members binary", ship), "sets")
+    sets = shared(map_texts(found, "text", "node long, members binary", ship, HASHED_BYTES), "sets")
 
     def compare(batches):
         for batch in batches:

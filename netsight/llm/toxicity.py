@@ -18,13 +18,14 @@ driver.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsight.llm.common import map_documents, map_texts, mixed, shared, slices, span_hashes, text_bytes, word_spans
+from netsight.llm.common import SLICE_BYTES, map_documents, map_texts, mixed, shared, slices, small_batches, span_hashes, text_bytes, word_spans
 
 ROWS = 1 << 17
 DIM = 12
@@ -35,7 +36,7 @@ FILTERS = 8
 EPOCHS, MOST_EPOCHS, STEPS = 6, 40, 420
 ROUNDS, LEARNER_ROWS = 3, 8192
 BATCH = 64
-HELD_WORDS = 4 << 20
+HELD_WORDS, HEAD, LEARN_BYTES = 4 << 20, 16, 512 << 10
 WINDOWS = 1 << 13
 PART = 1 << 11
 GRID, MOST_OUTPUT = 1024, 64
@@ -265,15 +266,43 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
     return shared(rows, "labelled"), counts
 
 
-def hashed_texts(batches):
+def hashed_texts(batches, size: int = SLICE_BYTES):
     """(rows of a slice, word rows of each of its texts)."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, size):
             w, places = word_rows(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
             yield batch.slice(low, high - low), [w[a:b] for a, b in zip(places, places[1:], strict=False)]
 
 
+class Held:
+    """Word rows of texts and their classes, in one array of ``room`` words that goes back to the system as a whole.
+
+    Workers live on, and many arrays of middling size would stay with them: freed, but in pieces.
+    """
+
+    def __init__(self, room: int):
+        self.store, self.ends, self.classes = np.empty((room, PER_WORD), np.int32), [0], []
+
+    def takes(self, text: np.ndarray) -> bool:
+        return self.ends[-1] + len(text) <= HELD_WORDS
+
+    def add(self, text: np.ndarray, toxic: int) -> None:
+        self.store[self.ends[-1]:self.ends[-1] + len(text)] = text
+        self.ends.append(self.ends[-1] + len(text))
+        self.classes.append(toxic)
+
+    def ordered(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """(texts, classes) by class and then by the bytes of the text, of which only beginnings are copied if they differ."""
+        texts = [self.store[a:b] for a, b in zip(self.ends, self.ends[1:], strict=False)]
+        head = lambda i: (self.classes[i], texts[i][:HEAD].tobytes())
+        order = []
+        for _, alike in groupby(sorted(range(len(texts)), key=head), head):
+            own = list(alike)
+            order += own if len(own) == 1 else sorted(own, key=lambda i: texts[i].tobytes())
+        return [texts[i] for i in order], np.array(self.classes)[order]
+
+
 def learnt(rows: DataFrame, model: Model, seen: np.ndarray, share: np.ndarray, epochs: int, learners: int) -> tuple[Model, np.ndarray]:
     """The model after a round over all ``rows`` (text, toxic), and the squared changes of its table's rows.
 
@@ -285,22 +314,17 @@ def learnt(rows: DataFrame, model: Model, seen: np.ndarray, share: np.ndarray, e
         first, first_seen = given.value
         own = replace(first, **{k: getattr(first, k).copy() for k in ("table", *DENSE)})
         learner = Learner(own, first_seen.copy(), share, 11)
-        held, classes, words, learned = [], [], 0, 0
-
-        def go():
-            order = sorted(range(len(held)), key=lambda i: (classes[i], held[i].tobytes()))
-            learner.learn([held[i] for i in order], np.array(classes)[order], epochs)
-
-        for batch, texts in hashed_texts(batches):
+        held, learned = Held(HELD_WORDS), 0
+        for batch, texts in hashed_texts(batches, LEARN_BYTES):
             for text, toxic in zip(texts, batch.column("toxic").to_pylist(), strict=True):
-                if held and words + len(text) > HELD_WORDS:
-                    go()
-                    held, classes, words = [], [], 0
-                held.append(text)
-                classes.append(toxic)
-                words, learned = words + len(text), learned + 1
-        if held:
-            go()
+                if not held.takes(text):
+                    if held.classes:
+                        learner.learn(*held.ordered(), epochs)
+                    held = Held(max(HELD_WORDS, len(text)))
+                held.add(text, toxic)
+                learned += 1
+        if held.classes:
+            learner.learn(*held.ordered(), epochs)
         if not learned:
             return
         more = learner.seen - first_seen
@@ -330,7 +354,9 @@ def learnt(rows: DataFrame, model: Model, seen: np.ndarray, share: np.ndarray, e
 
     schema = "part int, place binary, change binary, seen binary"
     model, seen = replace(model, **{k: getattr(model, k).copy() for k in ("table", *DENSE)}), seen.copy()
-    for r in rows.coalesce(learners).mapInArrow(work, schema).groupBy("part").applyInArrow(merged, schema).collect():
+    with small_batches(rows.sparkSession):
+        made = rows.coalesce(learners).mapInArrow(work, schema).groupBy("part").applyInArrow(merged, schema).collect()
+    for r in made:
         change = np.frombuffer(r["change"], np.float32)
         if r["part"] < 0:
             for k in DENSE:

@@ -1,13 +1,18 @@
 """Toxicity, secrets, both searches and the pipeline against brute force and held-out rows."""
 
 import hashlib
+import os
 import random
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netsight.llm import cover_tree, learned_parts, queries, secrets, toxicity
@@ -54,6 +59,38 @@ def test_toxicity_learns_from_long_texts_and_counts_every_row(spark):
     assert min(r["z"] for r in counted if r["toxic"]) > max(r["z"] for r in counted if not r["toxic"])
 
 
+def test_a_worker_that_has_learnt_does_not_keep_the_words(spark):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.pmod(F.xxhash64("id"), F.lit(600))), lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", j), F.lit(49999)))))
+    rows = spark.range(0, 14000, 1, 8).select(words.alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+
+    def own(batches):
+        for batch in batches:
+            time.sleep(1)  # each worker gets a task
+            said = Path("/proc/self/smaps_rollup").read_text()
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", said))) >> 10]})
+
+    probe = spark.range(0, 16, 1, 16).mapInArrow(own, "pid long, mb long")
+    before = max(r["mb"] for r in probe.collect())
+    toxicity.learnt(rows, toxicity.Model.new(), np.zeros(toxicity.ROWS + 1, np.float32), np.array([1.0, 1.0]), 1, 1)
+    assert max(r["mb"] for r in probe.collect()) < before + 100
+
+
+def test_held_texts_are_learnt_by_class_and_bytes(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 3, (n, toxicity.PER_WORD)).astype(np.int32) for n in (0, 1, 40, 3, 0, 17, 60)]
+    texts += [np.concatenate([texts[6], t]) for t in texts] + texts[2:4] + [texts[6][:20]]
+    classes = [i % 2 for i in range(len(texts))]
+    held = toxicity.Held(1000)
+    for text, toxic in zip(texts, classes, strict=True):
+        held.add(text, toxic)
+    order = sorted(range(len(texts)), key=lambda i: (classes[i], texts[i].tobytes()))
+    got, toxic = held.ordered()
+    assert toxic.tolist() == [classes[i] for i in order]
+    assert all(np.array_equal(a, texts[i]) for a, i in zip(got, order, strict=True))
+    monkeypatch.setattr(toxicity, "HELD_WORDS", held.ends[-1] + 1)
+    assert held.takes(texts[1]) and not held.takes(texts[3])
+
+
 def test_largest_answers_do_not_depend_on_how_texts_are_cut(monkeypatch):
     rng, model = np.random.default_rng(4), toxicity.Model.new()
     rows, places = rng.integers(0, toxicity.ROWS, (400, toxicity.PER_WORD)).astype(np.int32), np.array([0, 0, 1, 150, 151, 153, 400])

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from netsight.llm import doubling, jaccard, rlbwt, simhash, zones
+from netsight.llm.common import map_texts
 from netsight.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -142,6 +143,16 @@ def test_pipeline_links_every_pair_of_similarity_four_fifths(spark, docs, monkey
     assert jaccard.one_of_each(both).count() == len(want)
 
 
+def test_the_pipeline_hashes_half_a_megabyte_at_a_time(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(jaccard, "map_texts", lambda *given: asked.append(given[4] if len(given) > 4 else None) or map_texts(*given))
+    long = spark.range(0, 40, 1, 1).select("id", F.expr("repeat(concat('a', id, ' b '), 20000)").alias("text")).withColumnRenamed("id", "doc_id")
+    assert jaccard.one_of_each(long).count() == 40
+    assert len(asked) == 2 and all(size and size <= 512 << 10 for size in asked)
+    sizes = map_texts(long, "text", "n long, bytes long", lambda rows, data, offsets: {"n": [rows.num_rows], "bytes": [len(data)]}, 300_000).collect()
+    assert sum(r["n"] for r in sizes) == 40 and all(r["n"] == 1 or r["bytes"] <= 300_000 for r in sizes) and len(sizes) > 5
+
+
 def test_empty_table_of_the_pipeline_stage(no_docs):
     assert jaccard.one_of_each(no_docs).count() == 0
 
