@@ -13,6 +13,7 @@ from netsight.operators.ids import with_ids
 from netsight.operators.ingest import accepted, ingest_counters, parse_lines
 from netsight.operators.match import active_indicators, match_events, prepare_snapshot
 from netsight.schemas import FEEDS, IOCS, SYSLOG_LINES
+from netsight.session import shuffles_removed
 from netsight.sources import derived
 from netsight.sources.storage import append_events, events_table
 from netsight.streaming import jobs
@@ -252,3 +253,55 @@ def test_lines_of_one_row_group_are_parsed_on_all_cores(spark, tmp_path):
     assert stored == list(enumerate(wanted, 1)) and got["stored"] == len(wanted)
     plan = with_ids(lines, [40] * cores)._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "Join" not in plan
+
+
+def _shared_network(spark, store, n_feeds=12):
+    """A network that many indicators name, one that names the source of some events, and what two batches store."""
+    wider = [("cidr", "1.1.1.0/24")] * n_feeds + [("cidr", "1.1.0.0/16"), ("ip", "10.0.0.3"), ("domain", "evil.com")]
+    iocs, feeds = _tables(spark, *wider)
+    registry.publish_version(iocs, feeds, store.versions)
+    for n in range(2):
+        jobs.ingest_batch(_lines(spark, 40 * n, 40 * n + 40), n, store)
+    events = accepted(parse_lines(_lines(spark, 0, 80))).withColumn("id", F.expr("(line_id div 4) * 2 + line_id % 4 + 1"))
+    return match_events(events, prepare_snapshot(active_indicators(iocs, feeds)), F.col("received_at"))
+
+
+def test_stored_rows_do_not_grow_with_the_indicators_of_a_network(spark, store):
+    expected = _shared_network(spark, store)
+    assert expected.count() > 20 * 12
+    assert _keys(store.detections()) == _keys(expected)
+    rows = sorted((r.event_id, r.match_type, r.ioc_id, r.feed_id, r.feed_name, r.matched_value, r.created_at) for r in expected.collect())
+    columns = ["event_id", "match_type", "ioc_id", "feed_id", "feed_name", "matched_value", "created_at"]
+    assert sorted(tuple(r) for r in store.detections().select(*columns).collect()) == rows
+    ids = [r.id for r in store.detections().orderBy("event_id", "id").collect()]
+    assert ids == list(range(1, len(rows) + 1)) and store.before()["last_detection_id"] == len(rows)
+    # one row for each event value and key, whatever number of indicators the key has
+    held = {name: sum(f.rows for f in store.table(name).files()) for name in jobs.TABLES}
+    probes = expected.join(spark.createDataFrame([(i, "a" if i <= 12 else str(i)) for i in range(1, 16)], "ioc_id bigint, k string"), "ioc_id")
+    assert held["runs"] == probes.select("event_id", "match_type", "k").distinct().count()
+    assert (held["detections"], held["indicators"], held["live"]) == (0, 15, 40 + 2 * 12)
+
+
+def test_no_shuffle_file_is_left_by_a_batch(spark, store):
+    spark.range(9).repartition(3).count()
+    temp = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString())
+    files = lambda: {p.name for p in temp.rglob("shuffle_*.data")}
+    iocs, feeds = _tables(spark, ("ip", "10.0.0.3"))
+    registry.publish_version(iocs, feeds, store.versions)
+    before = files()
+    with shuffles_removed(spark):
+        spark.range(100).repartition(3).write.parquet(f"{store.root}/some")
+    assert not files() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    jobs.ingest_batch(_lines(spark, 0, 40), 0, store)
+    assert len(files() - before) <= 16, files() - before
+
+
+def test_lines_by_arrival_are_the_same_lines(spark, tmp_path):
+    rows = [(i, i % 7, T0 + timedelta(seconds=(i * 37) % 100), ["click", "view", "purchase"][i % 3]) for i in range(200)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    lines = derived.syslog_lines_by_arrival(spark, str(tmp_path), 4)
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, derived.syslog_lines(spark, str(tmp_path)).collect()))
+    spans = [(min(p), max(p)) for p in lines.rdd.map(lambda r: r.received_at).glom().collect() if p]
+    assert len(spans) == 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    plan = derived.syslog_lines_by_arrival(spark, str(tmp_path), 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning" in plan
