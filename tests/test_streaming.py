@@ -282,6 +282,23 @@ def test_stored_rows_do_not_grow_with_the_indicators_of_a_network(spark, store):
     assert (held["detections"], held["indicators"], held["live"]) == (0, 15, 40 + 2 * 12)
 
 
+def test_counts_of_runs_are_those_of_the_detections(spark, store):
+    expected = _shared_network(spark, store).groupBy("ioc_id", "match_type", "matched_value").count()
+    assert sorted(map(tuple, store.detection_counts().collect())) == sorted(map(tuple, expected.collect()))
+    # a version more: every indicator is stored twice, and detections of older events lie outside the runs
+    wider, feeds = _tables(spark, *[("cidr", "1.1.1.0/24")] * 12, ("cidr", "1.1.0.0/16"), ("ip", "10.0.0.3"), ("domain", "evil.com"), ("ip", "10.0.0.5"))
+    registry.publish_version(wider, feeds, store.versions)
+    jobs.ingest_batch(_lines(spark, 80, 120), 2, store)
+    assert sum(f.rows for f in store.table("detections").files()) > 0
+    events = accepted(parse_lines(_lines(spark, 0, 120))).withColumn("id", F.expr("(line_id div 4) * 2 + line_id % 4 + 1"))
+    hits = match_events(events, prepare_snapshot(active_indicators(wider, feeds)))
+    assert _keys(store.detections()) == _keys(hits)
+    ids = sorted(r.id for r in store.detections().select("id").collect())
+    assert ids == list(range(1, len(ids) + 1))
+    counted = hits.groupBy("ioc_id", "match_type", "matched_value").count()
+    assert sorted(map(tuple, store.detection_counts().collect())) == sorted(map(tuple, counted.collect()))
+
+
 def test_no_shuffle_file_is_left_by_a_batch(spark, store):
     spark.range(9).repartition(3).count()
     temp = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString())
