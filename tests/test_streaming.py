@@ -299,6 +299,20 @@ def test_counts_of_runs_are_those_of_the_detections(spark, store):
     assert sorted(map(tuple, store.detection_counts().collect())) == sorted(map(tuple, counted.collect()))
 
 
+def test_viewers_are_told_every_detection_of_a_run(spark, store):
+    _shared_network(spark, store)
+    told = [json.loads(r.json) for r in store.table("live").all().filter("kind = 'detection'").collect()]
+    events = {r.id: r for r in store.events().collect()}
+    expected = [{"id": d.id, "created_at": d.created_at.isoformat() + "+00:00", "match_type": d.match_type, "matched_value": d.matched_value,
+                 "feed_name": d.feed_name, "src_ip": e.src_ip, "dst_ip": e.dst_ip, "hostname": e.hostname, "event_action": e.action}
+                for d in store.detections().collect() for e in [events[d.event_id]]]
+    by_id = lambda rows: sorted(rows, key=lambda r: r["id"])
+    assert by_id(told) == by_id(expected) and [*told[0]] == [*expected[0]]
+    counts = {r.id: r.n for r in store.detections().groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("n")).collect()}
+    seen = [json.loads(r.json) for r in store.table("live").all().filter("kind = 'event'").collect()]
+    assert {e["id"]: e["det_count"] for e in seen} == {i: counts.get(i) for i in events}
+
+
 def test_no_shuffle_file_is_left_by_a_batch(spark, store):
     spark.range(9).repartition(3).count()
     temp = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString())
